@@ -6,25 +6,29 @@ Every view covers its whole table and the whole text of each row. ``$name$`` sta
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Stand-ins inside literals for line feed, carriage return and backslash, which the engines escape differently.
+_STAND_INS = (("\n", "¶", 10), ("\r", "¬", 13), ("\\", "⧵", 92))
+
+
 def _lit(text: str) -> str:
-    """A SQL literal both engines read alike: line ends and backslashes are spelled with chr()."""
-    parts = re.split(r"([\n\r\\])", text)
-    out = []
-    for part in parts:
-        if part in ("\n", "\r", "\\"):
-            out.append(f"chr({ord(part)})")
-        elif part:
-            out.append("'" + part.replace("'", "''") + "'")
-    return " || ".join(out) if out else "''"
+    for char, mark, _ in _STAND_INS:
+        text = text.replace(char, mark)
+    return "'" + text.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple[str, ...]]) -> str:
-    return ", ".join(f"({i}, {', '.join(_lit(c) for c in row)})" for i, row in enumerate(rows))
+def _values(rows: list[tuple[str, ...]], *names: str) -> str:
+    """A literal table (k, names...) with the stand-ins undone."""
+    body = ", ".join(f"({i}, {', '.join(_lit(c) for c in row)})" for i, row in enumerate(rows))
+    cols = []
+    for name in names:
+        expr = name
+        for _, mark, code in _STAND_INS:
+            expr = f"replace({expr}, '{mark}', chr({code}))"
+        cols.append(f"{expr} AS {name}")
+    return f"(SELECT k, {', '.join(cols)} FROM (VALUES {body}) AS t(k, {', '.join(names)}))"
 
 
 # (file name, snippet): for every rule a line that fires, a near miss, and the traps.
@@ -85,7 +89,7 @@ SELECT d.source AS repo_id,
             WHEN s.name = 'empty.go' THEN ''
             ELSE d.text || chr(10) || s.snippet END AS content
 FROM $documents$ d
-JOIN (VALUES {_values(SNIPPETS)}) AS s(k, name, snippet) ON s.k = d.doc_id % {len(SNIPPETS)}
+JOIN {_values(SNIPPETS, 'name', 'snippet')} AS s ON s.k = d.doc_id % {len(SNIPPETS)}
 """
 
 # The batch view adds one root readme to about half of the repositories.
@@ -111,7 +115,7 @@ SELECT 'site' || CAST(p.page_id % 10 AS STRING) AS repo_id,
        false AS is_symlink,
        CASE WHEN p.page_id % 6 = 5 THEN replace(p.html, ' lang="', ' data-l="') ELSE p.html END
          || chr(10) || s.snippet AS content
-FROM $pages$ p JOIN (VALUES {_values(HTML_SNIPPETS)}) AS s(k, snippet) ON s.k = p.page_id % {len(HTML_SNIPPETS)}
+FROM $pages$ p JOIN {_values(HTML_SNIPPETS, 'snippet')} AS s ON s.k = p.page_id % {len(HTML_SNIPPETS)}
 """
 
 CSS_SNIPPETS = [
@@ -131,7 +135,7 @@ SELECT d.source AS repo_id,
        OCTETS(d.text) AS size_bytes,
        false AS is_symlink,
        '/* ' || replace(d.text, '*/', '* /') || ' */' || chr(10) || s.snippet AS content
-FROM $documents$ d JOIN (VALUES {_values(CSS_SNIPPETS)}) AS s(k, snippet)
+FROM $documents$ d JOIN {_values(CSS_SNIPPETS, 'snippet')} AS s
   ON s.k = CAST(floor(d.doc_id / 4) AS BIGINT) % {len(CSS_SNIPPETS)}
 """
 
@@ -164,7 +168,7 @@ SELECT d.source AS repo_id,
        replace(replace(s.body, '@', d.lang || CAST(d.doc_id % 50 AS STRING)), 'TEXT',
                replace(replace(replace(replace(replace(d.text, chr(92), ' '), '"', ' '), chr(10), ' '), chr(9), ' '),
                        chr(13), ' ')) AS content
-FROM $documents$ d JOIN (VALUES {_values(MANIFESTS)}) AS s(k, name, body) ON s.k = d.doc_id % {len(MANIFESTS)}
+FROM $documents$ d JOIN {_values(MANIFESTS, 'name', 'body')} AS s ON s.k = d.doc_id % {len(MANIFESTS)}
 """
 
 REPORTS = [
@@ -180,13 +184,13 @@ REPORTS = [
 TOOL_REPORTS = f"""
 SELECT d.source || '-' || CAST(d.doc_id AS STRING) AS repo_id, r.tool AS tool,
        replace(r.body, 'N', d.lang || CAST(d.doc_id AS STRING)) AS report
-FROM $documents$ d JOIN (VALUES {_values(REPORTS)}) AS r(k, tool, body) ON r.k = d.doc_id % {len(REPORTS)}
+FROM $documents$ d JOIN {_values(REPORTS, 'tool', 'body')} AS r ON r.k = d.doc_id % {len(REPORTS)}
 """
 
 REPOSITORIES = """
 SELECT CAST(c_custkey AS STRING) AS id, CAST(c_nationkey AS STRING) AS owner_id, c_name AS name,
-       lower(c_mktsegment) || '/' || c_name AS full_name,
-       'https://github.com/' || lower(c_mktsegment) || '/' || c_name AS clone_url,
+       lower(c_mktsegment) || '/' || replace(c_name, '#', '-') AS full_name,
+       'https://github.com/' || lower(c_mktsegment) || '/' || replace(c_name, '#', '-') AS clone_url,
        c_acctbal < 0 AS is_private,
        CASE c_custkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN '' ELSE 'dev' END AS default_branch,
        c_acctbal
@@ -197,15 +201,15 @@ REPO_REQUESTS = """
 SELECT CAST(c_custkey AS STRING) AS request_id,
        CAST(c_nationkey AS STRING) AS owner_id,
        CASE c_custkey % 9
-         WHEN 0 THEN 'https://github.com/' || lower(c_mktsegment) || '/' || c_name
-         WHEN 1 THEN ' https://WWW.GitHub.com/' || lower(c_mktsegment) || '/' || c_name || '.git/ '
-         WHEN 2 THEN 'http://github.com/' || lower(c_mktsegment) || '/' || c_name
-         WHEN 3 THEN 'https://localhost/evil/' || c_name || '.git'
-         WHEN 4 THEN 'https://github.com/' || c_name
-         WHEN 5 THEN 'https://github.com/o/' || c_name || '/tree/main'
-         WHEN 6 THEN 'https://github.com/new/' || c_name || '.git'
+         WHEN 0 THEN 'https://github.com/' || lower(c_mktsegment) || '/' || replace(c_name, '#', '-')
+         WHEN 1 THEN ' https://WWW.GitHub.com/' || lower(c_mktsegment) || '/' || replace(c_name, '#', '-') || '.git/ '
+         WHEN 2 THEN 'http://github.com/' || lower(c_mktsegment) || '/' || replace(c_name, '#', '-')
+         WHEN 3 THEN 'https://localhost/evil/' || replace(c_name, '#', '-') || '.git'
+         WHEN 4 THEN 'https://github.com/' || replace(c_name, '#', '-')
+         WHEN 5 THEN 'https://github.com/o/' || replace(c_name, '#', '-') || '/tree/main'
+         WHEN 6 THEN 'https://github.com/new/' || replace(c_name, '#', '-') || '.git'
          WHEN 7 THEN 'https://github.com/o/.git'
-         ELSE 'not a url ' || c_name END AS clone_url,
+         ELSE 'not a url ' || replace(c_name, '#', '-') END AS clone_url,
        c_acctbal > 5000 AS is_private,
        CASE c_custkey % 2 WHEN 0 THEN '' ELSE 'trunk' END AS default_branch
 FROM $customer$
@@ -288,7 +292,7 @@ SELECT d.doc_id AS issue_id,
        CASE d.doc_id % 4 WHEN 0 THEN 'Python' WHEN 1 THEN ' PHP ' WHEN 2 THEN 'HTML' ELSE 'JavaScript' END AS language,
        CASE d.doc_id % 4 WHEN 2 THEN '<html>' || d.lang ELSE d.lang END AS original_code,
        h.a || d.text || h.b || d.source || h.c AS raw_response
-FROM $documents$ d JOIN (VALUES {_values(RESPONSE_HEADS)}) AS h(k, a, b, c) ON h.k = d.doc_id % {len(RESPONSE_HEADS)}
+FROM $documents$ d JOIN {_values(RESPONSE_HEADS, 'a', 'b', 'c')} AS h ON h.k = d.doc_id % {len(RESPONSE_HEADS)}
 """
 
 CHAT = """

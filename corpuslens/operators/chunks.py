@@ -28,14 +28,16 @@ def file_chunks(files: DataFrame) -> DataFrame:
         with_language(files)
         .select("repo_id", F.col("path").alias("file_path"), lines_array("content").alias("_lines"))
         .withColumn("_flags", F.transform("_lines", lambda x: x.rlike(CHUNK_BOUNDARY)))
-        .withColumn("_by_boundary", F.array_contains("_flags", True))
     )
 
-    def mark(line, i):
-        cut = F.when(F.col("_by_boundary"), F.get(F.col("_flags"), i)).otherwise(i % CHUNK_WINDOW_LINES == 0)
+    def mark(line, i, cut):
         head = F.when(cut, F.concat(F.lit(MARK), (i + 1).cast("string"), F.lit("\n"))).otherwise(F.lit(""))
         return F.concat(head, line, F.lit("\n"))
 
+    # Lambdas use their own variables only: a column they named could be inlined and redone per line.
+    by_boundary = F.transform(F.arrays_zip("_lines", "_flags"), lambda z, i: mark(z["_lines"], i, z["_flags"]))
+    by_window = F.transform("_lines", lambda x, i: mark(x, i, i % CHUNK_WINDOW_LINES == 0))
+
     def chunk(piece):
         start = F.substring_index(piece, "\n", 1).cast("int")
         text = F.substring(piece, F.position(F.lit("\n"), piece) + 1, F.char_length(piece))
@@ -45,7 +47,9 @@ def file_chunks(files: DataFrame) -> DataFrame:
             strip(text).alias("content"),
         )
 
-    marked = flagged.select("repo_id", "file_path", F.split(F.array_join(F.transform("_lines", mark), ""), MARK).alias("_pieces"))
+    marked = flagged.select("repo_id", "file_path", F.split(
+        F.array_join(F.when(F.array_contains("_flags", True), by_boundary).otherwise(by_window), ""), MARK
+    ).alias("_pieces"))
     chunks = F.filter(
         F.transform(F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0))), chunk),
         lambda c: c["content"] != "",

@@ -11,6 +11,7 @@ import xml.etree.ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from corpuslens.catalogue import NODE_LOCKFILES, REQUIREMENT_FILES, SEQ, TEXT_MANIFESTS
@@ -18,7 +19,7 @@ from corpuslens.functions.predicates import not_in_ignored_dir
 from corpuslens.functions.text import basename, dirname, lines_array, strip, wide_lines_array
 
 RISK = "Builds can change, or pull in unsafe code, without a change in the repository."
-DEP = "struct<name:string,version:string,scope:string>"
+POM = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("versions", T.ArrayType(T.StringType()))])
 # Fixed value: a requirement line -> name, operator, rest.
 REQUIREMENT = r"(?Ud)^([A-Za-z0-9_.-]+)\s*(==|~=|>=|<=|>|<)?\s*(.*)\z"
 
@@ -40,9 +41,14 @@ def _members(parsed: Column, key: str) -> Column:
     return F.coalesce(got, F.create_map().cast("map<string,string>"))
 
 
-def _merged(first: Column, second: Column) -> Column:
-    """Both maps as one; the second map's value wins."""
-    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+def _named(members: Column, *versions: str) -> Column:
+    """Names whose version, stripped, is one of those given. A JSON null reads as the word None."""
+    return F.map_keys(F.map_filter(members, lambda _, v: strip(F.coalesce(v, F.lit("None"))).isin(*versions)))
+
+
+def _named_in_merge(main: Column, dev: Column, *versions: str) -> Column:
+    """The same over both maps merged, where the second map's version wins."""
+    return F.concat(_named(dev, *versions), F.array_except(_named(main, *versions), F.map_keys(dev)))
 
 
 def _json_manifest(files: DataFrame, name: str, main: str, dev: str) -> DataFrame:
@@ -83,7 +89,7 @@ def _issue(df: DataFrame, rule_id: str, severity: str, title: Column, descriptio
 def missing_lockfile(files: DataFrame) -> DataFrame:
     """package.json with at least one dependency and no lockfile beside it (anti join on the folder)."""
     declared = _json_manifest(files, "package.json", "dependencies", "devDependencies").where(
-        F.size(_merged(F.col("main"), F.col("dev"))) > 0
+        (F.size("main") > 0) | (F.size("dev") > 0)
     )
     # The lockfile is looked for on disk, so it counts whatever directory holds it.
     locks = files.where(basename("path").isin(*NODE_LOCKFILES)).select("repo_id", dirname("path").alias("_dir"))
@@ -96,11 +102,9 @@ def package_json_rules(files: DataFrame) -> DataFrame:
     parsed = _json_manifest(files, "package.json", "dependencies", "devDependencies")
     invalid = _issue(parsed.where(~F.col("valid")), "RD1", "medium", F.lit("Invalid package.json"),
                      F.lit("The file is not well-formed JSON."), "Correct the file.")
-    loose = (
-        parsed.select("repo_id", "path", F.explode(_merged(F.col("main"), F.col("dev"))).alias("name", "version"))
-        # A JSON null reads as the word None, which is not one of the loose versions.
-        .where(strip(F.coalesce("version", F.lit("None"))).isin("*", "latest", ""))
-    )
+    loose = parsed.select("repo_id", "path", F.explode(
+        _named_in_merge(F.col("main"), F.col("dev"), "*", "latest", "")
+    ).alias("name"))
     unpinned = _issue(loose, "RD2", "medium", F.concat(F.lit("Unpinned dependency: "), "name"),
                       F.concat("name", F.lit(" accepts any version.")), "State a version or range.", seq=1)
     no_lock = _issue(missing_lockfile(files), "RD3", "medium", F.lit("Node dependency lockfile missing"),
@@ -112,9 +116,9 @@ def composer_rules(files: DataFrame) -> DataFrame:
     parsed = _json_manifest(files, "composer.json", "require", "require-dev")
     invalid = _issue(parsed.where(~F.col("valid")), "RD5", "medium", F.lit("Invalid composer.json"),
                      F.lit("The file is not well-formed JSON."), "Correct the file.", seq=3)
-    loose = parsed.select(
-        "repo_id", "path", F.explode(_merged(F.col("main"), F.col("dev"))).alias("name", "version")
-    ).where(strip("version").isin("*", "dev-master", "dev-main"))
+    loose = parsed.select("repo_id", "path", F.explode(
+        _named_in_merge(F.col("main"), F.col("dev"), "*", "dev-master", "dev-main")
+    ).alias("name"))
     unstable = _issue(loose, "RD6", "medium", F.concat(F.lit("Unstable Composer dependency: "), "name"),
                       F.concat("name", F.lit(" follows a moving version.")), "State a released version.", seq=4)
     return invalid.unionByName(unstable)
@@ -143,7 +147,7 @@ def text_manifest_rules(files: DataFrame) -> DataFrame:
                   F.lit("A wildcard or latest version is used."), "State a version.", seq=6)
 
 
-@pandas_udf("struct<valid:boolean,versions:array<string>>")
+@pandas_udf(POM)
 def read_pom(content: pd.Series) -> pd.DataFrame:
     """Text of every element whose tag ends in 'version'; valid is false for malformed XML."""
     rows = []
@@ -192,17 +196,20 @@ def requirement_entry(line: Column) -> Column:
     )
 
 
-def _scoped(members: Column, scope: str) -> Column:
+def _entries(members: Column) -> Column:
+    return F.transform(F.map_entries(members), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version")))
+
+
+def _scoped(entries: Column, scope: str) -> Column:
     return F.transform(
-        F.map_entries(members),
-        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(scope).alias("scope")),
+        entries, lambda e: F.struct(e["name"].alias("name"), e["version"].alias("version"), F.lit(scope).alias("scope"))
     )
 
 
 def _both_scopes(main: Column, dev: Column) -> Column:
     """Production entries, then the development entries not already listed with the same version."""
-    fresh = F.map_filter(dev, lambda k, v: ~(F.map_contains_key(main, k) & F.try_element_at(main, k).eqNullSafe(v)))
-    return F.concat(_scoped(main, "production"), _scoped(fresh, "development"))
+    fresh = F.array_except(_entries(dev), _entries(main))
+    return F.concat(_scoped(_entries(main), "production"), _scoped(fresh, "development"))
 
 
 def dependencies(files: DataFrame) -> DataFrame:

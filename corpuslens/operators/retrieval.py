@@ -15,18 +15,23 @@ def _nearest_in_block(k: int):
     """Best k chunks per question inside one block; distances in double, ties by chunk id."""
 
     def run(questions: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        if questions.empty or chunks.empty:
-            return pd.DataFrame({"question_id": [], "repo_id": [], "chunk_id": [], "distance": []})
         chunks = chunks.sort_values("chunk_id", kind="stable")
         ids = chunks["chunk_id"].to_numpy()
-        vectors = np.stack(chunks["embedding"].to_numpy()).astype(np.float64)
-        out = []
-        for qid, repo, vec in zip(questions["question_id"], questions["repo_id"], questions["embedding"]):
+        vectors = np.stack(chunks["embedding"].to_list()).astype(np.float64) if len(chunks) else np.empty((0, 0))
+        picked, distances = [], []
+        for vec in questions["embedding"] if len(chunks) else []:
             diff = vectors - np.asarray(vec, dtype=np.float64)
             dist = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             best = np.argsort(dist, kind="stable")[:k]
-            out.append(pd.DataFrame({"question_id": qid, "repo_id": repo, "chunk_id": ids[best], "distance": dist[best]}))
-        return pd.concat(out, ignore_index=True)
+            picked.append(ids[best])
+            distances.append(dist[best])
+        n = [len(p) for p in picked]
+        return pd.DataFrame({
+            "question_id": np.repeat(questions["question_id"].to_numpy()[: len(n)], n),
+            "repo_id": np.repeat(questions["repo_id"].to_numpy()[: len(n)], n),
+            "chunk_id": np.concatenate(picked) if picked else ids[:0],
+            "distance": np.concatenate(distances) if distances else np.empty(0),
+        })
 
     return run
 

@@ -129,6 +129,10 @@ def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES) ->
     )
 
 
+def _holds(tokens):
+    return lambda line: contains_any(strip(line), tokens)
+
+
 def nested_loop_count(content: Column, language: Column) -> Column:
     """Loop lines indented deeper than the loop line before them.
 
@@ -137,15 +141,15 @@ def nested_loop_count(content: Column, language: Column) -> Column:
     by_tokens: dict[tuple, list[str]] = {}
     for lang, tokens in cat.LOOP_TOKENS.items():
         by_tokens.setdefault(tokens, []).append(lang)
-
-    def is_loop(line: Column) -> Column:
-        body = strip(line)
-        test = F.lit(False)
-        for tokens, langs in by_tokens.items():
-            test = F.when(language.isin(langs), contains_any(body, tokens)).otherwise(test)
-        return test
-
-    indents = F.transform(F.filter(lines_array(content), is_loop), char_indent)
+    lines = lines_array(content)
+    loops = F.array().cast("array<string>")
+    for tokens, langs in by_tokens.items():
+        # The language is tested once per file, outside the lambda.
+        loops = F.when(
+            language.isin(langs) & contains_any(content, [t.strip() for t in tokens]),
+            F.filter(lines, _holds(tokens)),
+        ).otherwise(loops)
+    indents = F.transform(loops, char_indent)
     start = F.struct(F.lit(None).cast("int").alias("prev"), F.lit(0).alias("n"))
     folded = F.aggregate(
         indents,
@@ -161,11 +165,11 @@ def nested_loops(files: DataFrame) -> DataFrame:
     """Nested-loop count of every file in a language that has loop tokens, where it is above zero."""
     from corpuslens.operators.files import with_language
 
-    wide = sorted({t.strip() for tokens in cat.LOOP_TOKENS.values() for t in tokens})
+    count = nested_loop_count(F.col("content"), F.col("language"))
     return (
         with_language(files)
-        .where(F.col("language").isin(list(cat.LOOP_TOKENS)) & contains_any(F.col("content"), wide))
-        .select("repo_id", "path", "language", nested_loop_count(F.col("content"), F.col("language")).alias("nested_count"))
+        .where(F.col("language").isin(list(cat.LOOP_TOKENS)))
+        .select("repo_id", "path", "language", count.alias("nested_count"))
         .where(F.col("nested_count") > 0)
     )
 

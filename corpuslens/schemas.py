@@ -1,15 +1,14 @@
-"""Table schemas and the allowed values of their enumerated columns."""
+"""Table schemas (as DDL) and the allowed values of their enumerated columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FILES = T._parse_datatype_string(
+FILES = (
     "repo_id string, path string, size_bytes bigint, is_symlink boolean, content string, utf8_valid boolean"
 )
-ISSUES = T._parse_datatype_string(
+ISSUES = (
     "id string, analysis_id string, title string, severity string, category string, file_path string, "
     "line_number int, language string, description string, risk string, suggested_fix string, "
     "generated_patch string, source_tool string, status string, created_at timestamp"
@@ -43,7 +42,7 @@ TABLES = {
     "content string, embedding array<float>",
     "fix_responses": "issue_id string, file_path string, language string, original_code string, raw_response string",
 }
-STRUCTS = {name: T._parse_datatype_string(ddl) for name, ddl in TABLES.items()} | {"files": FILES, "issues": ISSUES}
+SCHEMAS = TABLES | {"files": FILES, "issues": ISSUES}
 
 # The enumerations of the data model, in their defined order.
 ANALYSIS_STATUSES = (

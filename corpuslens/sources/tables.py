@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import decode_utf8
-from corpuslens.schemas import STRUCTS, content_key
+from corpuslens.schemas import SCHEMAS, content_key
 
 
 def read_table(spark: SparkSession, name: str, location: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, name: str, location: str, fmt: str = "parque
     """
     if fmt == "jdbc":
         return spark.read.format("jdbc").options(dbtable=location, **options).load()
-    return spark.read.format(fmt).options(**options).schema(STRUCTS[name]).load(location)
+    return spark.read.format(fmt).options(**options).schema(SCHEMAS[name]).load(location)
 
 
 def scan_files(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
