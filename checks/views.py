@@ -6,8 +6,12 @@ Every view covers its whole table and the whole text of each row. ``$name$`` sta
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslens.session import spread
+
 
 # Stand-ins inside literals for line feed, carriage return and backslash, which the engines escape differently.
 _STAND_INS = (("\n", "¶", 10), ("\r", "¬", 13), ("\\", "⧵", 92))
@@ -306,9 +310,18 @@ TABLES = (
 ).split()
 
 
+def spark_table(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Registers a table as a view, spread over the cores if it is one small file, and returns the view's name."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    view = f"{name}_{zlib.crc32(path.encode()):08x}"
+    spread(spark.read.parquet(path)).createOrReplaceTempView(view)
+    return view
+
+
 def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in TABLES:
-        sql = sql.replace(f"${name}$", f"parquet.`{sf_dir.rstrip('/')}/{name}.parquet`")
+        if f"${name}$" in sql:
+            sql = sql.replace(f"${name}$", spark_table(spark, sf_dir, name))
     return spark.sql(sql.replace("OCTETS(", "octet_length("))
 
 

@@ -313,6 +313,29 @@ RULES: tuple[Rule, ...] = (
        "Any site can call this service."),
 )
 
+# Text every match of a pattern must hold, as groups of which one alternative each is required. Testing for it
+# first spares the regex on nearly all lines. Letters with odd case forms (s, k, i) are left out of lower-case groups.
+QUOTES = ("'", '"')
+NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "RM2": (QUOTES, (":", "=")),
+    "RS1": (QUOTES, (":", "=")),
+    "RS2": (("-----BEGIN ",),),
+    "RS3": (QUOTES, ("(",)),
+    "RS4": (("eval",), ("(",)),
+    "RS5": (("(",), ("+",)),
+    "RS6": (("*",), QUOTES),
+    "RP1": (("$_GET",),),
+    "RP2": (("$_POST",),),
+    "RP3": (("$_REQUEST",),),
+    "RP4": (("mysql_query",),),
+    "RP5": (("eval",),),
+    "RP6": (("exec", "system", "passthru"),),
+    "RP7": (("$_",),),
+    "RP8": (("$_",),),
+}
+NEEDS_LOWER: dict[str, tuple[str, ...]] = {"RM1": ("todo", "xme")}
+CHUNK_NEEDS = ("(", "def", "class", "function")
+
 # File-level findings (rule id, tool, severity, category, title).
 FILE_RULES = {
     "RF1": ("scan-file-size-check", "medium", "code_quality", "Very large source file"),

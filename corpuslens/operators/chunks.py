@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.catalogue import CHUNK_BOUNDARY, CHUNK_WINDOW_LINES
+from corpuslens.catalogue import CHUNK_BOUNDARY, CHUNK_NEEDS, CHUNK_WINDOW_LINES
+from corpuslens.functions.lookup import contains_any
 from corpuslens.functions.text import count_char, lines_array, strip
 from corpuslens.operators.files import with_language
 from corpuslens.operators.numbering import offsets_within
@@ -27,7 +28,7 @@ def file_chunks(files: DataFrame) -> DataFrame:
     flagged = (
         with_language(files)
         .select("repo_id", F.col("path").alias("file_path"), lines_array("content").alias("_lines"))
-        .withColumn("_flags", F.transform("_lines", lambda x: x.rlike(CHUNK_BOUNDARY)))
+        .withColumn("_flags", F.transform("_lines", lambda x: contains_any(x, CHUNK_NEEDS) & x.rlike(CHUNK_BOUNDARY)))
     )
 
     def mark(line, i, cut):
@@ -61,7 +62,10 @@ def chunk_files(files: DataFrame) -> DataFrame:
     """One row per chunk: repo_id, file_path, start_line, end_line, content."""
     return (
         file_chunks(files)
-        .select("repo_id", "file_path", F.explode("_chunks").alias("_c"))
+        # An inner explode of a column makes Spark infer size(column) > 0 and compute the column a second time
+        # below; the outer form with a filter does not.
+        .select("repo_id", "file_path", F.explode_outer("_chunks").alias("_c"))
+        .where(F.col("_c").isNotNull())
         .select("repo_id", "file_path", "_c.start_line", "_c.end_line", "_c.content")
     )
 
@@ -77,7 +81,7 @@ def build_chunk_index(files: DataFrame) -> DataFrame:
     offsets = offsets_within(counts, ["repo_id"], ["file_path"], "_n", "_offset").drop("_n")
     return (
         per_file.join(offsets, ["repo_id", "file_path"])
-        .select("repo_id", "file_path", "_offset", F.posexplode("_chunks").alias("_k", "_c"))
+        .select("repo_id", "file_path", "_offset", F.posexplode_outer("_chunks").alias("_k", "_c"))
         .select(
             "repo_id",
             F.concat(

@@ -24,7 +24,7 @@ def strip_block_comments(content: Column) -> Column:
         unix_newlines(content), F.lit(r"(?s)(/\*.*?(?:\*/|\z)|[^/]+|/)"), F.lit(1)
     )
     kept = F.transform(
-        pieces, lambda p: F.when(p.startswith("/*"), F.regexp_replace(p, r"[^\n]", "")).otherwise(p)
+        pieces, lambda p: F.when(p.startswith("/*"), F.regexp_replace(p, r"[^\n]+", "")).otherwise(p)
     )
     return F.array_join(kept, "")
 

@@ -237,6 +237,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     return (
         python.unionByName(node)
         .unionByName(php)
-        .select("repo_id", "manifest", "ecosystem", F.explode("_deps").alias("_d"))
+        .select("repo_id", "manifest", "ecosystem", F.explode_outer("_deps").alias("_d"))
+        .where(F.col("_d").isNotNull())
         .select("repo_id", "_d.name", "_d.version", "ecosystem", "manifest", "_d.scope")
     )

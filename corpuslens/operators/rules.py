@@ -26,7 +26,7 @@ def _html_test(name: str, lowered: Column) -> Column:
     if name == "img_alt":
         return lowered.contains("<img") & ~lowered.contains("alt=")
     if name == "inline_handler":
-        return lowered.rlike(r"(?U)\son\w+\s*=")
+        return lowered.contains("on") & lowered.contains("=") & lowered.rlike(r"(?U)\son\w+\s*=")
     if name == "noopener":
         return lowered.contains('target="_blank"') & ~lowered.contains("noopener")
     if name == "input_type":
@@ -44,6 +44,10 @@ def _line_test(rule: Rule) -> Column:
         test = _html_test(rule.pattern, F.lower(line))
     else:
         test = line.rlike(rule.pattern)
+        for group in reversed(cat.NEEDS.get(rule.rule_id, ())):
+            test = contains_any(line, group) & test
+        if rule.rule_id in cat.NEEDS_LOWER:
+            test = contains_any(F.lower(line), cat.NEEDS_LOWER[rule.rule_id]) & test
     if rule.family == "security":
         return F.col("_secure") & test
     if rule.family == "common":

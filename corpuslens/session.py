@@ -51,3 +51,12 @@ def pin(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deals a table's rows out to every core when it has fewer splits than cores, as one small file has.
+
+    A large table has many splits and passes as it is, so this never shuffles a corpus.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
