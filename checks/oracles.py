@@ -470,6 +470,21 @@ found AS (SELECT DISTINCT repo_id, title, file_path, line_number, category, sour
 facts AS ({FACTS})
 {scoring('found', 'facts')}"""
 
+ORACLES["scan_findings"] = f"WITH {scan()}, {LOOPS} {_ALL_FOUND}"
+_ALL_DEP_FOUND = "\nUNION ALL ".join((
+    dep_finding('RD1', 'medium', "'Invalid package.json'", '(SELECT * FROM n_m WHERE NOT json_valid(content))'),
+    dep_finding('RD2', 'medium', "'Unpinned dependency: ' || name", f"(SELECT * FROM n_merged WHERE {strip('version')} IN ('*', 'latest', ''))"),
+    dep_finding('RD3', 'medium', "'Node dependency lockfile missing'", MISSING.replace("entries", "n_entries")),
+    dep_finding('RD4', 'low', "'Unpinned Python dependency'", "req_lines WHERE NOT regexp_matches(line, '==|~=|>=|<=|>|<')", line='line_no'),
+    dep_finding('RD5', 'medium', "'Invalid composer.json'", '(SELECT * FROM c_m WHERE NOT json_valid(content))'),
+    dep_finding('RD6', 'medium', "'Unstable Composer dependency: ' || name", f"(SELECT * FROM c_merged WHERE {strip('version')} IN ('*', 'dev-master', 'dev-main'))"),
+    ORACLES["maven_rules"].split("WHERE " + name_of() + " = 'pom.xml')")[1],
+    ORACLES["text_manifest_rules"][ORACLES["text_manifest_rules"].rindex("SELECT repo_id, 'RD9'"):],
+))
+ORACLES["corpus_findings_by_rule"] = f"""WITH {scan(BOTH)}, {LOOPS}, {ALL_DEPS}, pom AS (SELECT * FROM files WHERE {name_of()} = 'pom.xml'),
+every AS (SELECT DISTINCT repo_id, title, file_path, line_number, category, source_tool, severity FROM ({_ALL_FOUND}\nUNION ALL {_ALL_DEP_FOUND}))
+SELECT repo_id, source_tool, title, severity, count(*) AS findings FROM every GROUP BY ALL"""
+
 ORACLES["severity_counts"] = f"""SELECT analysis_id, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ('critical', 'high', 'medium', 'low'))}
 FROM ({ISSUES}) GROUP BY analysis_id"""
 ORACLES["findings_total"] = f"SELECT analysis_id, count(*) AS total_findings FROM ({ISSUES}) GROUP BY analysis_id"
@@ -715,3 +730,8 @@ ORACLES["step_state"] = f"""SELECT event_id, status, step, CASE WHEN status = 'c
 FROM (SELECT e.event_id, e.status, s.step, s.si, coalesce(list_position([{in_list(_ORDER)}], e.status), 0) AS ci
       FROM ({EVENTS}) e CROSS JOIN (VALUES {', '.join(f"({lit(s)}, {i + 1})" for i, s in enumerate(_ORDER) if 0 < i < 7)}) AS s(step, si))"""
 ORACLES["stream_rules"] = f"WITH {scan(v.duck_view(v.FILES))}\n{rule_select(('security',))}"
+
+# A list is emitted once the watermark, which follows the newest event, has passed its expiry.
+ORACLES["progress_sessions_stream"] = f"""SELECT * FROM ({ORACLES['progress_sessions']}) WHERE expires_at <= (SELECT max(ts) FROM events)"""
+ORACLES["stage_durations_stream"] = f"""SELECT analysis_id, event_id, status, floor(epoch(next_ts) - epoch(ts))::BIGINT AS seconds FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY analysis_id ORDER BY ts, event_id) AS next_ts FROM ({EVENTS})) WHERE next_ts IS NOT NULL"""

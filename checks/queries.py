@@ -174,6 +174,12 @@ def match_rules(spark, sf):
     return rl.match_rules(_files(spark, sf)).select(*FINDING)
 
 
+@query
+def scan_findings(spark, sf):
+    """Line and file rules in one pass."""
+    return rl.scan_findings(_files(spark, sf)).select(*FINDING)
+
+
 @query
 def css_checks(spark, sf):
     return css.css_checks(v.spark_view(spark, sf, v.CSS)).select(*FINDING)
@@ -292,7 +298,7 @@ def corpus_findings_by_rule(spark, sf):
 def corpus_scores(spark, sf):
     """Files to scores: rules, file checks, de-duplication and scoring of whole repositories."""
     files = _files(spark, sf)
-    found = fd.dedup_findings(fd.union_findings(rl.match_rules(files), rl.file_findings(files)))
+    found = fd.dedup_findings(rl.scan_findings(files))
     return sc.score_repos(found, fl.repo_facts(files))
 
 
@@ -595,3 +601,21 @@ def stream_rules(spark, sf):
 def latest_status_stream(spark, sf):
     events = _stream_view(spark, sf, v.EVENTS, "events")
     return ss.run_updates(sp.latest_status_stream(events), ["analysis_id"], "latest-status")
+
+
+def _timed_events(spark, sf):
+    """Watermarks need instants; the table's times carry no zone."""
+    return _stream_view(spark, sf, v.EVENTS, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def progress_sessions_stream(spark, sf):
+    """Lists that have expired by the end of the stream, per the watermark."""
+    sessions = sp.progress_sessions_stream(_timed_events(spark, sf), delay="0 seconds")
+    done = ss.run_available(sessions, "sessions")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "expires_at")})
+
+
+@query
+def stage_durations_stream(spark, sf):
+    return ss.run_available(sp.stage_durations_stream(_timed_events(spark, sf)), "durations")

@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from corpuslens.catalogue import NODE_LOCKFILES, REQUIREMENT_FILES, SEQ, TEXT_MANIFESTS
 from corpuslens.functions.predicates import not_in_ignored_dir
 from corpuslens.functions.text import basename, dirname, lines_array, strip, wide_lines_array
+from corpuslens.session import pin
 
 RISK = "Builds can change, or pull in unsafe code, without a change in the repository."
 POM = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("versions", T.ArrayType(T.StringType()))])
@@ -174,13 +175,31 @@ def maven_rules(files: DataFrame) -> DataFrame:
     return invalid.unionByName(unstable)
 
 
+def manifest_slice(files: DataFrame) -> DataFrame:
+    """Manifests and lockfiles of a corpus, cut out once and kept in the shared folder.
+
+    They are a tiny share of all files but several checks read them; without this each check would scan
+    every file's content again. Lockfiles are only looked up by name, so their content is left behind.
+    """
+    utf8 = F.col("utf8_valid") if "utf8_valid" in files.columns else F.lit(True)
+    name = basename("path")
+    checked = (*REQUIREMENT_FILES, *TEXT_MANIFESTS, "package.json", "composer.json", "pom.xml")
+    return pin(
+        files.where(name.isin(*checked, *NODE_LOCKFILES)).select(
+            "repo_id", "path", F.when(name.isin(*checked), F.col("content")).alias("content"), utf8.alias("utf8_valid")
+        )
+    )
+
+
 def dependency_findings(files: DataFrame) -> DataFrame:
+    """All manifest findings, from one scan of the corpus."""
+    sliced = manifest_slice(files)
     return (
-        package_json_rules(files)
-        .unionByName(requirement_rules(files))
-        .unionByName(composer_rules(files))
-        .unionByName(maven_rules(files))
-        .unionByName(text_manifest_rules(files))
+        package_json_rules(sliced)
+        .unionByName(requirement_rules(sliced))
+        .unionByName(composer_rules(sliced))
+        .unionByName(maven_rules(sliced))
+        .unionByName(text_manifest_rules(sliced))
     )
 
 

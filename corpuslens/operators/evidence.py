@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from corpuslens.functions.naming import location
 from corpuslens.functions.predicates import is_entry_point
 from corpuslens.operators.files import dependency_manifests, detect_frameworks, first_paths, language_stats, with_language
+from corpuslens.operators.dependencies import dependencies, manifest_slice
+from corpuslens.session import pin
 from corpuslens.sources.python_source import python_facts
-from corpuslens.operators.dependencies import dependencies
 
 ARCHITECTURE_ENTRIES = 400
 DOCUMENTATION_ENTRIES = 250
@@ -66,14 +67,13 @@ def documentation_evidence(files: DataFrame) -> DataFrame:
 
     Lists such as dependencies have no bound, so every line stays a row and nothing is gathered.
     """
-    facts = python_facts(files)
 
     def lines(df: DataFrame, no: int, key: Column, line: Column) -> DataFrame:
         return df.select("repo_id", F.lit(no).alias("section_no"), key.cast("string").alias("sort_key"), line.alias("line"))
 
     bullet = lambda c: F.concat(F.lit("- "), c)
     langs = with_language(files).select("repo_id", "language").distinct()
-    deps = dependencies(files)
+    deps = dependencies(manifest_slice(files))
     version = F.when(F.coalesce("version", F.lit("")) != "", F.concat(F.lit("=="), "version")).otherwise(" (version not pinned)")
     dep_line = F.concat(F.lit("- "), "name", version, F.lit(" ["), "ecosystem", F.lit("; "), "manifest", F.lit("]"))
     where = location("file_path", "line_number")
@@ -87,13 +87,18 @@ def documentation_evidence(files: DataFrame) -> DataFrame:
         F.lit("; referenced at "), where,
     )
     order = F.concat_ws("\u0001", "file_path", F.format_string("%09d", F.col("ordinal")))
+    is_route = F.col("fact") == "route"
+    in_source = python_facts(files).select(
+        "repo_id", F.when(is_route, 4).otherwise(5).alias("section_no"), order.alias("sort_key"),
+        F.when(is_route, route_line).otherwise(env_line).alias("line"),
+    )
     tree = first_paths(files, DOCUMENTATION_ENTRIES, walk="tree")
-    found = (
+    # Read twice below, so it is kept rather than computed twice.
+    found = pin(
         lines(langs, 1, F.col("language"), bullet(F.col("language")))
         .unionByName(lines(dependency_manifests(files), 2, F.col("path"), bullet(F.col("path"))))
         .unionByName(lines(deps, 3, F.concat_ws("\u0001", "manifest", "name", "version"), dep_line))
-        .unionByName(lines(facts.where("fact = 'route'"), 4, order, route_line))
-        .unionByName(lines(facts.where("fact = 'env'"), 5, order, env_line))
+        .unionByName(in_source)
         .unionByName(lines(tree, 6, F.col("path"), bullet(F.col("path"))))
     )
     every = files.select("repo_id").distinct().select(

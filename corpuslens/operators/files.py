@@ -17,6 +17,7 @@ from corpuslens.functions.predicates import (
     not_in_ignored_dir,
 )
 from corpuslens.functions.text import basename, line_count, lines_array
+from corpuslens.session import join_small
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def cap_language_files(files: DataFrame, max_files: int = 5000) -> DataFrame:
     # Only repositories that reach the cap have a row here, so the file contents need not be shuffled.
     bound = last.select("repo_id", F.col("path").alias("_last"))
     return (
-        listed.join(bound, "repo_id", "left")
+        join_small(listed, bound, "repo_id", "left")
         .where(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
         .drop("_last")
     )

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import join_small, pin
+
 NO_INDEX = "No index exists for this repository yet. Run an analysis first."
 CONTEXT_CHARS = 1500
 
@@ -46,9 +48,9 @@ def _blocked(df: DataFrame, key: str, own: str, other: str, own_blocks: DataFram
     """Places each row in one block of its own side and in every block of the other side."""
     mine = F.coalesce(F.col("_own"), F.lit(1))
     theirs = F.coalesce(F.col("_other"), F.lit(1))
+    placed = join_small(df, own_blocks.toDF("repo_id", "_own"), "repo_id", "left")
     return (
-        df.join(own_blocks.withColumnRenamed(own_blocks.columns[1], "_own"), "repo_id", "left")
-        .join(other_blocks.withColumnRenamed(other_blocks.columns[1], "_other"), "repo_id", "left")
+        join_small(placed, other_blocks.toDF("repo_id", "_other"), "repo_id", "left")
         .withColumn(own, F.pmod(F.xxhash64(key), mine).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), theirs - 1)))
         .drop("_own", "_other")
@@ -64,8 +66,8 @@ def retrieve_chunks(
     every pair of blocks is one group, so one huge repository fills many equal tasks. A group returns k rows
     per question, never the pairs; the final window sees k rows per question and block.
     """
-    chunk_blocks = _blocks(chunks, block_rows, "_cb")
-    question_blocks = _blocks(questions, question_rows, "_qb")
+    chunk_blocks = pin(_blocks(chunks, block_rows, "_cb"))
+    question_blocks = pin(_blocks(questions, question_rows, "_qb"))
     left = _blocked(questions.select("question_id", "repo_id", "embedding"), "question_id",
                     "_qblock", "_cblock", question_blocks, chunk_blocks)
     right = _blocked(chunks.select("repo_id", "chunk_id", "embedding"), "chunk_id",

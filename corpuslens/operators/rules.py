@@ -55,7 +55,19 @@ def _line_test(rule: Rule) -> Column:
     return (language == rule.language) & test
 
 
-def _finding(rule_id, tool, severity, category, title, description, risk, fix, seq, lang_null) -> Column:
+_SEQ = {"php": SEQ["php"], "html": SEQ["html"], "common": SEQ["language"], "language": SEQ["language"],
+        "security": SEQ["security"], "css": SEQ["css"]}
+# File rule: analyzer, whose order and language label it takes; description; suggested fix.
+_FILE_TEXT = {
+    "RF1": ("language", "The file is long.", "Split the file."),
+    "RF2": ("language", "A loop inside a loop may take quadratic time.", "Use a lookup instead of the inner loop."),
+    "RP9": ("php", "The file is long.", "Split the file."),
+    "RH6": ("html", "The root element states no language.", "Add a lang attribute."),
+    "RC4": ("css", "The stylesheet is long.", "Split the stylesheet."),
+}
+
+
+def _finding(rule_id, tool, severity, category, title, description, risk, fix, seq, label) -> Column:
     return F.struct(
         F.lit(rule_id).alias("rule_id"),
         F.lit(tool).alias("source_tool"),
@@ -66,20 +78,40 @@ def _finding(rule_id, tool, severity, category, title, description, risk, fix, s
         F.lit(risk).cast("string").alias("risk"),
         F.lit(fix).alias("suggested_fix"),
         F.lit(seq).alias("seq_major"),
-        F.lit(lang_null).alias("_no_language"),
+        F.lit(label).alias("label"),
     )
 
 
-def _rule_structs(rules: list[Rule]) -> Column:
-    seq = {"php": SEQ["php"], "html": SEQ["html"], "common": SEQ["language"], "language": SEQ["language"],
-           "security": SEQ["security"]}
-    return F.array(
-        *[
-            _finding(r.rule_id, r.tool, r.severity, r.category, r.title, r.description, r.risk, r.suggested_fix,
-                     seq[r.family], r.family == "security")
-            for r in rules
-        ]
-    )
+def _line_rule_structs(rules: list[Rule]) -> list[Column]:
+    return [
+        _finding(r.rule_id, r.tool, r.severity, r.category, r.title, r.description, r.risk, r.suggested_fix,
+                 _SEQ[r.family], "none" if r.family == "security" else "file")
+        for r in rules
+    ]
+
+
+def _file_rule_structs() -> list[Column]:
+    out = []
+    for rid, (tool, severity, category, title) in cat.FILE_RULES.items():
+        family, description, fix = _FILE_TEXT[rid]
+        out.append(_finding(rid, tool, severity, category, title, description, None, fix, _SEQ[family],
+                            "css" if family == "css" else "file"))
+    return out
+
+
+def _file_rule_hits(content: Column, language: Column, first: int) -> Column:
+    """Numbers, from ``first`` on, of the file rules that fire."""
+    n = line_count(content)
+    lowered = F.lower(content)
+    tests = {
+        "RF1": n > cat.LARGE_SOURCE_LINES,
+        "RF2": language.isin(list(cat.LOOP_TOKENS)) & (nested_loop_count(content, language) > 0),
+        "RP9": (language == "PHP") & (n > cat.LARGE_SOURCE_LINES),
+        "RH6": (language == "HTML") & lowered.contains("<html") & ~lowered.contains('lang="'),
+        "RC4": language.isin(*cat.CSS_LANGUAGES) & (n > cat.LARGE_STYLESHEET_LINES),
+    }
+    hits = [F.when(tests[rid], F.lit(first + i)) for i, rid in enumerate(cat.FILE_RULES)]
+    return F.array_compact(F.array(*hits))
 
 
 def _scan_frame(files: DataFrame) -> DataFrame:
@@ -95,42 +127,58 @@ def _scan_frame(files: DataFrame) -> DataFrame:
     )
 
 
-def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES) -> DataFrame:
-    """Line findings of the chosen rule families, in the common findings layout."""
+def _findings(hits: DataFrame, structs: list[Column]) -> DataFrame:
+    """Findings from (repo_id, path, language, line_number, _rule), the rule texts looked up in a literal."""
+    label = F.col("_r.label")
+    return hits.withColumn("_r", F.element_at(F.array(*structs), F.col("_rule") + 1)).select(
+        "repo_id", "_r.rule_id", "_r.title", "_r.severity", "_r.category",
+        F.col("path").alias("file_path"),
+        F.when(F.col("_r.rule_id") == "RH6", F.lit(1)).otherwise(F.col("line_number")).cast("int").alias("line_number"),
+        F.when(label == "css", F.lit("CSS")).when(label == "file", F.col("language")).alias("language"),
+        "_r.description", "_r.risk", "_r.suggested_fix",
+        F.lit(None).cast("string").alias("generated_patch"),
+        "_r.source_tool", "_r.seq_major",
+        F.col("_rule").cast("bigint").alias("seq_minor"),
+    )
+
+
+def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, file_rules: bool = False) -> DataFrame:
+    """Findings of the chosen line-rule families; with ``file_rules`` also the file-level ones, in the same pass."""
     rules = [r for r in RULES if r.family in families]
     scan = _scan_frame(files)
-    if "security" not in families:
-        scan = scan.where(F.col("language").isNotNull())
-    if "common" not in families and "security" not in families:
-        scan = scan.where(F.col("language").isin(sorted({r.language for r in rules})))
     if families == ("security",):
         scan = scan.where(F.col("_secure"))
-    lines = scan.select("repo_id", "path", "language", "_secure", F.posexplode(lines_array("content")).alias("_pos", "line"))
+    elif "security" not in families:
+        scan = scan.where(F.col("language").isNotNull())
+        if "common" not in families:
+            scan = scan.where(F.col("language").isin(sorted({r.language for r in rules})))
+    none = F.array().cast("array<int>")
+    per_file = F.when(
+        F.col("language").isNotNull(), _file_rule_hits(F.col("content"), F.col("language"), len(rules))
+    ).otherwise(none)
+    lines = scan.withColumn("_file_hits", per_file if file_rules else none).select(
+        "repo_id", "path", "language", "_secure", "_file_hits", F.posexplode(lines_array("content")).alias("_pos", "line")
+    )
     tests = [_line_test(r) for r in rules]
+    wanted = reduce(or_, tests)
+    on_line = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
+    if file_rules:
+        # File-level findings ride on the first line; a file without lines has none.
+        first = (F.col("_pos") == 0) & (F.size("_file_hits") > 0)
+        wanted = first | wanted
+        on_line = F.concat(F.when(first, F.col("_file_hits")).otherwise(none), on_line)
     # The filter runs in generated code and stops at the first hit; only hit lines build the array.
-    hits = lines.where(reduce(or_, tests)).select(
+    hits = lines.where(wanted).select(
         "repo_id", "path", "language",
-        (F.col("_pos") + 1).cast("int").alias("line_number"),
-        F.posexplode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))).alias("_k", "_rule"),
-    )
-    rule = F.element_at(_rule_structs(rules), F.col("_rule") + 1)
-    return hits.withColumn("_r", rule).select(
-        "repo_id",
-        F.col("_r.rule_id").alias("rule_id"),
-        F.col("_r.title").alias("title"),
-        F.col("_r.severity").alias("severity"),
-        F.col("_r.category").alias("category"),
-        F.col("path").alias("file_path"),
-        "line_number",
-        F.when(~F.col("_r._no_language"), F.col("language")).alias("language"),
-        F.col("_r.description").alias("description"),
-        F.col("_r.risk").alias("risk"),
-        F.col("_r.suggested_fix").alias("suggested_fix"),
-        F.lit(None).cast("string").alias("generated_patch"),
-        F.col("_r.source_tool").alias("source_tool"),
-        F.col("_r.seq_major").alias("seq_major"),
-        F.col("_rule").cast("bigint").alias("seq_minor"),
-    )
+        (F.col("_pos") + 1).alias("_line"),
+        F.explode(on_line).alias("_rule"),
+    ).withColumn("line_number", F.when(F.col("_rule") < len(rules), F.col("_line")))
+    return _findings(hits, _line_rule_structs(rules) + _file_rule_structs())
+
+
+def scan_findings(files: DataFrame) -> DataFrame:
+    """Every line and file rule in one pass over the files."""
+    return match_rules(files, LINE_FAMILIES, file_rules=True)
 
 
 def _holds(tokens):
@@ -179,65 +227,14 @@ def nested_loops(files: DataFrame) -> DataFrame:
 
 
 def file_findings(files: DataFrame) -> DataFrame:
-    """File-level findings: size limits, nested loops, and the HTML language check."""
+    """File-level findings alone: size limits, nested loops, and the HTML language check."""
     from corpuslens.operators.files import with_language
 
-    content, language = F.col("content"), F.col("language")
-    n = line_count(content)
-    lowered = F.lower(content)
-    tests = {
-        "RF1": n > cat.LARGE_SOURCE_LINES,
-        "RF2": language.isin(list(cat.LOOP_TOKENS)) & (nested_loop_count(content, language) > 0),
-        "RP9": (language == "PHP") & (n > cat.LARGE_SOURCE_LINES),
-        "RH6": (language == "HTML") & lowered.contains("<html") & ~lowered.contains('lang="'),
-        "RC4": language.isin(*cat.CSS_LANGUAGES) & (n > cat.LARGE_STYLESHEET_LINES),
-    }
-    seq = {"RF1": SEQ["language"], "RF2": SEQ["language"], "RP9": SEQ["php"], "RH6": SEQ["html"], "RC4": SEQ["css"]}
-    text = {
-        "RF1": "The file is long.", "RF2": "A loop inside a loop may take quadratic time.",
-        "RP9": "The file is long.", "RH6": "The root element states no language.", "RC4": "The stylesheet is long.",
-    }
-    fix = {
-        "RF1": "Split the file.", "RF2": "Use a lookup structure instead of the inner loop.",
-        "RP9": "Split the file.", "RH6": "Add a lang attribute.", "RC4": "Split the stylesheet.",
-    }
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    test,
-                    F.struct(
-                        F.lit(rid).alias("rule_id"),
-                        F.lit(cat.FILE_RULES[rid][0]).alias("source_tool"),
-                        F.lit(cat.FILE_RULES[rid][1]).alias("severity"),
-                        F.lit(cat.FILE_RULES[rid][2]).alias("category"),
-                        F.lit(cat.FILE_RULES[rid][3]).alias("title"),
-                        F.lit(text[rid]).alias("description"),
-                        F.lit(fix[rid]).alias("suggested_fix"),
-                        F.lit(1 if rid == "RH6" else None).cast("int").alias("line_number"),
-                        F.lit(seq[rid]).alias("seq_major"),
-                    ),
-                )
-                for rid, test in tests.items()
-            ]
-        )
-    )
-    css = language.isin(*cat.CSS_LANGUAGES)
-    return (
-        with_language(files)
-        .select("repo_id", F.col("path").alias("file_path"), "language", css.alias("_css"), F.explode(hits).alias("_h"))
-        .select(
-            "repo_id",
-            "_h.rule_id", "_h.title", "_h.severity", "_h.category", "file_path", "_h.line_number",
-            F.when((F.col("_h.rule_id") == "RC4"), F.lit("CSS")).otherwise(F.col("language")).alias("language"),
-            "_h.description",
-            F.lit(None).cast("string").alias("risk"),
-            "_h.suggested_fix",
-            F.lit(None).cast("string").alias("generated_patch"),
-            "_h.source_tool", "_h.seq_major",
-            F.lit(1000).cast("bigint").alias("seq_minor"),
-        )
+    hits = with_language(files).select(
+        "repo_id", "path", "language", F.lit(None).cast("int").alias("line_number"),
+        F.explode(_file_rule_hits(F.col("content"), F.col("language"), 0)).alias("_rule"),
     )
+    return _findings(hits, _file_rule_structs())
 
 
 def findings_layout(df: DataFrame) -> DataFrame:

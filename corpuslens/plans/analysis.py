@@ -12,8 +12,9 @@ from corpuslens.operators.css import css_checks
 from corpuslens.operators.dependencies import dependency_findings
 from corpuslens.operators.files import repo_facts, repo_gate, repo_stats
 from corpuslens.operators.findings import dedup_findings, union_findings
-from corpuslens.operators.rules import file_findings, match_rules
+from corpuslens.operators.rules import scan_findings
 from corpuslens.operators.scores import score_repos
+from corpuslens.session import join_small
 from corpuslens.sources.tool_reports import ingest_reports
 
 
@@ -27,19 +28,19 @@ class Analysis(NamedTuple):
 
 def corpus_findings(files: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """Every analyzer's findings, appended in order and de-duplicated."""
-    parts = [match_rules(files), file_findings(files), css_checks(files), dependency_findings(files)]
+    parts = [scan_findings(files), css_checks(files), dependency_findings(files)]
     if reports is not None:
         parts.append(ingest_reports(reports, files))
     return dedup_findings(union_findings(*parts))
 
 
 def analyze_corpus(files: DataFrame, reports: DataFrame | None = None, gated: bool = True) -> Analysis:
-    """Lazy frames of one analysis. Rejected repositories are reported and left out; the others go on."""
+    """Frames of one analysis; only the small admission summary is computed here. Rejected repositories are reported and left out; the others go on."""
     gate = repo_gate(files)
     rejects = gate.where(F.col("reject_reason").isNotNull()).select(
         "repo_id", F.lit("admission").alias("stage"), F.col("reject_reason").alias("reason")
     )
-    admitted = files.join(rejects.select("repo_id"), "repo_id", "left_anti") if gated else files
+    admitted = join_small(files, rejects.select("repo_id"), "repo_id", "left_anti") if gated else files
     findings = corpus_findings(admitted, reports)
     return Analysis(
         rejects=rejects,

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "corpuslens", cores: int | None = None, **conf: str) -> SparkSession:
@@ -53,6 +54,26 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# A side of a join is broadcast only after it was counted and has at most this many (narrow) rows.
+BROADCAST_ROWS = 200_000
+
+
+def join_small(big: DataFrame, side: DataFrame, on: str, how: str) -> DataFrame:
+    """Left or left-anti join with a summary that is nearly always empty or tiny, such as repositories over a cap.
+
+    The summary is computed once and counted. Empty: no join at all. Small: broadcast, so that the big side is
+    not shuffled. Larger: an ordinary join, whose left side adaptive execution splits where it is skewed.
+    """
+    side = pin(side)
+    rows = side.limit(BROADCAST_ROWS + 1).count()
+    if rows == 0 and how == "left_anti":
+        return big
+    if rows == 0:
+        extra = [f for f in side.schema.fields if f.name != on]
+        return big.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    return big.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Deals a table's rows out to every core when it has fewer splits than cores, as one small file has.
 
