@@ -601,6 +601,8 @@ FROM s LEFT JOIN {table(cat.ENDPOINT_FRAMEWORK, 'language', 'fw').replace('AS t(
 LEFT JOIN {table(cat.TEST_FRAMEWORK, 'language', 'fw').replace('AS t(', 'AS tf(')} ON tf.language = s.language
 LEFT JOIN {table(_FORM, 'language', 'form').replace('AS t(', 'AS nm(')} ON nm.language = s.language"""
 
+ORACLES["source_excerpts"] = f"WITH {base()} SELECT repo_id, path, language, left(content, 14000) AS excerpt FROM lang"
+
 # Chunks: boundaries and windows as running sums over numbered lines.
 BOUNDARY = (
     r"^\s*(def|class)\s+[\p{L}\p{N}_]+|^\s*(export\s+)?(async\s+)?function\s+[\p{L}\p{N}_]+|^\s*(export\s+)?(default\s+)?class\s+[\p{L}\p{N}_]+"

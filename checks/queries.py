@@ -459,6 +459,13 @@ def suggested_tests(spark, sf):
     return tp.suggested_tests(every)
 
 
+@query
+def source_excerpts(spark, sf):
+    files = _files(spark, sf)
+    listed = fl.with_language(files).select("repo_id", "path", "language")
+    return tp.source_excerpts(listed, files)
+
+
 # Chunks and retrieval
 
 @query

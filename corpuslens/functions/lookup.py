@@ -1,4 +1,7 @@
-"""Literal lookups. A map literal is folded into the plan, so a fixed table needs no join."""
+"""Literal tables. They are folded into the plan, so a fixed table needs no join.
+
+They are written as one SQL expression each: a table of many entries then costs one call into the JVM.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_literal(value: str | int | float | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+def literal_array(values) -> Column:
+    return F.expr(f"array({', '.join(map(sql_literal, values))})")
+
+
 def literal_map(table: dict) -> Column:
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.create_map(*pairs)
+    return F.expr(f"map({', '.join(sql_literal(part) for item in table.items() for part in item)})")
 
 
 def lookup(key: Column, table: dict) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuslens import catalogue as cat
-from corpuslens.functions.lookup import contains_any, lookup
+from corpuslens.functions.lookup import contains_any, literal_array, lookup
 from corpuslens.functions.text import basename, extension
 
 
@@ -19,7 +19,7 @@ def not_in_ignored_dir(path: Column | str, which: str, include_name: bool = Fals
     parts = F.split(_path(path), "/")
     if not include_name:
         parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return ~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in cat.IGNORED_DIRS[which]]))
+    return ~F.arrays_overlap(parts, literal_array(cat.IGNORED_DIRS[which]))
 
 
 def is_analyzable(path: Column | str) -> Column:

@@ -14,8 +14,8 @@ from corpuslens.catalogue import CSS_RULES, SEQ
 from corpuslens.functions.text import count_char, lines_array, strip, unix_newlines
 from corpuslens.operators.files import with_language
 
-# Fixed value: a property name.
-PROPERTY = r"^(--[a-zA-Z0-9_-]+|[a-zA-Z-]+)\z"
+# Fixed value: a property name before the first colon of a stripped line.
+PROPERTY = r"(?U)^(--[a-zA-Z0-9_-]+|[a-zA-Z-]+)[\s\x1c-\x1f]*:"
 
 
 def strip_block_comments(content: Column) -> Column:
@@ -44,43 +44,35 @@ def _any_end(c: Column, *tails: str) -> Column:
 
 
 def css_lines(files: DataFrame) -> DataFrame:
-    """Non-blank stylesheet lines without comments."""
+    """Stylesheet lines, without comments, that hold a brace, a colon or !important; no other line matters."""
+    raw = F.col("_raw")
     return (
         with_language(files)
         .where(F.col("language").isin(*cat.CSS_LANGUAGES))
         .select("repo_id", "path", strip_block_comments(F.col("content")).alias("_clean"))
         .select("repo_id", "path", F.posexplode(lines_array("_clean")).alias("_pos", "_raw"))
-        .select("repo_id", "path", (F.col("_pos") + 1).cast("int").alias("line_no"), strip("_raw").alias("text"))
-        .where(F.col("text") != "")
+        .where(raw.contains(":") | raw.contains("{") | raw.contains("}") | raw.contains("!important"))
+        .select("repo_id", "path", (F.col("_pos") + 1).cast("int").alias("line_no"), strip(raw).alias("text"))
     )
 
 
 def css_line_facts(lines: DataFrame) -> DataFrame:
-    text = F.col("text")
-    prop = strip(F.substring_index(text, ":", 1))
+    text, name = F.col("text"), F.col("_name")
     value = strip(F.substring(text, F.locate(":", text) + 1, F.char_length(text)))
-    declaration = (
-        text.contains(":")
-        & ~_any_start(text, "@", "http://", "https://")
-        & ~text.endswith("{")
-        & prop.rlike(PROPERTY)
-    )
+    declaration = (name != "") & ~_any_start(text, "http://", "https://") & ~text.endswith("{")
     unfinished = (
-        ~_any_start(text, "/*", "*", "//", "@")
-        & ~_any_end(text, ";", "{", "}", ",", ":", "\\", ")")
+        ~_any_end(text, ";", "{", "}", ",", ":", "\\", ")")
         & (value != "")
         & (count_char(text, "(") == count_char(text, ")"))
     )
-    return lines.select(
+    return lines.withColumn("_name", F.regexp_extract(text, PROPERTY, 1)).select(
         "repo_id", "path", "line_no",
         text.contains("!important").alias("important"),
         count_char(text, "{").alias("n_open"),
         count_char(text, "}").alias("n_close"),
         declaration.alias("declaration"),
-        F.when(declaration, F.lower(prop)).alias("property"),
+        F.when(declaration, F.lower(name)).alias("property"),
         (declaration & unfinished).alias("unfinished"),
-    ).where(
-        F.col("important") | F.col("declaration") | (F.col("n_open") > 0) | (F.col("n_close") > 0)
     )
 
 

@@ -6,15 +6,12 @@ the whole scan is one narrow pass over the files: read, explode lines, test, emi
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import catalogue as cat
 from corpuslens.catalogue import RULES, SEQ, Rule
-from corpuslens.functions.lookup import contains_any, lookup
+from corpuslens.functions.lookup import contains_any, sql_literal
 from corpuslens.functions.predicates import language_of, not_in_ignored_dir, security_scannable
 from corpuslens.functions.text import char_indent, line_count, lines_array, strip
 from corpuslens.schemas import FINDING_COLUMNS
@@ -22,37 +19,37 @@ from corpuslens.schemas import FINDING_COLUMNS
 LINE_FAMILIES = ("common", "language", "php", "html", "security")
 
 
-def _html_test(name: str, lowered: Column) -> Column:
-    if name == "img_alt":
-        return lowered.contains("<img") & ~lowered.contains("alt=")
-    if name == "inline_handler":
-        return lowered.contains("on") & lowered.contains("=") & lowered.rlike(r"(?U)\son\w+\s*=")
-    if name == "noopener":
-        return lowered.contains('target="_blank"') & ~lowered.contains("noopener")
-    if name == "input_type":
-        return lowered.contains("<input") & ~lowered.contains("type=")
-    return (
-        lowered.contains("<script") & lowered.contains("src=") & ~lowered.contains("defer") & ~lowered.contains("async")
-    )
+# The HTML checks on a lower-case line.
+_HTML_TESTS = {
+    "img_alt": "contains({low}, '<img') AND NOT contains({low}, 'alt=')",
+    "inline_handler": "contains({low}, 'on') AND contains({low}, '=') AND {low} RLIKE '(?U)\\\\son\\\\w+\\\\s*='",
+    "noopener": "contains({low}, 'target=\"_blank\"') AND NOT contains({low}, 'noopener')",
+    "input_type": "contains({low}, '<input') AND NOT contains({low}, 'type=')",
+    "blocking_script": "contains({low}, '<script') AND contains({low}, 'src=')"
+    " AND NOT contains({low}, 'defer') AND NOT contains({low}, 'async')",
+}
+
 
+def _holds_one(column: str, tokens: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {sql_literal(t)})" for t in tokens) + ")"
 
-def _line_test(rule: Rule) -> Column:
-    line, language = F.col("line"), F.col("language")
+
+def _line_test(rule: Rule) -> str:
+    """The rule's predicate over (line, language, _secure), cheapest test first."""
+    gate = {"security": "_secure", "common": "language IS NOT NULL"}.get(
+        rule.family, f"language = {sql_literal(rule.language)}"
+    )
+    tests = [gate]
     if rule.kind == "text":
-        test = line.contains(rule.pattern)
+        tests.append(f"contains(line, {sql_literal(rule.pattern)})")
     elif rule.kind == "html":
-        test = _html_test(rule.pattern, F.lower(line))
+        tests.append(_HTML_TESTS[rule.pattern].format(low="lower(line)"))
     else:
-        test = line.rlike(rule.pattern)
-        for group in reversed(cat.NEEDS.get(rule.rule_id, ())):
-            test = contains_any(line, group) & test
+        tests += [_holds_one("line", group) for group in cat.NEEDS.get(rule.rule_id, ())]
         if rule.rule_id in cat.NEEDS_LOWER:
-            test = contains_any(F.lower(line), cat.NEEDS_LOWER[rule.rule_id]) & test
-    if rule.family == "security":
-        return F.col("_secure") & test
-    if rule.family == "common":
-        return language.isNotNull() & test
-    return (language == rule.language) & test
+            tests.append(_holds_one("lower(line)", cat.NEEDS_LOWER[rule.rule_id]))
+        tests.append(f"line RLIKE {sql_literal(rule.pattern)}")
+    return "(" + " AND ".join(tests) + ")"
 
 
 _SEQ = {"php": SEQ["php"], "html": SEQ["html"], "common": SEQ["language"], "language": SEQ["language"],
@@ -67,35 +64,27 @@ _FILE_TEXT = {
 }
 
 
-def _finding(rule_id, tool, severity, category, title, description, risk, fix, seq, label) -> Column:
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(tool).alias("source_tool"),
-        F.lit(severity).alias("severity"),
-        F.lit(category).alias("category"),
-        F.lit(title).alias("title"),
-        F.lit(description).alias("description"),
-        F.lit(risk).cast("string").alias("risk"),
-        F.lit(fix).alias("suggested_fix"),
-        F.lit(seq).alias("seq_major"),
-        F.lit(label).alias("label"),
-    )
+_FIELDS = ("rule_id", "source_tool", "severity", "category", "title", "description", "risk", "suggested_fix", "seq_major", "label")
+
+
+def _rule_text(*values) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in zip(_FIELDS, values)) + ")"
 
 
-def _line_rule_structs(rules: list[Rule]) -> list[Column]:
+def _line_rule_texts(rules: list[Rule]) -> list[str]:
     return [
-        _finding(r.rule_id, r.tool, r.severity, r.category, r.title, r.description, r.risk, r.suggested_fix,
-                 _SEQ[r.family], "none" if r.family == "security" else "file")
+        _rule_text(r.rule_id, r.tool, r.severity, r.category, r.title, r.description, r.risk, r.suggested_fix,
+                   _SEQ[r.family], "none" if r.family == "security" else "file")
         for r in rules
     ]
 
 
-def _file_rule_structs() -> list[Column]:
+def _file_rule_texts() -> list[str]:
     out = []
     for rid, (tool, severity, category, title) in cat.FILE_RULES.items():
         family, description, fix = _FILE_TEXT[rid]
-        out.append(_finding(rid, tool, severity, category, title, description, None, fix, _SEQ[family],
-                            "css" if family == "css" else "file"))
+        out.append(_rule_text(rid, tool, severity, category, title, description, None, fix, _SEQ[family],
+                              "css" if family == "css" else "file"))
     return out
 
 
@@ -127,10 +116,10 @@ def _scan_frame(files: DataFrame) -> DataFrame:
     )
 
 
-def _findings(hits: DataFrame, structs: list[Column]) -> DataFrame:
+def _findings(hits: DataFrame, texts: list[str]) -> DataFrame:
     """Findings from (repo_id, path, language, line_number, _rule), the rule texts looked up in a literal."""
     label = F.col("_r.label")
-    return hits.withColumn("_r", F.element_at(F.array(*structs), F.col("_rule") + 1)).select(
+    return hits.withColumn("_r", F.element_at(F.expr(f"array({', '.join(texts)})"), F.col("_rule") + 1)).select(
         "repo_id", "_r.rule_id", "_r.title", "_r.severity", "_r.category",
         F.col("path").alias("file_path"),
         F.when(F.col("_r.rule_id") == "RH6", F.lit(1)).otherwise(F.col("line_number")).cast("int").alias("line_number"),
@@ -160,8 +149,8 @@ def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, fil
         "repo_id", "path", "language", "_secure", "_file_hits", F.posexplode(lines_array("content")).alias("_pos", "line")
     )
     tests = [_line_test(r) for r in rules]
-    wanted = reduce(or_, tests)
-    on_line = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
+    wanted = F.expr(" OR ".join(tests))
+    on_line = F.expr(f"array_compact(array({', '.join(f'IF({t}, {i}, NULL)' for i, t in enumerate(tests))}))")
     if file_rules:
         # File-level findings ride on the first line; a file without lines has none.
         first = (F.col("_pos") == 0) & (F.size("_file_hits") > 0)
@@ -173,7 +162,7 @@ def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, fil
         (F.col("_pos") + 1).alias("_line"),
         F.explode(on_line).alias("_rule"),
     ).withColumn("line_number", F.when(F.col("_rule") < len(rules), F.col("_line")))
-    return _findings(hits, _line_rule_structs(rules) + _file_rule_structs())
+    return _findings(hits, _line_rule_texts(rules) + _file_rule_texts())
 
 
 def scan_findings(files: DataFrame) -> DataFrame:
@@ -234,7 +223,7 @@ def file_findings(files: DataFrame) -> DataFrame:
         "repo_id", "path", "language", F.lit(None).cast("int").alias("line_number"),
         F.explode(_file_rule_hits(F.col("content"), F.col("language"), 0)).alias("_rule"),
     )
-    return _findings(hits, _file_rule_structs())
+    return _findings(hits, _file_rule_texts())
 
 
 def findings_layout(df: DataFrame) -> DataFrame:

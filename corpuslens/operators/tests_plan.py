@@ -34,3 +34,14 @@ def suggested_tests(candidates: DataFrame) -> DataFrame:
         suggested_framework("language", "path").alias("framework"),
         test_file_name("language", "path").alias("test_file"),
     )
+
+
+# Characters of a source file that accompany a request for tests or for a fix.
+TEST_SOURCE_CHARS = 14_000
+FIX_SOURCE_CHARS = 20_000
+
+
+def source_excerpts(paths: DataFrame, files: DataFrame, limit: int = TEST_SOURCE_CHARS) -> DataFrame:
+    """Adds the first ``limit`` characters of each listed file; (repo_id, path) is unique in files."""
+    text = files.select("repo_id", "path", F.substring("content", 1, limit).alias("excerpt"))
+    return paths.join(text, ["repo_id", "path"])
