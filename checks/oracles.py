@@ -199,7 +199,7 @@ def rule_select(families) -> str:
         else:
             test = f"regexp_matches(line, {lit(PATTERNS[r.rule_id])})"
         gate = {"common": "language IS NOT NULL", "security": "secure"}.get(r.family, f"language = {lit(r.language)}")
-        language = "NULL" if r.family == "security" else "language"
+        language = "NULL::VARCHAR" if r.family == "security" else "language"
         out.append(
             f"SELECT repo_id, {lit(r.rule_id)} AS rule_id, {lit(r.title)} AS title, {lit(r.severity)} AS severity, "
             f"{lit(r.category)} AS category, path AS file_path, line_no AS line_number, {language} AS language, "
@@ -376,7 +376,7 @@ def of_tool(tool: str) -> str:
     return f"(SELECT repo_id, report::JSON AS j FROM ({TOOL_REPORTS}) WHERE tool = '{tool}' AND json_valid(report))"
 
 
-def report_finding(source: str, tool: str, title: str, severity: str, category: str, path: str, line: str, language: str, risk: str = "NULL") -> str:
+def report_finding(source: str, tool: str, title: str, severity: str, category: str, path: str, line: str, language: str, risk: str = "NULL::VARCHAR") -> str:
     return (
         f"SELECT repo_id, {title} AS title, {severity} AS severity, {category} AS category, {path} AS file_path, ({line})::INT AS line_number, "
         f"'{language}' AS language, {risk} AS risk, '{tool}' AS source_tool FROM {source}"

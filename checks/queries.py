@@ -352,16 +352,23 @@ def list_repositories(spark, sf):
     return iss.list_repositories(repos, "3").select("id", "name", "full_name", "is_private")
 
 
-UPDATES = """
+# Three updates per issue, one of them in front; issues of some parts are unknown.
+UPDATES = " UNION ALL ".join(
+    f"""
 SELECT CASE WHEN l_partkey % 9 = 0 THEN 'unknown' ELSE CAST(l_orderkey AS STRING) END AS analysis_id,
        CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-'
          || CAST(l_suppkey AS STRING) AS issue_id,
-       CASE u.k WHEN 0 THEN 'false_positive' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'resolved' END AS status,
-       CASE WHEN u.k = 1 THEN 'explained ' || CAST(l_partkey AS STRING) END AS suggested_fix,
+       {status} AS status,
+       {fix} AS suggested_fix,
        CAST(NULL AS STRING) AS generated_patch,
-       l_shipdate AS shipped, CASE WHEN l_suppkey % 3 = u.k THEN 9 ELSE u.k END AS nth
-FROM $lineitem$ CROSS JOIN (VALUES (0), (1), (2)) AS u(k)
-"""
+       l_shipdate AS shipped, CASE WHEN l_suppkey % 3 = {k} THEN 9 ELSE {k} END AS nth
+FROM $lineitem$"""
+    for k, (status, fix) in enumerate((
+        ("'false_positive'", "CAST(NULL AS STRING)"),
+        ("CAST(NULL AS STRING)", "'explained ' || CAST(l_partkey AS STRING)"),
+        ("'resolved'", "CAST(NULL AS STRING)"),
+    ))
+)
 
 
 def _updates(spark, sf):

@@ -86,7 +86,7 @@ SELECT d.source AS repo_id,
        CASE CAST(d.doc_id AS BIGINT) % 7 WHEN 0 THEN 'src' WHEN 1 THEN 'tests' WHEN 2 THEN 'src/api'
             WHEN 3 THEN 'node_modules/x' WHEN 4 THEN 'docs' WHEN 5 THEN '.github' ELSE 'lib' END
          || '/d' || CAST(d.doc_id AS STRING) || '/' || s.name AS path,
-       OCTETS(d.text || s.snippet) AS size_bytes,
+       CAST(OCTETS(d.text || s.snippet) AS BIGINT) AS size_bytes,
        (d.doc_id % 997 = 996) AS is_symlink,
        CASE WHEN s.name IN ('env.py', 'y.py', 'manage.py')
             THEN '# ' || replace(d.text, chr(10), chr(10) || '# ') || chr(10) || s.snippet
@@ -100,7 +100,7 @@ JOIN {_values(SNIPPETS, 'name', 'snippet')} AS s ON s.k = d.doc_id % {len(SNIPPE
 FILES_ALL = f"""
 {FILES}
 UNION ALL
-SELECT source, 'README.md', OCTETS(max(text)), false, max(text)
+SELECT source, 'README.md', CAST(OCTETS(max(text)) AS BIGINT), false, max(text)
 FROM $documents$ WHERE length(source) = 4 GROUP BY source
 """
 
@@ -115,7 +115,7 @@ HTML_SNIPPETS = [
 HTML = f"""
 SELECT 'site' || CAST(p.page_id % 10 AS STRING) AS repo_id,
        'p' || CAST(p.page_id AS STRING) || '/index.html' AS path,
-       OCTETS(p.html) AS size_bytes,
+       CAST(OCTETS(p.html) AS BIGINT) AS size_bytes,
        false AS is_symlink,
        CASE WHEN p.page_id % 6 = 5 THEN replace(p.html, ' lang="', ' data-l="') ELSE p.html END
          || chr(10) || s.snippet AS content
@@ -136,7 +136,7 @@ CSS = f"""
 SELECT d.source AS repo_id,
        'css/d' || CAST(d.doc_id AS STRING) || CASE d.doc_id % 4 WHEN 0 THEN '.css' WHEN 1 THEN '.scss'
          WHEN 2 THEN '.sass' ELSE '.less' END AS path,
-       OCTETS(d.text) AS size_bytes,
+       CAST(OCTETS(d.text) AS BIGINT) AS size_bytes,
        false AS is_symlink,
        '/* ' || replace(d.text, '*/', '* /') || ' */' || chr(10) || s.snippet AS content
 FROM $documents$ d JOIN {_values(CSS_SNIPPETS, 'snippet')} AS s
@@ -167,7 +167,7 @@ MANIFEST_FILES = f"""
 SELECT d.source AS repo_id,
        CASE WHEN s.name = 'yarn.lock' THEN 'm/d' || CAST(d.doc_id - 3 AS STRING)
             ELSE 'm/d' || CAST(d.doc_id AS STRING) END || '/' || s.name AS path,
-       OCTETS(d.text) AS size_bytes,
+       CAST(OCTETS(d.text) AS BIGINT) AS size_bytes,
        false AS is_symlink,
        replace(replace(s.body, '@', d.lang || CAST(d.doc_id % 50 AS STRING)), 'TEXT',
                replace(replace(replace(replace(replace(d.text, chr(92), ' '), '"', ' '), chr(10), ' '), chr(9), ' '),

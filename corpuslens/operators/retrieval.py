@@ -93,7 +93,8 @@ def rag_context(questions: DataFrame, chunks: DataFrame, k: int = 6) -> DataFram
                          F.substring("content", 1, CONTEXT_CHARS).alias("content"))
     ref = F.concat("file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     blocks = (
-        found.join(body, ["repo_id", "chunk_id"])
+        # At most k rows per question; when few enough they go to the chunks, whose texts then stay in place.
+        join_small(body, found, ["repo_id", "chunk_id"], "inner")
         .select("question_id", F.struct("rank", ref.alias("ref"), "content").alias("_b"))
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list("_b")).alias("_b"))

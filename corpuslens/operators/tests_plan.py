@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.naming import suggested_framework, test_file_name
 from corpuslens.functions.predicates import is_test_path
 from corpuslens.operators.files import with_language
+from corpuslens.session import join_small
 
 
 def test_candidates(issues: DataFrame, files: DataFrame, n: int = 6) -> DataFrame:
@@ -44,4 +45,4 @@ FIX_SOURCE_CHARS = 20_000
 def source_excerpts(paths: DataFrame, files: DataFrame, limit: int = TEST_SOURCE_CHARS) -> DataFrame:
     """Adds the first ``limit`` characters of each listed file; (repo_id, path) is unique in files."""
     text = files.select("repo_id", "path", F.substring("content", 1, limit).alias("excerpt"))
-    return paths.join(text, ["repo_id", "path"])
+    return join_small(text, paths, ["repo_id", "path"], "inner")

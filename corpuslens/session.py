@@ -58,18 +58,19 @@ def pin(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def join_small(big: DataFrame, side: DataFrame, on: str, how: str) -> DataFrame:
-    """Left or left-anti join with a summary that is nearly always empty or tiny, such as repositories over a cap.
+def join_small(big: DataFrame, side: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Left, left-anti or inner join with a side that is nearly always empty or small, such as repositories over a
+    cap or the chunks picked for some questions.
 
-    The summary is computed once and counted. Empty: no join at all. Small: broadcast, so that the big side is
-    not shuffled. Larger: an ordinary join, whose left side adaptive execution splits where it is skewed.
+    The side is computed once and counted. Empty: no left or anti join at all. Small: broadcast, so that the big
+    side is not shuffled. Larger: an ordinary join, which adaptive execution splits where the big side is skewed.
     """
     side = pin(side)
     rows = side.limit(BROADCAST_ROWS + 1).count()
     if rows == 0 and how == "left_anti":
         return big
-    if rows == 0:
-        extra = [f for f in side.schema.fields if f.name != on]
+    if rows == 0 and how == "left":
+        extra = [f for f in side.schema.fields if f.name not in ([on] if isinstance(on, str) else on)]
         return big.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
     return big.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
 
