@@ -21,11 +21,12 @@ def parse_events(lines: DataFrame) -> DataFrame:
     ).select("_e.*")
 
 
-def progress_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Events appended as JSON lines to files below ``folder``."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+def progress_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Events appended as JSON lines to files below ``folder``.
+
+    The files per trigger bound a micro-batch, and with it what one key can bring to a stateful task at once.
+    """
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", str(max_files_per_trigger))
     return parse_events(reader.load(folder))
 
 
@@ -88,7 +89,8 @@ def stage_durations_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS, de
         yield pd.DataFrame(out, columns=["analysis_id", "event_id", "status", "seconds"])
 
     return (
-        events.withWatermark("ts", delay)
+        events.select("analysis_id", "event_id", "status", "ts")
+        .withWatermark("ts", delay)
         .groupBy("analysis_id")
         .applyInPandasWithState(step, DURATION, LAST_EVENT, "append", GroupStateTimeout.EventTimeTimeout)
     )
