@@ -16,7 +16,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql()) == set(REGISTRY)
+    assert set(REGISTRY) <= set(entry_point.queries())
+    assert set(REGISTRY) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
