@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.common import table
 from corpuslens.llm.language_id import identify_languages
+from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.quality_classifier import classify_quality
 from corpuslens.llm.quality_rules import quality_rules
+from corpuslens.llm.token_files import token_files_roundtrip
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_roundtrip(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,5 +33,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_best_fit_packing, op4_token_files, op5_quality_classifier, op10_language_id,
+)}
 ORACLES: dict[str, str] = {}
