@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.common import table
+from corpuslens.llm.jaccard_join import jaccard_components
 from corpuslens.llm.language_id import identify_languages
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.quality_classifier import classify_quality
@@ -21,6 +22,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_roundtrip(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_best_fit_packing, op4_token_files, op5_quality_classifier, op10_language_id,
+    op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier, op10_language_id,
 )}
 ORACLES: dict[str, str] = {}
