@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuslens.llm.common import table
 from corpuslens.llm.jaccard_join import jaccard_components
 from corpuslens.llm.language_id import identify_languages
+from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.quality_classifier import classify_quality
 from corpuslens.llm.quality_rules import quality_rules
+from corpuslens.llm.sharding import shard_documents
 from corpuslens.llm.token_files import token_files_roundtrip
 
 
@@ -34,11 +36,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "__mix.*")
+
+
+def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier, op10_language_id,
+    op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier,
+    op7_source_mixture, op9_balanced_shards, op10_language_id,
 )}
 ORACLES: dict[str, str] = {}
