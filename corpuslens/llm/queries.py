@@ -8,6 +8,7 @@ from corpuslens.llm.common import table
 from corpuslens.llm.fingerprints import fingerprint_documents
 from corpuslens.llm.jaccard_join import jaccard_components
 from corpuslens.llm.language_id import identify_languages
+from corpuslens.llm.license_scan import scan_licenses
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.quality_classifier import classify_quality
@@ -45,6 +46,10 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "__mix.*")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier,
-    op6_document_fingerprints, op7_source_mixture, op9_balanced_shards, op10_language_id,
+    op6_document_fingerprints, op7_source_mixture, op8_license_scan, op9_balanced_shards, op10_language_id,
 )}
 ORACLES: dict[str, str] = {}
