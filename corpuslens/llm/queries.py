@@ -10,6 +10,7 @@ from corpuslens.llm.jaccard_join import jaccard_components
 from corpuslens.llm.language_id import identify_languages
 from corpuslens.llm.license_scan import scan_licenses
 from corpuslens.llm.mixing import mix_sources
+from corpuslens.llm.oracles import ORACLES
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.quality_classifier import classify_quality
 from corpuslens.llm.quality_rules import quality_rules
@@ -58,8 +59,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier,
     op6_document_fingerprints, op7_source_mixture, op8_license_scan, op9_balanced_shards, op10_language_id,
 )}
-ORACLES: dict[str, str] = {}
