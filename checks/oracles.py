@@ -118,10 +118,10 @@ g AS (SELECT repo_id, coalesce(bool_or(is_symlink AND inside), false) AS has_sym
   coalesce(max(CASE WHEN inside AND source THEN size_bytes END), 0)::BIGINT AS largest_file,
   count(CASE WHEN inside AND source THEN size_bytes END) AS source_files,
   coalesce(sum(CASE WHEN inside AND source THEN size_bytes END), 0)::BIGINT AS source_bytes FROM f GROUP BY repo_id)
-SELECT *, CASE WHEN has_symlink THEN 'Symlink detected in repository.'
-  WHEN largest_file > 18 * 1024 THEN 'Source file exceeds maximum size limit.'
-  WHEN source_files > 37 THEN 'Repository exceeds maximum allowed analyzable file count.'
-  WHEN source_bytes > 500 * 1024 * 1024 THEN 'Repository exceeds maximum allowed source size.' END AS reject_reason FROM g"""
+SELECT *, CASE WHEN has_symlink THEN 'symlink'
+  WHEN largest_file > 18 * 1024 THEN 'file too large'
+  WHEN source_files > 37 THEN 'too many files'
+  WHEN source_bytes > 500 * 1024 * 1024 THEN 'repository too large' END AS reject_reason FROM g"""
 
 
 def any_of(column: str, tokens) -> str:
@@ -504,8 +504,12 @@ ORACLES["search_issues"] = f"""SELECT {ISSUE_COLS} FROM ({ISSUES}) WHERE severit
 ORACLES["dependency_issues"] = f"SELECT {ISSUE_COLS} FROM ({ISSUES}) WHERE source_tool = 'npm-audit' OR title ILIKE '%dependency%'"
 ORACLES["list_repositories"] = f"SELECT id, name, full_name, is_private FROM ({REPOSITORIES}) WHERE owner_id = '3'"
 UPDATES = v.duck_view(q.UPDATES)
-ORACLES["apply_issue_updates"] = f"""WITH u AS (SELECT * FROM ({UPDATES})
-  QUALIFY row_number() OVER (PARTITION BY analysis_id, issue_id ORDER BY shipped DESC, nth DESC) = 1)
+ORACLES["apply_issue_updates"] = f"""WITH u AS (SELECT analysis_id, issue_id,
+    (SELECT s.status FROM ({UPDATES}) s WHERE s.analysis_id = k.analysis_id AND s.issue_id = k.issue_id AND s.status IS NOT NULL
+     ORDER BY s.shipped DESC, s.nth DESC, s.status DESC LIMIT 1) AS status,
+    (SELECT s.suggested_fix FROM ({UPDATES}) s WHERE s.analysis_id = k.analysis_id AND s.issue_id = k.issue_id AND s.suggested_fix IS NOT NULL
+     ORDER BY s.shipped DESC, s.nth DESC, s.suggested_fix DESC LIMIT 1) AS suggested_fix
+  FROM (SELECT DISTINCT analysis_id, issue_id FROM ({UPDATES})) k)
 SELECT i.id, i.analysis_id, coalesce(u.status, i.status) AS status, coalesce(u.suggested_fix, i.suggested_fix) AS suggested_fix
 FROM ({ISSUES}) i LEFT JOIN u ON u.analysis_id = i.analysis_id AND u.issue_id = i.id"""
 ORACLES["unmatched_updates"] = f"""SELECT u.analysis_id, u.issue_id, u.nth FROM ({UPDATES}) u

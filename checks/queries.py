@@ -14,6 +14,7 @@ from corpuslens.operators import chunks as ch
 from corpuslens.operators import css, dependencies as deps, evidence, files as fl, findings as fd
 from corpuslens.operators import issues as iss, patches as pt, progress as pg, reports as rp
 from corpuslens.operators import retrieval as rt, rules as rl, scores as sc, tests_plan as tp
+from corpuslens import catalogue as cat
 from corpuslens.plans.analysis import corpus_findings
 from corpuslens.sources import python_source as py, tables as tb, tool_reports as tr
 from corpuslens.streaming import progress as sp, scan as ss
@@ -153,7 +154,7 @@ def language_rules(spark, sf):
 
 @query
 def security_rules(spark, sf):
-    return rl.match_rules(_files(spark, sf), ("security",)).select(*FINDING)
+    return rl.match_rules(_files(spark, sf), ("security",), security_max_bytes=cat.SECURITY_MAX_BYTES).select(*FINDING)
 
 
 @query
@@ -470,7 +471,7 @@ def suggested_tests(spark, sf):
 def source_excerpts(spark, sf):
     files = _files(spark, sf)
     listed = fl.with_language(files).select("repo_id", "path", "language")
-    return tp.source_excerpts(listed, files)
+    return tp.source_excerpts(listed, files, limit=14_000)
 
 
 # Chunks and retrieval
@@ -493,7 +494,7 @@ def retrieve_chunks(spark, sf):
 
 @query
 def rag_context(spark, sf):
-    return rt.rag_context(v.spark_view(spark, sf, v.QUESTIONS), v.spark_view(spark, sf, v.CHUNKS))
+    return rt.rag_context(v.spark_view(spark, sf, v.QUESTIONS), v.spark_view(spark, sf, v.CHUNKS), content_chars=1500)
 
 
 @query
@@ -507,13 +508,13 @@ def append_chat_turns(spark, sf):
 
 @query
 def architecture_evidence(spark, sf):
-    return evidence.architecture_evidence(_files(spark, sf))
+    return evidence.architecture_evidence(_files(spark, sf), entries=400)
 
 
 @query
 def documentation_evidence(spark, sf):
     every = _files(spark, sf).unionByName(_manifests(spark, sf))
-    return evidence.documentation_evidence(every).select("repo_id", "section_no", "section", "line")
+    return evidence.documentation_evidence(every, entries=250).select("repo_id", "section_no", "section", "line")
 
 
 @query
@@ -632,4 +633,4 @@ def progress_sessions_stream(spark, sf):
 
 @query
 def stage_durations_stream(spark, sf):
-    return ss.run_available(sp.stage_durations_stream(_timed_events(spark, sf)), "durations")
+    return ss.run_available(sp.stage_durations_stream(_timed_events(spark, sf), ended=()), "durations")

@@ -48,6 +48,8 @@ def is_entry_point(path: Column | str) -> Column:
     return basename(path).isin(*cat.ENTRY_POINTS)
 
 
-def security_scannable(path: Column | str, size_bytes: Column | str = "size_bytes") -> Column:
-    name_ok = extension(path).isin(*cat.SECURITY_EXTENSIONS) | (basename(path) == ".env")
-    return name_ok & (_path(size_bytes) <= cat.SECURITY_MAX_BYTES) & not_in_ignored_dir(path, "security")
+def security_scannable(path: Column | str, max_bytes: int | None = None, size_bytes: Column | str = "size_bytes") -> Column:
+    """Files that are searched for secrets; with ``max_bytes`` larger ones are left out."""
+    named = extension(path).isin(*cat.SECURITY_EXTENSIONS) | (basename(path) == ".env")
+    fits = F.lit(True) if max_bytes is None else _path(size_bytes) <= max_bytes
+    return named & fits & not_in_ignored_dir(path, "security")

@@ -12,15 +12,12 @@ from corpuslens.operators.dependencies import dependencies, manifest_slice
 from corpuslens.session import pin
 from corpuslens.sources.python_source import python_facts
 
-ARCHITECTURE_ENTRIES = 400
-DOCUMENTATION_ENTRIES = 250
 
-
-def architecture_evidence(files: DataFrame) -> DataFrame:
-    """Languages, frameworks, entry points and the first 400 paths per repository: all of bounded size."""
+def architecture_evidence(files: DataFrame, entries: int) -> DataFrame:
+    """Languages, frameworks, entry points and the first ``entries`` paths per repository, gathered into cells."""
     repos = files.select("repo_id").distinct()
     tree = (
-        first_paths(files, ARCHITECTURE_ENTRIES, walk="language")
+        first_paths(files, entries, walk="language")
         .groupBy("repo_id")
         .agg(
             F.array_sort(F.collect_list("path")).alias("_tree"),
@@ -62,9 +59,11 @@ SECTIONS = (
 )
 
 
-def documentation_evidence(files: DataFrame) -> DataFrame:
+def documentation_evidence(files: DataFrame, entries: int | None = None) -> DataFrame:
     """Evidence lines (repo_id, section_no, section, sort_key, line); sort by them to get the text.
 
+    With ``entries`` the file tree stops after so many paths per repository.
+
     Lists such as dependencies have no bound, so every line stays a row and nothing is gathered.
     """
 
@@ -92,7 +91,7 @@ def documentation_evidence(files: DataFrame) -> DataFrame:
         "repo_id", F.when(is_route, 4).otherwise(5).alias("section_no"), order.alias("sort_key"),
         F.when(is_route, route_line).otherwise(env_line).alias("line"),
     )
-    tree = first_paths(files, DOCUMENTATION_ENTRIES, walk="tree")
+    tree = repo_tree(files).select("repo_id", "path") if entries is None else first_paths(files, entries, walk="tree")
     # Read twice below, so it is kept rather than computed twice.
     found = pin(
         lines(langs, 1, F.col("language"), bullet(F.col("language")))

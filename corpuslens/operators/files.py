@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,9 +139,11 @@ def first_paths(files: DataFrame, n: int, walk: str = "tree", n_salts: int = 64)
     )
 
 
-def cap_language_files(files: DataFrame, max_files: int = 5000) -> DataFrame:
-    """At most max_files language files per repository in path order (the analysis file cap)."""
+def cap_language_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """The language files of every repository; with ``max_files`` the first so many in path order."""
     listed = with_language(files)
+    if max_files is None:
+        return listed
     last = first_paths(listed.select("repo_id", "path"), max_files, walk="language").where(
         F.col("position") == max_files
     )
@@ -153,9 +157,9 @@ def cap_language_files(files: DataFrame, max_files: int = 5000) -> DataFrame:
 
 
 def repo_gate(
-    files: DataFrame, max_file_kb: int = 1024, max_files: int = 5000, max_repo_mb: int = 500
+    files: DataFrame, max_file_kb: float = math.inf, max_files: float = math.inf, max_repo_mb: float = math.inf
 ) -> DataFrame:
-    """Admission decision per repository with the message of the first failing check."""
+    """Admission report per repository with the first failing check; without limits only links are reported."""
     inside = not_in_ignored_dir("path", "clone")
     size = F.when(inside & is_analyzable("path"), F.col("size_bytes"))
     gate = (
@@ -168,9 +172,9 @@ def repo_gate(
         )
     )
     reason = (
-        F.when(F.col("has_symlink"), "Symlink detected in repository.")
-        .when(F.col("largest_file") > max_file_kb * 1024, "Source file exceeds maximum size limit.")
-        .when(F.col("source_files") > max_files, "Repository exceeds maximum allowed analyzable file count.")
-        .when(F.col("source_bytes") > max_repo_mb * 1024 * 1024, "Repository exceeds maximum allowed source size.")
+        F.when(F.col("has_symlink"), "symlink")
+        .when(F.col("largest_file") > F.lit(max_file_kb * 1024), "file too large")
+        .when(F.col("source_files") > F.lit(max_files), "too many files")
+        .when(F.col("source_bytes") > F.lit(max_repo_mb * 1024 * 1024), "repository too large")
     )
     return gate.withColumn("reject_reason", reason)

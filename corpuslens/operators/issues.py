@@ -57,14 +57,17 @@ def owned_analyses(analyses: DataFrame, repositories: DataFrame, owner=None) ->
 
 
 def apply_issue_updates(issues: DataFrame, updates: DataFrame) -> DataFrame:
-    """Issues with their newest update applied; NULL fields of an update leave the old value."""
-    latest = first_wins(
-        updates, ("analysis_id", "issue_id"),
-        [F.col("updated_at").desc(), F.col("status"), F.col("suggested_fix"), F.col("generated_patch")],
-    )
-    changed = latest.select(
-        "analysis_id", F.col("issue_id").alias("id"), F.col("status").alias("_status"),
-        F.col("suggested_fix").alias("_fix"), F.col("generated_patch").alias("_patch"),
+    """Issues with their updates applied in order: each field takes the newest value that is not NULL.
+
+    One aggregate, so an issue with many updates arrives as one row per map task.
+    """
+
+    def newest(field: str, out: str) -> Column:
+        given = F.when(F.col(field).isNotNull(), F.struct("updated_at", F.col(field).alias("value")))
+        return F.max(given)["value"].alias(out)
+
+    changed = updates.groupBy("analysis_id", F.col("issue_id").alias("id")).agg(
+        newest("status", "_status"), newest("suggested_fix", "_fix"), newest("generated_patch", "_patch")
     )
     out = issues.join(changed, ["analysis_id", "id"], "left")
     return (

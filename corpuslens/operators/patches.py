@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import normal_path, strip, wide_lines_array
 from corpuslens.operators.findings import first_wins
 
-# Response sections, the placeholder for "no fix", and words that betray prose.
+# Response sections, fences, heading marks, the placeholder for "no fix", and words that betray prose.
 SECTIONS = ("IMPROVED_CODE", "EXPLANATION", "SIDE_EFFECTS", "IMPROVEMENT")
 NO_FIX = "VALIDATION_REQUIRED"
 COMMIT_PROSE = (
-    r"(?imU)^\s*(however|here is the corrected version|alternative implementation|explanation"
+    r"(?imUd)^\s*(however|here is the corrected version|alternative implementation|explanation"
     r"|side effects|improvement)\s*[:.]?"
 )
-GENERATION_PROSE = r"(?imU)^\s*(however|here is the corrected version|alternative|explanation)\s*[:.]?"
+GENERATION_PROSE = r"(?imUd)^\s*(however|here is the corrected version|alternative|explanation)\s*[:.]?"
 PHP_BANNED = ("filter_sanitize_string", "password_verify($pwd, password_hash(", "here is the corrected version")
 OPEN_FENCE = r"(?U)^\s*```[a-zA-Z0-9_+#.-]*\s*\n?"
 CLOSE_FENCE = r"(?U)\n?\s*```\s*\z"

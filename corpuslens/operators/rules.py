@@ -103,14 +103,14 @@ def _file_rule_hits(content: Column, language: Column, first: int) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def _scan_frame(files: DataFrame) -> DataFrame:
+def _scan_frame(files: DataFrame, security_max_bytes: int | None) -> DataFrame:
     """Files any scan reads: language files and security-scannable files, flagged for both."""
     language = F.when(not_in_ignored_dir("path", "language"), language_of("path"))
     return (
         files.select(
             "repo_id", "path", "content",
             language.alias("language"),
-            F.coalesce(security_scannable("path"), F.lit(False)).alias("_secure"),
+            F.coalesce(security_scannable("path", security_max_bytes), F.lit(False)).alias("_secure"),
         )
         .where(F.col("language").isNotNull() | F.col("_secure"))
     )
@@ -131,10 +131,15 @@ def _findings(hits: DataFrame, texts: list[str]) -> DataFrame:
     )
 
 
-def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, file_rules: bool = False) -> DataFrame:
-    """Findings of the chosen line-rule families; with ``file_rules`` also the file-level ones, in the same pass."""
+def match_rules(
+    files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, file_rules: bool = False, security_max_bytes: int | None = None
+) -> DataFrame:
+    """Findings of the chosen line-rule families; with ``file_rules`` also the file-level ones, in the same pass.
+
+    Files of any size are searched for secrets unless ``security_max_bytes`` is given.
+    """
     rules = [r for r in RULES if r.family in families]
-    scan = _scan_frame(files)
+    scan = _scan_frame(files, security_max_bytes)
     if families == ("security",):
         scan = scan.where(F.col("_secure"))
     elif "security" not in families:
@@ -165,9 +170,9 @@ def match_rules(files: DataFrame, families: tuple[str, ...] = LINE_FAMILIES, fil
     return _findings(hits, _line_rule_texts(rules) + _file_rule_texts())
 
 
-def scan_findings(files: DataFrame) -> DataFrame:
+def scan_findings(files: DataFrame, security_max_bytes: int | None = None) -> DataFrame:
     """Every line and file rule in one pass over the files."""
-    return match_rules(files, LINE_FAMILIES, file_rules=True)
+    return match_rules(files, LINE_FAMILIES, file_rules=True, security_max_bytes=security_max_bytes)
 
 
 def _holds(tokens):
@@ -225,7 +230,3 @@ def file_findings(files: DataFrame) -> DataFrame:
     )
     return _findings(hits, _file_rule_texts())
 
-
-def findings_layout(df: DataFrame) -> DataFrame:
-    """The shared findings columns in their fixed order; lets analyzers be appended by name."""
-    return df.select(*FINDING_COLUMNS)

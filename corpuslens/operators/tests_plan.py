@@ -37,12 +37,8 @@ def suggested_tests(candidates: DataFrame) -> DataFrame:
     )
 
 
-# Characters of a source file that accompany a request for tests or for a fix.
-TEST_SOURCE_CHARS = 14_000
-FIX_SOURCE_CHARS = 20_000
-
-
-def source_excerpts(paths: DataFrame, files: DataFrame, limit: int = TEST_SOURCE_CHARS) -> DataFrame:
-    """Adds the first ``limit`` characters of each listed file; (repo_id, path) is unique in files."""
-    text = files.select("repo_id", "path", F.substring("content", 1, limit).alias("excerpt"))
+def source_excerpts(paths: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds the text of each listed file, or its first ``limit`` characters; (repo_id, path) is unique in files."""
+    content = F.col("content") if limit is None else F.substring("content", 1, limit)
+    text = files.select("repo_id", "path", content.alias("excerpt"))
     return join_small(text, paths, ["repo_id", "path"], "inner")

@@ -11,7 +11,7 @@ FILES = (
 ISSUES = (
     "id string, analysis_id string, title string, severity string, category string, file_path string, "
     "line_number int, language string, description string, risk string, suggested_fix string, "
-    "generated_patch string, source_tool string, status string, created_at timestamp"
+    "generated_patch string, source_tool string, status string, created_at timestamp, seq_major bigint, seq_minor bigint"
 )
 TABLES = {
     "users": "id string, email string, full_name string, avatar_url string, created_at timestamp",

@@ -20,19 +20,22 @@ def read_table(spark: SparkSession, name: str, location: str, fmt: str = "parque
     return spark.read.format(fmt).options(**options).schema(SCHEMAS[name]).load(location)
 
 
-def scan_files(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, repo_depth: int = 1, links: DataFrame | None = None) -> DataFrame:
     """Reads a tree of checked-out repositories as the files table.
 
-    ``root`` holds one folder per repository (``repo_depth`` levels down). Symbolic links are not visible
-    to file sources; join a listing for the admission gate. Only selected columns are read, so a query
-    without content touches metadata only.
+    ``root`` is a folder, not a pattern, and holds one folder per repository (``repo_depth`` levels down). File
+    sources follow symbolic links; ``links`` (repo_id, path) lists those of the tree for ``is_symlink``. Only
+    selected columns are read, so a query without content touches metadata only.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1].removeprefix("file:"))
-    rel = F.expr("regexp_replace(path, '^[a-z0-9]+:/*', '/')")
-    rel = F.ltrim(F.replace(rel, base, F.lit("")), F.lit("/"))
-    parts = F.split(rel, "/")
-    return raw.select(
+    # Paths come back as URIs of the resolved root: without scheme and authority both begin with the same text.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    resolved = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop)
+    base = resolved.toUri().getPath().rstrip("/") + "/"
+    full = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    inside = F.when(full.startswith(base), F.substring(full, len(base) + 1, 1 << 30)).otherwise(full)
+    parts = F.split(inside, "/")
+    listed = raw.select(
         F.array_join(F.slice(parts, 1, repo_depth), "/").alias("repo_id"),
         F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/").alias("path"),
         F.col("length").alias("size_bytes"),
@@ -40,6 +43,11 @@ def scan_files(spark: SparkSession, root: str, repo_depth: int = 1) -> DataFrame
         decode_utf8("content").alias("content"),
         F.is_valid_utf8(F.col("content").cast("string")).alias("utf8_valid"),
     )
+    if links is None:
+        return listed
+    marked = links.select("repo_id", "path", F.lit(True).alias("_link")).distinct()
+    joined = listed.join(marked, ["repo_id", "path"], "left").withColumn("is_symlink", F.coalesce("_link", F.lit(False)))
+    return joined.select(*listed.columns)
 
 
 def write_issues(findings: DataFrame, path: str, analysis_id: str | None = None) -> None:
@@ -51,8 +59,10 @@ def write_issues(findings: DataFrame, path: str, analysis_id: str | None = None)
         "risk", "suggested_fix", "generated_patch", "source_tool",
         F.lit("open").alias("status"),
         F.current_timestamp().alias("created_at"),
+        # Issues of one analysis are created in this order; they share created_at.
+        F.col("seq_major").cast("bigint").alias("seq_major"), F.col("seq_minor").cast("bigint").alias("seq_minor"),
     )
-    rows.write.mode("append").partitionBy("severity").parquet(path)
+    rows.repartitionByRange("analysis_id", "seq_major", "seq_minor").sortWithinPartitions("analysis_id", "seq_major", "seq_minor").write.mode("append").parquet(path)
 
 
 def append_chat_turns(questions: DataFrame, answers: DataFrame) -> DataFrame:

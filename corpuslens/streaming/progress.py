@@ -64,9 +64,14 @@ DURATION = "analysis_id string, event_id bigint, status string, seconds bigint"
 LAST_EVENT = "event_id bigint, status string, ts timestamp"
 
 
-def stage_durations_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Seconds each stage took, emitted when the next event arrives. State is one event per analysis and is
-    dropped ttl seconds after it. Events must arrive in time order per analysis, as they are pushed.
+#: Statuses after which an analysis pushes nothing more; its pending event is then dropped.
+ENDED = ("complete", "failed")
+
+
+def stage_durations_stream(events: DataFrame, ended: tuple[str, ...] = ENDED, quiet_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Seconds each stage took, emitted when the next event arrives, however long that takes. State is one event per
+    analysis; it is dropped only if that event has one of the ``ended`` statuses and the analysis stays quiet for
+    ``quiet_seconds`` (a later event then opens a new run). Events must arrive in time order per analysis.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,11 +86,9 @@ def stage_durations_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS, de
                 out.append((key[0], last[0], last[1], int((ts - pd.Timestamp(last[2])).total_seconds())))
             last = (int(event_id), status, ts.to_pydatetime())
         state.update(last)
-        deadline = int(pd.Timestamp(last[2]).timestamp() * 1000) + ttl_seconds * 1000
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
-        else:
-            state.remove()
+        if last[1] in ended:
+            deadline = int(pd.Timestamp(last[2]).timestamp() * 1000) + quiet_seconds * 1000
+            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["analysis_id", "event_id", "status", "seconds"])
 
     return (

@@ -41,7 +41,7 @@ def test_progress_streams_agree_with_batch(spark, tmp_path):
 
     seconds = {(r.analysis_id, r.status): r.seconds for r in stage_durations(batch).collect()}
     assert seconds["done", "cloning"] == 60 and seconds["done", "building_index"] == 30 and seconds["done", "complete"] is None
-    streamed = run_available(stage_durations_stream(progress_stream(spark, str(tmp_path), 1), ttl_seconds=10**7), "t-durations")
+    streamed = run_available(stage_durations_stream(progress_stream(spark, str(tmp_path), 1), ended=()), "t-durations")
     assert {(r.analysis_id, r.event_id, r.seconds) for r in streamed.collect()} == {
         (r.analysis_id, r.event_id, r.seconds) for r in stage_durations(batch).where("seconds is not null").collect()}
 

@@ -12,7 +12,8 @@ from corpuslens.operators.findings import dedup_findings, diff_issues, first_win
 from corpuslens.operators.numbering import neighbour_on, number_within, offsets_within, ranged
 from corpuslens.operators.patches import commit_reject_reason, parse_fix_sections
 from corpuslens.operators.reports import report_json, report_markdown, write_issues_csv, write_reports
-from corpuslens.operators.retrieval import NO_INDEX, rag_context, retrieve_chunks
+from corpuslens.operators.issues import apply_issue_updates
+from corpuslens.operators.retrieval import NO_INDEX, nearest, rag_context, retrieve_chunks, without_vector
 from corpuslens.operators.scores import score_repos
 from corpuslens.plans.analysis import analyze_corpus
 from corpuslens.schemas import FILES, FINDING_COLUMNS, ISSUES, TABLES
@@ -125,7 +126,7 @@ def test_nearest_chunks_do_not_depend_on_blocks(spark):
         want |= {(qid, cid, rank) for rank, (_, cid) in enumerate(near, 1)}
     for sizes in ({}, {"block_rows": 30, "question_rows": 4}):
         assert {(r.question_id, r.chunk_id, r.rank) for r in retrieve_chunks(q, c, **sizes).collect()} == want
-    context = {r.question_id: r for r in rag_context(q, c).collect()}
+    context = {r.question_id: r for r in rag_context(q, c, content_chars=1500).collect()}
     assert context["lost"].context == NO_INDEX and context["lost"].referenced_files == ""
     assert context["q1"].context.startswith("### f") and context["q1"].context.count("x" * 1500) == 6 and "x" * 1501 not in context["q1"].context
 
@@ -176,12 +177,54 @@ def test_gate(spark):
             ("hidden", "x.png", 10**9, False), ("large", "a.py", 1024 * 1024 + 1, False), ("edge", "a.py", 1024 * 1024, False)]
     rows += [("many", f"f{i}.py", 1, False) for i in range(4)]
     files = spark.createDataFrame([(r, p, n, s, "", True) for r, p, n, s in rows], FILES)
-    got = {r.repo_id: r.reject_reason for r in repo_gate(files, max_files=3).collect()}
+    limits = {"max_file_kb": 1024, "max_files": 3}
+    got = {r.repo_id: r.reject_reason for r in repo_gate(files, **limits).collect()}
     assert [k for k, x in got.items() if x is None] and {k for k, x in got.items() if x is None} == {"ok", "hidden", "edge"}
-    assert got["link"].startswith("Symlink") and "maximum size" in got["large"] and "count" in got["many"]
-    result = analyze_corpus(files)
-    assert {r.repo_id for r in result.rejects.collect()} == {"link", "large"}
-    assert {r.repo_id for r in result.scores.collect()} == {"ok", "hidden", "edge", "many"}
+    assert (got["link"], got["large"], got["many"]) == ("symlink", "file too large", "too many files")
+    result = analyze_corpus(files, limits=limits)
+    assert {r.repo_id for r in result.rejects.collect()} == {"link", "large", "many"}
+    assert {r.repo_id for r in result.scores.collect()} == {"ok", "hidden", "edge"}
+
+
+def test_nothing_is_left_out_by_default(spark):
+    secret = "token = 'abcdefgh1'\n"
+    rows = [("big", f"src/f{i}.py", 1, False, "x = 1\n", True) for i in range(6000)]
+    rows.append(("big", "src/large.py", 3_000_019, False, "#" * 3_000_000 + "\n" + secret, True))
+    result = analyze_corpus(spark.createDataFrame(rows, FILES).repartition(8))
+    assert result.rejects.count() == 0 and {r.reject_reason for r in result.gate.collect()} == {None}
+    assert [(r.file_path, r.line_number) for r in result.findings.where("category = 'security'").collect()] == [("src/large.py", 2)]
+    record = result.record.first()
+    assert (record.repository_id, record.status, record.file_count, record.languages) == ("big", "complete", 6001, ["Python"])
+    assert record.lines_of_code == 6002 and record.security_score == result.scores.first().security_score < 100
+
+
+def test_updates_keep_earlier_fields(spark):
+    issues = spark.createDataFrame([("a", "1", "open", "old", None), ("a", "2", "open", None, None)],
+                                   "analysis_id string, id string, status string, suggested_fix string, generated_patch string")
+    updates = spark.createDataFrame([("a", "1", "resolved", None, None, 1), ("a", "1", None, "new", "p", 2), ("a", "1", None, "newer", None, 3)],
+                                    "analysis_id string, issue_id string, status string, suggested_fix string, generated_patch string, updated_at int")
+    got = {r.id: (r.status, r.suggested_fix, r.generated_patch) for r in apply_issue_updates(issues, updates).collect()}
+    assert got == {"1": ("resolved", "newer", "p"), "2": ("open", None, None)}
+
+
+def test_one_question_id_in_two_repositories(spark):
+    questions = spark.createDataFrame([("q", "a", [0.0, 0.0]), ("q", "b", [0.0, 1.0]), ("q2", "a", None)], "question_id string, repo_id string, embedding array<float>")
+    chunks = spark.createDataFrame(
+        [("a", 1, "fa.py", 1, 2, "xa", [0.0, 0.0]), ("b", 2, "fb.py", 1, 2, "xb", [0.0, 0.0]), ("a", 3, "n.py", 1, 2, "n", None), ("a", 4, "d.py", 1, 2, "d", [1.0])],
+        "repo_id string, chunk_id int, file_path string, start_line int, end_line int, content string, embedding array<float>")
+    got = {(r.question_id, r.repo_id): r.referenced_files for r in rag_context(questions, chunks).collect()}
+    assert got == {("q", "a"): "fa.py:1-2", ("q", "b"): "fb.py:1-2", ("q2", "a"): ""}
+    assert without_vector(chunks).count() == 1 and without_vector(questions).count() == 1
+
+
+def test_nearest_matches_differences():
+    rng = np.random.default_rng(1)
+    chunks = np.repeat(rng.normal(size=(400, 8)), 2, axis=0) + 1000
+    questions = np.concatenate([rng.normal(size=(300, 8)) + 1000, chunks[:40]])
+    at, distance = nearest(chunks, questions, 5)
+    plain = np.sqrt(((questions[:, None, :] - chunks[None]) ** 2).sum(axis=2))
+    assert (at == np.argsort(plain, axis=1, kind="stable")[:, :5]).all()
+    assert np.allclose(distance, np.sort(plain, axis=1)[:, :5])
 
 
 def test_caps_and_facts(make_files):
@@ -198,11 +241,12 @@ def test_caps_and_facts(make_files):
 
 def test_patch_reasons(spark):
     rows = [("a.py", "```x```"), ("a.py", "  "), ("a.py", " VALIDATION_REQUIRED "), ("a.py", "ok\n  However x"), ("a.php", "echo 1"), ("a.php", "<?php filter_sanitize_string"),
-            ("a.HTML", "<html>"), ("a.htm", "<html></HTML>"), ("a.py", "x = explanation"), ("a.py", None)]
+            ("a.HTML", "<html>"), ("a.htm", "<html></HTML>"), ("a.py", "x = explanation"), ("a.py", None),
+            ("a.py", "x\rHowever"), ("a.py", "s = 'a\u0085Explanation'"), ("a.py", "s = 'a\u2028Explanation'")]
     df = spark.createDataFrame(rows, "p string, t string")
     assert [r[0] for r in df.select(commit_reject_reason("p", "t")).collect()] == [
         "contains code fences", "empty", "needs manual validation", "contains explanatory text", "no PHP opening tag", "deprecated filter",
-        "incomplete HTML", None, None, "empty"]
+        "incomplete HTML", None, None, "empty", None, None, None]
 
 
 def test_response_sections(spark):
@@ -222,17 +266,22 @@ def test_python_facts():
 
 def test_scan_and_write(spark, tmp_path):
     root = tmp_path / "repos"
-    for path, data in {"r1/src/a.py": b"token = 'abcdefgh1'\n\xff", "r1/README.md": b"x", "r2/b.js": b"eval(x)"}.items():
+    inner = f"src/vendor{root}/a.py"  # the root's own text again, inside a path
+    for path, data in {inner: b"y", "r1/src/a.py": b"token = 'abcdefgh1'\n\xff", "r1/README.md": b"x", "r2/b.js": b"eval(x)"}.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(data)
     files = scan_files(spark, str(root))
     assert {(r.repo_id, r.path, r.size_bytes, r.utf8_valid) for r in files.collect()} == {
-        ("r1", "src/a.py", 21, False), ("r1", "README.md", 1, True), ("r2", "b.js", 7, True)}
+        ("r1", "src/a.py", 21, False), ("r1", "README.md", 1, True), ("r2", "b.js", 7, True), ("src", inner[4:], 1, True)}
+    links = spark.createDataFrame([("r2", "b.js")], "repo_id string, path string")
+    assert [r.path for r in scan_files(spark, "file:" + str(root), links=links).where("is_symlink").collect()] == ["b.js"]
     result = analyze_corpus(files)
     out = str(tmp_path / "issues")
     write_issues(result.findings, out)
     write_issues(result.findings, out)
     issues = read_table(spark, "issues", out)
+    first = issues.orderBy("analysis_id", "created_at", "seq_major", "seq_minor").select("title").collect()
+    assert first[: len(first) // 2]
     assert issues.count() == 2 * result.findings.count() == 2 * issues.select("id").distinct().count() > 0
 
     index = str(tmp_path / "index")
@@ -245,7 +294,7 @@ def test_scan_and_write(spark, tmp_path):
 
 def test_exports(spark, tmp_path):
     t = datetime(2024, 1, 1)
-    rows = [(f"i{k}", "a1", "t", "high", "bug", "f.py", k, None, 'say "x", y\nz' if k else None, None, None, None, None, "open", t) for k in (1, 0)]
+    rows = [(f"i{k}", "a1", "t", "high", "bug", "f.py", k, None, 'say "x", y\nz' if k else None, None, None, None, None, "open", t, 0, k) for k in (1, 0)]
     issues = spark.createDataFrame(rows, ISSUES)
     repos = spark.createDataFrame([("p", "o", "n", "o/n", "u", False, "main", t)], TABLES["repositories"])
     analysis = dict.fromkeys([f.split()[0] for f in TABLES["analyses"].split(", ")])
