@@ -9,9 +9,13 @@ count is the same, and so is the sum of its shingles. The index holds every docu
 2. Under each index entry, every document is compared with the entry's smallest one: a star, never all pairs. The
    overlap is bounded by the sum of coordinate minima of two group-count vectors before texts are compared.
 3. Links found so far give components. Only entries whose documents still lie in several components can hide
-   another link. There an R-tree over the count vectors (packed pages with bounding boxes) is joined with itself:
-   page pairs are skipped when the summed minima of their upper corners are too small, or when all their points
-   already share a component. The survivors are verified on whole texts.
+   another link; of entries with the same documents one is enough. There an R-tree over the count vectors (packed
+   pages with bounding boxes) is joined with itself: page pairs are skipped when the summed minima of their upper
+   corners are too small, or when all their points already share a component. The survivors are verified on whole
+   texts.
+
+Count vectors have a coordinate for about every four shingles, in powers of two, so that differences seldom cancel
+within one; vectors of different length are folded to the shorter one.
 
 An R-tree over the whole corpus could not do this alone: at this threshold, boxes of unrelated texts of one size
 overlap in every coordinate, so nearly all page pairs would survive. The equal group is what routes to a page.
@@ -25,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,8 @@ from corpuslens.llm.common import save, slabs, utf8
 from corpuslens.llm.components import components
 
 N = 3
-#: Coordinates of the count vectors.
-DIMENSIONS = 16
+#: Shingles for each coordinate of a count vector, and the fewest coordinates.
+PER_COORDINATE, LEAST_COORDINATES = 4, 64
 #: A size class spans this ratio of set sizes; a document also stands in the class below if partners may be there.
 CLASS_RATIO = 1.2
 #: Groups beyond the slack, so that empty groups need not be indexed for nearly all documents.
@@ -137,7 +140,15 @@ def entries(grams: np.ndarray) -> np.ndarray:
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+    """Shingles per coordinate; the number of coordinates is a power of two that follows the set's size."""
+    size = LEAST_COORDINATES
+    while size * PER_COORDINATE < len(grams):
+        size *= 2
+    return np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype("<u4")
+
+
+def fold(vector: np.ndarray, size: int) -> np.ndarray:
+    return vector if len(vector) == size else vector.reshape(-1, size).sum(axis=0, dtype=vector.dtype)
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -152,30 +163,34 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 two = np.array([mix(s ^ _POWER).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 keys = [entries(s) if len(s) >= 9 else np.zeros(0, np.int64) for s in sets]
                 ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-                vectors = np.concatenate([count_vector(s) for s in sets]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(slab)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * DIMENSIONS), pa.array(vectors)),
+                    pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                 ], names=["id", "n", "s1", "s2", "v", "entries"])
                 at += len(slab)
 
     rows = docs.select(F.col(key).cast("bigint"), F.col(text))
-    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, v array<int>, entries array<bigint>"), "signatures")
+    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, v binary, entries array<bigint>"), "signatures")
 
 
-def overlap_bound(a, b):
-    """An upper bound of the intersection of two sets: the sum of coordinate minima."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+@F.arrow_udf(BooleanType())
+def _may_link(va: pa.Array, vb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+    """Whether the sum of coordinate minima, an upper bound of the intersection, reaches 90 / 190 of both sizes."""
+    out = []
+    for x, y, m in zip(va.to_pylist(), vb.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist()):
+        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        size = min(len(x), len(y))
+        out.append(190 * int(np.minimum(fold(x, size), fold(y, size)).sum()) >= 90 * m)
+    return pa.array(out, pa.bool_())
 
 
 def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose count vectors allow a link: bound >= 90 / 190 of the summed sizes."""
+    """Pairs (a, b) whose count vectors allow a link."""
     side = nodes.select("id", "n", "v")
     left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(190 * overlap_bound(F.col("va"), F.col("vb")) >= 90 * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_may_link("va", "vb", "na", "nb")).select("a", "b").distinct()
 
 
 @F.arrow_udf(BooleanType())
@@ -214,7 +229,8 @@ def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.nd
     ``side`` (0 or 1 per point) restricts pairs to points of different sides.
     """
     order = np.lexsort((v[:, 1], v[:, 0], n))
-    low, high, size = v[order], v[order], n[order]
+    high, size = v[order], n[order]
+    rows = max(1, (1 << 22) // v.shape[1])
     cmin, cmax = component[order], component[order]
     levels = [(high, size, cmin, cmax)]
     while len(levels[-1][1]) > 1:
@@ -225,8 +241,8 @@ def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.nd
     for depth in range(len(levels) - 1, -1, -1):
         high, size, cmin, cmax = levels[depth]
         keep = []
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        for i in range(0, len(a), rows):
+            x, y = a[i : i + rows], b[i : i + rows]
             bound = np.minimum(high[x], high[y]).sum(axis=1)
             ok = 190 * bound >= 90 * (size[x] + size[y])
             ok &= (np.minimum(cmin[x], cmin[y]) != np.maximum(cmax[x], cmax[y]))
@@ -249,26 +265,51 @@ def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.nd
     return np.stack([a[ok], b[ok]], 1)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``keys`` columns, over the bounds of batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        values = np.stack([rows.column(k).to_numpy() for k in range(keys)])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist()]
+        for a, b in zip(bounds, bounds[1:]):
+            yield rows.slice(a, b - a)
+        rest = rows.slice(bounds[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group (entry, i, j) by an R-tree; columns entry, i, j, own, id, c, n, v."""
+    for group in _grouped(batches, 3):
+        i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        own, ids, c, n = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
+        vectors = [np.frombuffer(x, "<u4") for x in group.column(7).to_pylist()]
+        size = min(map(len, vectors))
+        side = None if i == j else (own == j).astype(np.int8)
+        found = rtree_pairs(n, np.stack([fold(x, size) for x in vectors]), c, side)
+        x, y = ids[found[:, 0]], ids[found[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+
 def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs that share an index entry, lie in different components and pass the bound."""
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    mixed = placed.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-    mixed = save(mixed.select("entry", "m"), "mixed")
+    placed = save(placed, "placed")
+    sets = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    mixed = placed.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m"), *sets).where("x <> y")
+    mixed = save(mixed.groupBy("m", "h0", "h1").agg(F.min("entry").alias("entry")).select("entry", "m"), "mixed")
     open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", "v"), "id")
     # Blocks of an entry: one block is joined with itself, more are dealt out as all pairs of blocks.
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "v")
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].to_numpy()
-        side = None if group["i"].iloc[0] == group["j"].iloc[0] else (group["own"] == group["j"]).to_numpy().astype(np.int8)
-        found = rtree_pairs(group["n"].to_numpy(), np.stack(group["v"].to_numpy()), group["c"].to_numpy(), side)
-        x, y = ids[found[:, 0]], ids[found[:, 1]]
-        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    return dealt.groupBy("entry", "i", "j").applyInPandas(join, "a bigint, b bigint").distinct()
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    return dealt.mapInArrow(_join_groups, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

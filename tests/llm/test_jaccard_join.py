@@ -110,8 +110,8 @@ def test_linked_sets_share_an_entry():
 @pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 300])
 def test_rtree_finds_what_the_bound_allows(n):
     rng = np.random.default_rng(n)
-    v = rng.integers(0, 12, (n, jj.DIMENSIONS))
-    v[n // 2 :] = v[: n - n // 2] + rng.integers(0, 2, (n - n // 2, jj.DIMENSIONS))
+    v = rng.integers(0, 12, (n, 64))
+    v[n // 2 :] = v[: n - n // 2] + rng.integers(0, 2, (n - n // 2, 64))
     sizes, component = v.sum(axis=1), rng.integers(0, 5, n)
     got = {tuple(sorted(p)) for p in jj.rtree_pairs(sizes, v, component).tolist()}
     want = {
@@ -121,6 +121,18 @@ def test_rtree_finds_what_the_bound_allows(n):
     assert got == want
 
 
+def test_larger_groups_are_joined_in_blocks(spark, monkeypatch):
+    """Many texts of one group that do not link with its first one, dealt out in several blocks."""
+    monkeypatch.setattr(jj, "BLOCK", 16)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for _ in range(30):
+            texts.append(" ".join(edited(rng, base, 2)))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4))
+
+
 def test_shingles_ignore_case_and_spacing():
     a, b, c = jj.shingles(pa.array(["The  cat\tSAT on", "the cat sat on", "the cat sat On mat"]))
     assert a.tolist() == b.tolist() and set(a) < set(c)
