@@ -13,7 +13,7 @@ from corpuslens.catalogue import CHUNK_BOUNDARY, CHUNK_NEEDS, CHUNK_WINDOW_LINES
 from corpuslens.functions.lookup import contains_any
 from corpuslens.functions.text import count_char, lines_array, strip
 from corpuslens.operators.files import with_language
-from corpuslens.operators.numbering import offsets_within
+from corpuslens.operators.numbering import number_within
 
 # Lines hold no carriage return once newlines are unified, so it is free to serve as the mark.
 MARK = "\r"
@@ -73,24 +73,15 @@ def chunk_files(files: DataFrame) -> DataFrame:
 def build_chunk_index(files: DataFrame) -> DataFrame:
     """Chunks with the id 'path:start-end:ordinal', the ordinal running over the whole repository.
 
-    The ordinal is the file's offset plus the chunk's place in its file. Offsets come from one small
-    row per file, numbered over range partitions, so a repository with a third of all files is split.
+    Files are cut once; the chunks are range-partitioned by repository and place, written, and numbered where they
+    lie, so a repository with a third of all files is split and no text is joined.
     """
-    per_file = file_chunks(files)
-    counts = per_file.select("repo_id", "file_path", F.size("_chunks").alias("_n")).where(F.col("_n") > 0)
-    offsets = offsets_within(counts, ["repo_id"], ["file_path"], "_n", "_offset").drop("_n")
-    return (
-        per_file.join(offsets, ["repo_id", "file_path"])
-        .select("repo_id", "file_path", "_offset", F.posexplode_outer("_chunks").alias("_k", "_c"))
-        .select(
-            "repo_id",
-            F.concat(
-                "file_path", F.lit(":"), F.col("_c.start_line").cast("string"), F.lit("-"),
-                F.col("_c.end_line").cast("string"), F.lit(":"), (F.col("_offset") + F.col("_k")).cast("string"),
-            ).alias("chunk_id"),
-            "file_path", "_c.start_line", "_c.end_line", "_c.content",
-        )
+    numbered = number_within(chunk_files(files), ["repo_id"], ["file_path", "start_line"], "_n")
+    name = F.concat(
+        "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"),
+        F.lit(":"), (F.col("_n") - 1).cast("string"),
     )
+    return numbered.select("repo_id", name.alias("chunk_id"), "file_path", "start_line", "end_line", "content")
 
 
 def write_chunk_index(index: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.session import pin
+from corpuslens.session import join_small, pin, scratch_path
 
 PID = "_pid"
 
@@ -65,6 +65,19 @@ def offsets_within(df: DataFrame, group: list[str], order: list, weight: str, ou
 
 
 def number_within(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
-    """Adds 1..n per group in ``order``, which must be unique within the group."""
-    weighted = df.withColumn("_one", F.lit(1))
-    return offsets_within(weighted, group, order, "_one", out).withColumn(out, F.col(out) + 1).drop("_one")
+    """Adds 1..n per group in ``order``, which must be unique within the group.
+
+    Rows are exchanged once, by ranges, sorted and written with their place in their task. One small row per (group,
+    task) then turns places into numbers; it is broadcast if it was counted as small, so wide rows stay where they are.
+    """
+    keys = [*[F.col(g) for g in group], *_columns(order)]
+    path = scratch_path(df.sparkSession, "numbered")
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    # The upper bits of the id are the writing task, the lower ones the row's place in it.
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn(PID, F.shiftright("_at", 33))
+    spans = rows.groupBy(*group, PID).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    ahead = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = spans.select(*group, PID, (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    numbered = join_small(rows, shifts, [*group, PID], "inner").withColumn(out, F.col("_at") + F.col("_shift"))
+    return numbered.select(*df.columns, out)

@@ -31,6 +31,7 @@ def progress_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> Data
     numbers come from range partitions, so one very busy analysis is spread over many tasks.
     """
     group, order = ["analysis_id"], ["ts", "event_id"]
+    events = events.select("analysis_id", "event_id", "ts", "status", "progress_percent")
     rows = neighbour_on(ranged(events, group, order), group, order, "ts", "_before", -1)
     gap = F.col("ts") >= F.col("_before") + F.make_dt_interval(secs=F.lit(ttl_seconds))
     rows = rows.withColumn("_opens", F.when(gap, 1).otherwise(0))
@@ -57,6 +58,7 @@ def progress_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> Data
 def stage_durations(events: DataFrame) -> DataFrame:
     """Seconds from each event to the next one of the same analysis; NULL for the last."""
     group, order = ["analysis_id"], ["ts", "event_id"]
+    events = events.select("analysis_id", "event_id", "ts", "status", "progress_percent")
     rows = neighbour_on(ranged(events, group, order), group, order, "ts", "_next", 1)
     seconds = F.timestamp_diff("SECOND", F.col("ts"), F.col("_next"))
     return rows.select("analysis_id", "event_id", "status", "progress_percent", "ts", seconds.alias("seconds"))

@@ -65,3 +65,10 @@ def test_large_sides_are_not_broadcast_by_hint(stored, monkeypatch):
     few = stored.select("repo_id").limit(3)
     logical = session.join_small(stored, few, "repo_id", "left_anti")._jdf.queryExecution().analyzed().toString()
     assert "hint" not in logical.lower()
+
+
+def test_chunk_texts_are_not_joined_by_shuffle(stored):
+    """Chunks are written once in order; numbering reads them back and joins one small row per group and task."""
+    text = plan(chunks.build_chunk_index(stored))
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 1
+    assert not any(re.search(r"content#\d+", line) for line in text.splitlines() if "Exchange " in line)

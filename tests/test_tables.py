@@ -11,7 +11,7 @@ from corpuslens.operators.files import cap_language_files, first_paths, repo_fac
 from corpuslens.operators.findings import dedup_findings, diff_issues, first_wins
 from corpuslens.operators.numbering import neighbour_on, number_within, offsets_within, ranged
 from corpuslens.operators.patches import commit_reject_reason, parse_fix_sections
-from corpuslens.operators.reports import report_json, report_markdown, write_issues_csv, write_reports
+from corpuslens.operators.reports import json_document, report_json, report_markdown, write_issues_csv, write_reports
 from corpuslens.operators.issues import apply_issue_updates
 from corpuslens.operators.retrieval import NO_INDEX, nearest, rag_context, retrieve_chunks, without_vector
 from corpuslens.operators.scores import score_repos
@@ -300,7 +300,7 @@ def test_exports(spark, tmp_path):
     analysis = dict.fromkeys([f.split()[0] for f in TABLES["analyses"].split(", ")])
     analyses = spark.createDataFrame(
         [tuple({**analysis, "id": i, "repository_id": "p", "branch": "b", "status": "complete"}.values()) for i in ("a1", "a2")], TABLES["analyses"])
-    write_issues_csv(issues, str(tmp_path / "csv"))
+    write_issues_csv(issues, str(tmp_path / "csv"), folders=True)
     [part] = (tmp_path / "csv" / "analysis_id=a1").glob("*.csv")
     assert part.read_bytes().startswith(b"\xef\xbb\xbf")
     cells = list(csv.reader(open(part, encoding="utf-8-sig", newline="")))
@@ -309,8 +309,32 @@ def test_exports(spark, tmp_path):
     texts = {(r.analysis_id, r.part): r.text for r in parts.collect()}
     assert "- **Languages:** Unknown" in texts["a1", 0] and "| Overall | 0 |" in texts["a1", 0] and texts["a2", 0].endswith("No issues were detected.")
     assert "- **Location:** `f.py`" in texts["a1", 1] and "`f.py:1`" in texts["a1", 2]
-    write_reports(parts, str(tmp_path / "md"))
+    write_reports(parts, str(tmp_path / "md"), folders=True)
     written = "\n".join(p.read_text() for p in sorted((tmp_path / "md" / "analysis_id=a1").glob("*.txt")))
     assert written.index("# Corpus Report") < written.index("### 1.") < written.index("### 2.")
     heads = {(r.analysis_id, r.part): json.loads(r.text) for r in report_json(analyses, repos, issues).collect()}
     assert heads["a1", 0]["scores"]["overall"] is None and heads["a1", 1]["risk"] is None and "generated_patch" not in heads["a1", 1]
+    lines = json_document(report_json(analyses, repos, issues)).orderBy("analysis_id", "part").collect()
+    for analysis_id, n in (("a1", 2), ("a2", 0)):
+        document = json.loads("\n".join(r.text for r in lines if r.analysis_id == analysis_id))
+        assert len(document["issues"]) == n and document["repository"]["name"] == "n"
+    write_reports(parts, str(tmp_path / "parts"))
+    stored = spark.read.parquet(str(tmp_path / "parts")).orderBy("analysis_id", "part").collect()
+    assert [r.text for r in stored] == [r.text for r in parts.orderBy("analysis_id", "part").collect()]
+    write_issues_csv(issues, str(tmp_path / "table"))
+    assert spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path / "table")).count() == 2
+
+
+def test_scan_to_report(spark, make_files):
+    """From files to a stored analysis and its report."""
+    files = make_files(("o/n", "src/a.py", "password = 'hunter22'\n"), ("o/n", "README.md", "x"))
+    result = analyze_corpus(files)
+    t = datetime(2024, 1, 1)
+    repos = spark.createDataFrame([("o/n", "o", "n", "o/n", "u", False, "main", t)], TABLES["repositories"])
+    missing = {c.split()[0]: c.split()[1] for c in TABLES["analyses"].split(", ") if c.split()[0] not in result.record.columns}
+    analyses = result.record.withColumns({c: F.lit(None).cast(k) for c, k in missing.items()}).withColumn("id", F.col("repository_id"))
+    issues = result.findings.withColumns({"analysis_id": F.col("repo_id"), "id": F.col("title"), "status": F.lit("open"), "created_at": F.lit(t)})
+    text = "\n".join(r.text for r in report_markdown(analyses, repos, issues).orderBy("part").collect() if r.text)
+    assert "- **Files scanned:** 1" in text and "- **Languages:** Python" in text and f"- **Total findings:** {issues.count()}" in text
+    order = [r.title for r in result.findings.orderBy("seq_major", "seq_minor").collect()]
+    assert [text.index(f". {x}\n") for x in order] == sorted(text.index(f". {x}\n") for x in order)
