@@ -741,3 +741,12 @@ ORACLES["stream_rules"] = f"WITH {scan(v.duck_view(v.FILES))}\n{rule_select(('se
 ORACLES["progress_sessions_stream"] = f"""SELECT * FROM ({ORACLES['progress_sessions']}) WHERE expires_at <= (SELECT max(ts) FROM events)"""
 ORACLES["stage_durations_stream"] = f"""SELECT analysis_id, event_id, status, floor(epoch(next_ts) - epoch(ts))::BIGINT AS seconds FROM (
   SELECT *, lead(ts) OVER (PARTITION BY analysis_id ORDER BY ts, event_id) AS next_ts FROM ({EVENTS})) WHERE next_ts IS NOT NULL"""
+
+ORACLES["parsed_events"] = f"SELECT analysis_id, event_id, status, progress_percent, error_message FROM ({EVENTS})"
+ORACLES["stored_issues"] = f"""SELECT repo_id AS analysis_id, title, severity, category, file_path, line_number, language, source_tool, 'open' AS status
+FROM ({ORACLES["security_rules"]})"""
+ORACLES["analysis_record"] = f"""SELECT s.repo_id AS repository_id, 'complete' AS status, s.overall_score, s.security_score,
+  coalesce(t.file_count, 0) AS file_count, coalesce(t.lines_of_code, 0) AS lines_of_code
+FROM ({ORACLES["corpus_scores"]}) s LEFT JOIN ({ORACLES["repo_stats"]}) t ON t.repo_id = s.repo_id"""
+ORACLES["scanned_tree"] = """SELECT source, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (
+  SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source"""

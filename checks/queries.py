@@ -15,7 +15,9 @@ from corpuslens.operators import css, dependencies as deps, evidence, files as f
 from corpuslens.operators import issues as iss, patches as pt, progress as pg, reports as rp
 from corpuslens.operators import retrieval as rt, rules as rl, scores as sc, tests_plan as tp
 from corpuslens import catalogue as cat
+from corpuslens.plans import analysis as an
 from corpuslens.plans.analysis import corpus_findings
+from corpuslens.session import scratch_path
 from corpuslens.sources import python_source as py, tables as tb, tool_reports as tr
 from corpuslens.streaming import progress as sp, scan as ss
 
@@ -303,6 +305,50 @@ def corpus_scores(spark, sf):
     return sc.score_repos(found, fl.repo_facts(files))
 
 
+@query
+def analysis_record(spark, sf):
+    """Files to the stored row of a finished analysis."""
+    files = _files(spark, sf)
+    found = fd.dedup_findings(rl.scan_findings(files))
+    record = an.analysis_record(fl.repo_stats(files), sc.score_repos(found, fl.repo_facts(files)))
+    return record.select("repository_id", "status", "overall_score", "security_score", "file_count", "lines_of_code")
+
+
+@query
+def stored_issues(spark, sf):
+    """Secrets found in files, written as issues and read again by their order of discovery."""
+    found = rl.match_rules(_files(spark, sf), ("security",))
+    place = scratch_path(spark, "issues")
+    tb.write_issues(found, place)
+    stored = tb.read_table(spark, "issues", place)
+    return rp.numbered_issues(stored).select(
+        "analysis_id", "title", "severity", "category", "file_path", "line_number", "language", "source_tool", "status"
+    )
+
+
+@query
+def scanned_tree(spark, sf):
+    """The documents written as a tree of files, one folder per source, and scanned back line by line."""
+    place = scratch_path(spark, "tree") + "/repos"
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    lines = docs.select("source", F.lit("in").alias("lang"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+    lines.write.partitionBy("source", "lang").text(place)
+    files = tb.scan_files(spark, place).where(F.col("path").endswith(".txt") & F.col("path").startswith("lang=in/"))
+    found = files.select("repo_id", F.explode(F.split("content", "\n", -1)).alias("line")).where("line <> ''")
+    return found.groupBy(F.substring_index("repo_id", "=", -1).alias("source")).agg(
+        F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars")
+    )
+
+
+@query
+def parsed_events(spark, sf):
+    """Progress events as JSON text, among lines that are no events, read back."""
+    events = v.spark_view(spark, sf, v.EVENTS)
+    text = events.select(F.to_json(F.struct(F.col("analysis_id"), "event_id", "status", "progress_percent", "error_message")).alias("value"))
+    noise = events.where("event_id % 7 = 0").select(F.explode(F.array(F.lit("not json"), F.lit("{}"), F.lit(""))).alias("value"))
+    return sp.parse_events(text.unionByName(noise)).drop("ts")
+
+
 @query
 def severity_counts(spark, sf):
     return sc.severity_counts(_issues(spark, sf))
