@@ -750,3 +750,11 @@ ORACLES["analysis_record"] = f"""SELECT s.repo_id AS repository_id, 'complete' A
 FROM ({ORACLES["corpus_scores"]}) s LEFT JOIN ({ORACLES["repo_stats"]}) t ON t.repo_id = s.repo_id"""
 ORACLES["scanned_tree"] = """SELECT source, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (
   SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source"""
+ORACLES["route_methods"] = f"""WITH r AS (SELECT repo_id, path, unnest(string_split(methods, ',')) AS method, handler, file_path, line_number FROM ({ORACLES["routes"]})),
+d AS (SELECT repo_id, path, method, handler, file_path, min(line_number) AS line_number FROM r GROUP BY ALL)
+SELECT repo_id, path, method, count(*) AS handlers, count(*) > 1 AS duplicate,
+  first(handler ORDER BY file_path, line_number, handler) AS first_handler, first(file_path ORDER BY file_path, line_number, handler) AS file_path,
+  first(line_number ORDER BY file_path, line_number, handler) AS line_number FROM d GROUP BY repo_id, path, method"""
+ORACLES["variable_table"] = f"""SELECT repo_id, name, count(*) AS "references", count(DISTINCT file_path) AS files, min(default_value) AS default_value,
+  count(default_value) > 0 AND count(default_value) < count(*) AS sometimes_required, min(default_value) <> max(default_value) AS defaults_differ
+FROM ({ORACLES["env_vars"]}) GROUP BY repo_id, name"""

@@ -573,6 +573,16 @@ def env_vars(spark, sf):
     return py.env_vars(_files(spark, sf))
 
 
+@query
+def route_methods(spark, sf):
+    return py.route_methods(_files(spark, sf))
+
+
+@query
+def variable_table(spark, sf):
+    return py.variable_table(_files(spark, sf))
+
+
 @query
 def export_issues_csv(spark, sf):
     return rp.export_rows(_issues(spark, sf))

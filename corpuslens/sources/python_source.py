@@ -110,3 +110,31 @@ def env_vars(files: DataFrame) -> DataFrame:
     return python_facts(files).where(F.col("fact") == "env").select(
         "repo_id", "name", "default_value", "file_path", "line_number"
     )
+
+
+def route_methods(files: DataFrame) -> DataFrame:
+    """One row per path and method of a repository: handlers, and whether several of them claim it.
+
+    Handlers are counted, and the first is named by file and line: both combine on the map side.
+    """
+    served = routes(files).select("repo_id", "path", F.explode("methods").alias("method"), "handler", "file_path", "line_number")
+    one = served.groupBy("repo_id", "path", "method", "handler", "file_path").agg(F.min("line_number").alias("line_number"))
+    return one.groupBy("repo_id", "path", "method").agg(
+        F.count(F.lit(1)).alias("handlers"), F.min(F.struct("file_path", "line_number", "handler")).alias("_f")
+    ).select(
+        "repo_id", "path", "method", "handlers", (F.col("handlers") > 1).alias("duplicate"),
+        F.col("_f.handler").alias("first_handler"), F.col("_f.file_path").alias("file_path"), F.col("_f.line_number").alias("line_number"),
+    )
+
+
+def variable_table(files: DataFrame) -> DataFrame:
+    """One row per environment variable of a repository: references, files, and its smallest and largest default."""
+    per_file = env_vars(files).groupBy("repo_id", "name", "file_path").agg(
+        F.count(F.lit(1)).alias("references"), F.min("default_value").alias("low"), F.max("default_value").alias("high"),
+        F.count("default_value").alias("given"),
+    )
+    return per_file.groupBy("repo_id", "name").agg(
+        F.sum("references").alias("references"), F.count(F.lit(1)).alias("files"), F.min("low").alias("default_value"),
+        ((F.sum("given") > 0) & (F.sum("given") < F.sum("references"))).alias("sometimes_required"),
+        (F.min("low") != F.max("high")).alias("defaults_differ"),
+    )
