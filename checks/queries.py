@@ -668,15 +668,26 @@ def stream_rules(spark, sf):
     return ss.run_available(ss.stream_rules(files, ("security",)).select(*FINDING), "stream-rules")
 
 
-@query
-def latest_status_stream(spark, sf):
-    events = _stream_view(spark, sf, v.EVENTS, "events")
-    return ss.run_updates(sp.latest_status_stream(events), ["analysis_id"], "latest-status")
+def _timed_events(spark, sf, files: int = 3):
+    """The events as JSON lines in files that arrive one after another in time order, one for each micro-batch."""
+    events = v.spark_view(spark, sf, v.EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    shares = [i / files for i in range(1, files)]
+    ends = events.agg(F.percentile_approx(F.unix_micros("ts"), shares, F.lit(1000))).first()[0] or []
+    folder = scratch_path(spark, "events")
+    text = F.to_json(F.struct("analysis_id", "event_id", "status", "progress_percent", "error_message", "ts"),
+                     {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")
+    at = F.unix_micros("ts")
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = events if low is None else events.where(at > low)
+        (part if high is None else part.where(at <= high)).select(text).coalesce(1).write.mode("append").text(folder)
+    return sp.progress_stream(spark, folder, max_files_per_trigger=1)
 
 
-def _timed_events(spark, sf):
-    """Watermarks need instants; the table's times carry no zone."""
-    return _stream_view(spark, sf, v.EVENTS, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+@query
+def latest_status_stream(spark, sf):
+    stream = sp.latest_status_stream(_timed_events(spark, sf))
+    last = ss.run_updates(stream, ["analysis_id"], "latest-status", newest=("ts",))
+    return last.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query

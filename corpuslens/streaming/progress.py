@@ -30,10 +30,14 @@ def progress_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
     return parse_events(reader.load(folder))
 
 
-def latest_status_stream(events: DataFrame) -> DataFrame:
-    """Current status per analysis; write it in update mode."""
+def latest_status_stream(events: DataFrame, keep: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Current status per analysis; write it in update mode and let the newest ``ts`` of an analysis win.
+
+    State is one event per analysis and span of ``keep``, dropped once the watermark has passed the span.
+    """
     return (
-        events.groupBy("analysis_id")
+        events.withWatermark("ts", delay)
+        .groupBy("analysis_id", F.window("ts", keep))
         .agg(F.max(F.struct("ts", "event_id", "status", "progress_percent", "error_message")).alias("_e"))
         .select("analysis_id", "_e.status", "_e.progress_percent", "_e.error_message", "_e.ts")
     )

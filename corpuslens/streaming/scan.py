@@ -35,8 +35,9 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Runs an update-mode stream over what is there now; the newest row per key, by batch, wins."""
+def run_updates(stream: DataFrame, keys: list[str], label: str, newest: tuple[str, ...] = ()) -> DataFrame:
+    """Runs an update-mode stream over what is there now; the row per key with the largest ``newest`` columns, then of
+    the last batch, wins."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
 
@@ -54,5 +55,5 @@ def run_updates(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.parquet(f"{base}/out").drop("b")
     values = [c for c in stream.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
-    return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*newest, "_batch")).alias("_v"))
+    return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])

@@ -1,3 +1,4 @@
+import os
 import json
 import uuid
 from datetime import datetime, timedelta
@@ -31,7 +32,7 @@ def test_progress_streams_agree_with_batch(spark, tmp_path):
     assert batch.count() == len(EVENTS)
     status = {r.analysis_id: r.status for r in latest_status(batch).collect()}
     assert status == {"done": "complete", "bad": "failed", "quiet": "cloning", "late": "cloning"}
-    stream = run_updates(latest_status_stream(progress_stream(spark, str(tmp_path), 1)), ["analysis_id"], "t-latest")
+    stream = run_updates(latest_status_stream(progress_stream(spark, str(tmp_path), 1)), ["analysis_id"], "t-latest", newest=("ts",))
     assert {r.analysis_id: r.status for r in stream.collect()} == status
 
     sessions = {(r.analysis_id, r.events, r.state) for r in progress_sessions(batch).collect()}
@@ -56,3 +57,15 @@ def test_rule_stream_finds_new_files_once(spark, tmp_path):
     assert run_available(found, "t-rules").count() == match_rules(spark.read.parquet(src), ("security",)).count() == 3
     once = run_available(dedup_stream(found.withColumn("seen", F.current_timestamp()), "seen"), "t-once")
     assert sorted(r.line_number for r in once.collect()) == [1, 3]
+
+
+def test_a_stage_longer_than_the_quiet_time_is_kept(spark, tmp_path):
+    """Its next event comes long after the watermark has passed it, in a later micro-batch."""
+    events = [("A", 0, "cloning"), ("B", 7000, "cloning"), ("B", 9000, "running_static_analysis"), ("A", 10000, "complete")]
+    for i, (analysis, second, status) in enumerate(events):
+        stamp = f"2024-01-01T{second // 3600:02d}:{second % 3600 // 60:02d}:{second % 60:02d}Z"
+        line = f'{{"analysis_id":"{analysis}","event_id":{i},"status":"{status}","ts":"{stamp}"}}'
+        (tmp_path / f"{i}.json").write_text(line)
+        os.utime(tmp_path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = run_available(stage_durations_stream(progress_stream(spark, str(tmp_path), 1)), "t-long").collect()
+    assert {(r.analysis_id, r.seconds) for r in got} == {("A", 10000), ("B", 2000)}
