@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame below the shared folder and reads it back: it is computed once, its lineage ends there, and
-    a lost executor loses nothing of it."""
+    a lost executor loses nothing of it.
+
+    zstd keeps its buffers only while a file is open. The default codec leaves direct buffers behind for each file,
+    which pile up outside the heap over the many small files of iterative jobs.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
