@@ -10,7 +10,6 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.session import spread
 
 
 # Stand-ins inside literals for line feed, carriage return and backslash, which the engines escape differently.
@@ -310,6 +309,12 @@ TABLES = (
 ).split()
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deals the rows of a small fixture table, one file with one split, out to every core. No part of the engine."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Registers a table as a view, spread over the cores if it is one small file, and returns the view's name."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"

@@ -55,31 +55,34 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# A side of a join is broadcast only after it was counted and has at most this many (narrow) rows.
+# A side of a join is broadcast only after it was measured and has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(side: DataFrame) -> tuple[int, bool]:
+    """Rows of a side that was computed once (counted up to the bound), and whether it may be broadcast.
+
+    Bytes are those of the rows as JSON text, an upper estimate for rows of numbers and short texts.
+    """
+    bounded = side.limit(BROADCAST_ROWS + 1)
+    size = F.octet_length(F.to_json(F.struct("*"))) if side.columns else F.lit(0)
+    rows, total = bounded.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    return rows, rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
 def join_small(big: DataFrame, side: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Left, left-anti or inner join with a side that is nearly always empty or small, such as repositories over a
     cap or the chunks picked for some questions.
 
-    The side is computed once and counted. Empty: no left or anti join at all. Small: broadcast, so that the big
+    The side is computed once and measured. Empty: no left or anti join at all. Small: broadcast, so that the big
     side is not shuffled. Larger: an ordinary join, which adaptive execution splits where the big side is skewed.
     """
     side = pin(side)
-    rows = side.limit(BROADCAST_ROWS + 1).count()
+    rows, small = is_small(side)
     if rows == 0 and how == "left_anti":
         return big
     if rows == 0 and how == "left":
         extra = [f for f in side.schema.fields if f.name not in ([on] if isinstance(on, str) else on)]
         return big.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return big.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deals a table's rows out to every core when it has fewer splits than cores, as one small file has.
-
-    A large table has many splits and passes as it is, so this never shuffles a corpus.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    return big.join(F.broadcast(side) if small else side, on, how)
