@@ -522,7 +522,8 @@ m AS (
   SELECT r.request_id, 1, e.id, e.default_branch FROM r JOIN e ON e.owner_id = r.owner_id
     AND e.clone_url IN (r.clone_url, r.normalized_url, r.normalized_url || '.git')),
 best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY tier, id) = 1)
-SELECT r.request_id, CASE WHEN b.request_id IS NULL THEN 'insert' ELSE 'update' END AS action, b.id, r.owner_id, r.name, r.full_name,
+SELECT r.request_id, CASE WHEN b.request_id IS NULL AND row_number() OVER (PARTITION BY r.owner_id, r.full_name ORDER BY r.request_id) = 1
+  THEN 'insert' ELSE 'update' END AS action, coalesce(b.id, sha256(r.owner_id || chr(1) || r.full_name)) AS id, r.owner_id, r.name, r.full_name,
        r.normalized_url AS clone_url, r.is_private,
        coalesce(nullif(r.default_branch, ''), nullif(b.default_branch, ''), 'main') AS default_branch
 FROM r LEFT JOIN best b ON b.request_id = r.request_id"""
@@ -758,3 +759,12 @@ SELECT repo_id, path, method, count(*) AS handlers, count(*) > 1 AS duplicate,
 ORACLES["variable_table"] = f"""SELECT repo_id, name, count(*) AS "references", count(DISTINCT file_path) AS files, min(default_value) AS default_value,
   count(default_value) > 0 AND count(default_value) < count(*) AS sometimes_required, min(default_value) <> max(default_value) AS defaults_differ
 FROM ({ORACLES["env_vars"]}) GROUP BY repo_id, name"""
+ORACLES["merge_repositories"] = f"""WITH u AS ({ORACLES["upsert_repositories"]}),
+a AS (SELECT u.*, nullif(q.default_branch, '') AS asked FROM u JOIN ({v.duck_view(v.REPO_REQUESTS)}) q ON q.request_id = u.request_id),
+last AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC) = 1),
+branch AS (SELECT id, asked FROM a WHERE asked IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC) = 1)
+SELECT coalesce(l.id, e.id) AS id, coalesce(l.owner_id, e.owner_id) AS owner_id, coalesce(l.name, e.name) AS name, coalesce(l.full_name, e.full_name) AS full_name,
+  coalesce(l.clone_url, e.clone_url) AS clone_url, coalesce(l.is_private, e.is_private) AS is_private,
+  CASE WHEN l.id IS NULL THEN e.default_branch ELSE coalesce(b.asked, nullif(e.default_branch, ''), 'main') END AS default_branch
+FROM ({REPOSITORIES}) e FULL OUTER JOIN last l ON l.id = e.id LEFT JOIN branch b ON b.id = l.id"""
+ORACLES["rejected_repositories"] = f"SELECT request_id, clone_url FROM ({PARSED_URL}) WHERE NOT valid"

@@ -443,6 +443,16 @@ FROM $lineitem$
 """
 
 
+@query
+def merge_repositories(spark, sf):
+    return iss.merge_repositories(v.spark_view(spark, sf, v.REPOSITORIES), v.spark_view(spark, sf, v.REPO_REQUESTS))
+
+
+@query
+def rejected_repositories(spark, sf):
+    return iss.rejected_repositories(v.spark_view(spark, sf, v.REPO_REQUESTS)).select("request_id", "clone_url")
+
+
 @query
 def analyses_needing_pr(spark, sf):
     return iss.analyses_needing_pr(_analyses(spark, sf), v.spark_view(spark, sf, PULLS)).select("id", "repository_id", "status")

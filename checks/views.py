@@ -216,6 +216,10 @@ SELECT CAST(c_custkey AS STRING) AS request_id,
        c_acctbal > 5000 AS is_private,
        CASE c_custkey % 2 WHEN 0 THEN '' ELSE 'trunk' END AS default_branch
 FROM $customer$
+UNION ALL
+SELECT CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 4 < 2 THEN '-again' ELSE ' first' END, CAST(c_nationkey AS STRING),
+       'https://github.com/new/' || replace(c_name, '#', '-'), c_acctbal > 0, CASE c_custkey % 3 WHEN 0 THEN '' ELSE 'later' END
+FROM $customer$ WHERE c_custkey % 9 = 6
 """
 
 ANALYSES = """

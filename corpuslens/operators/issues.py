@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.naming import parse_repo_url
 from corpuslens.operators.findings import first_wins
+from corpuslens.schemas import content_key
 
 SEARCH_COLUMNS = ("title", "description", "file_path", "category", "severity", "source_tool", "language", "status")
 
@@ -39,7 +40,8 @@ def dependency_issues(issues: DataFrame) -> DataFrame:
 
 
 def ordered_issues(issues: DataFrame) -> DataFrame:
-    return issues.orderBy("analysis_id", "created_at", "id")
+    """By analysis and creation; issues created together in the order they were found in, where that is stored."""
+    return issues.orderBy(*[c for c in ("analysis_id", "created_at", "seq_major", "seq_minor", "id") if c in issues.columns])
 
 
 def list_repositories(repositories: DataFrame, owner: Column | str) -> DataFrame:
@@ -95,8 +97,9 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Updates or inserts connected repositories; returns one row per valid request with its action.
 
     A request matches the owner's repository by full name, else by one of three spellings of its URL.
-    Both are equi-joins; the best match per request is kept. Requests with an invalid URL are left out,
-    see rejected_repositories.
+    Both are equi-joins; the best match per request is kept. Of several requests for a repository that is new, the
+    first by request_id inserts it, under an id made from owner and full name; the others update it. Requests with
+    an invalid URL are left out, see rejected_repositories.
     """
     parsed = incoming.withColumn("_p", parse_repo_url("clone_url")).where(F.col("_p.error").isNull()).select(
         "request_id", "owner_id", "clone_url", "is_private", "default_branch",
@@ -119,10 +122,12 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     best = by_name.unionByName(by_url).groupBy("request_id").agg(
         F.min(F.struct("_tier", "_id", "_branch")).alias("_m")
     )
-    return parsed.join(best, "request_id", "left").select(
+    opens = parsed.groupBy("owner_id", "_full").agg(F.min("request_id").alias("_first"))
+    new = F.col("_m").isNull()
+    return parsed.join(best, "request_id", "left").join(opens, ["owner_id", "_full"]).select(
         "request_id",
-        F.when(F.col("_m").isNull(), "insert").otherwise("update").alias("action"),
-        F.col("_m._id").alias("id"),
+        F.when(new & (F.col("request_id") == F.col("_first")), "insert").otherwise("update").alias("action"),
+        F.coalesce("_m._id", content_key("owner_id", "_full")).alias("id"),
         "owner_id",
         F.col("_name").alias("name"),
         F.col("_full").alias("full_name"),
@@ -134,6 +139,26 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def merge_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The repositories after all requests, in order of request_id: (id, owner_id, name, full_name, clone_url,
+    is_private, default_branch). The last request of a repository counts; a branch it leaves open stays as it was.
+    """
+    columns = ["id", "owner_id", "name", "full_name", "clone_url", "is_private"]
+    asked = incoming.select("request_id", F.nullif("default_branch", F.lit("")).alias("_asked"))
+    requests = upsert_repositories(existing, incoming).join(asked, "request_id")
+    given = F.when(F.col("_asked").isNotNull(), F.struct("request_id", "_asked"))
+    news = requests.groupBy("id").agg(
+        F.max(F.struct("request_id", *[F.col(c) for c in columns[1:]])).alias("_n"), F.max(given)["_asked"].alias("_branch")
+    )
+    old = existing.select("id", F.struct(*columns[1:], "default_branch").alias("_o"))
+    both = old.join(news, "id", "full_outer")
+    fields = [F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(f"_o.{c}")).alias(c) for c in columns[1:]]
+    branch = F.when(F.col("_n").isNull(), F.col("_o.default_branch")).otherwise(
+        F.coalesce("_branch", F.nullif(F.col("_o.default_branch"), F.lit("")), F.lit("main"))
+    )
+    return both.select("id", *fields, branch.alias("default_branch"))
+
+
 def rejected_repositories(incoming: DataFrame) -> DataFrame:
     return incoming.withColumn("reason", parse_repo_url("clone_url")["error"]).where(F.col("reason").isNotNull())
 

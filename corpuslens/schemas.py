@@ -63,8 +63,3 @@ def content_key(*cols: Column | str) -> Column:
     """Deterministic row key. NULL, 0 and '' all hash differently."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("∅")) for c in cols]
     return F.sha2(F.concat_ws("\u0001", *parts), 256)
-
-
-def invalid_enum(severity: str = "severity", category: str = "category") -> Column:
-    """True for a row whose severity or category lies outside the allowed values."""
-    return ~(F.col(severity).isin(*SEVERITIES) & F.col(category).isin(*CATEGORIES))
