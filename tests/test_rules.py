@@ -75,8 +75,10 @@ def test_size_cap_of_the_security_scan(spark):
     from corpuslens.schemas import FILES
 
     rows = [("r", f"{n}.py", n, False, "eval(x)", True) for n in (2_000_000, 2_000_001)]
-    found = match_rules(spark.createDataFrame(rows, FILES), ("security",)).collect()
+    files = spark.createDataFrame(rows, FILES)
+    found = match_rules(files, ("security",), security_max_bytes=cat.SECURITY_MAX_BYTES).collect()
     assert [f.file_path for f in found] == ["2000000.py"]
+    assert match_rules(files, ("security",)).count() == 2  # no cut unless asked for
 
 
 def python_patterns():
