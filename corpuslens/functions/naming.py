@@ -99,10 +99,10 @@ def parse_repo_url(url: Column | str) -> Column:
     owner = strip(F.get(parts, 0))
     name = F.regexp_replace(strip(F.get(parts, 1)), r"\.git\z", "")
     error = (
-        F.when(scheme != "https", "Only HTTPS repository URLs are allowed.")
-        .when(~host.isin("github.com", "www.github.com"), "Only github.com repository URLs are supported.")
-        .when(F.size(parts) != 2, "Use the repository root URL in owner/repository form.")
-        .when((owner == "") | (name == ""), "Invalid repository owner or name.")
+        F.when(scheme != "https", "not https")
+        .when(~host.isin("github.com", "www.github.com"), "unknown host")
+        .when(F.size(parts) != 2, "not owner/name")
+        .when((owner == "") | (name == ""), "empty owner or name")
     )
     ok = error.isNull() & text.isNotNull()
     full = F.concat_ws("/", owner, name)
@@ -111,7 +111,7 @@ def parse_repo_url(url: Column | str) -> Column:
         F.when(ok, name).alias("name"),
         F.when(ok, full).alias("full_name"),
         F.when(ok, F.concat(F.lit("https://github.com/"), full)).alias("normalized_url"),
-        F.coalesce(error, F.when(text.isNull(), F.lit("Only HTTPS repository URLs are allowed."))).alias("error"),
+        F.coalesce(error, F.when(text.isNull(), F.lit("not https"))).alias("error"),
     )
 
 

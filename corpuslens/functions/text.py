@@ -121,7 +121,7 @@ def safe_rel_path(path: Column | str) -> Column:
     escaped = folded["low"] < 0
     return F.struct(
         F.when(~escaped, F.array_join(folded["parts"], "/")).alias("path"),
-        F.when(escaped, F.lit("The issue file path is outside the repository.")).alias("error"),
+        F.when(escaped, F.lit("path leaves the repository")).alias("error"),
     )
 
 

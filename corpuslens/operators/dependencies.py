@@ -99,6 +99,7 @@ def missing_lockfile(files: DataFrame) -> DataFrame:
     )
 
 
+# The titles of manifest findings, here and in the rules below.
 def package_json_rules(files: DataFrame) -> DataFrame:
     parsed = _json_manifest(files, "package.json", "dependencies", "devDependencies")
     invalid = _issue(parsed.where(~F.col("valid")), "RD1", "medium", F.lit("Invalid package.json"),

@@ -48,7 +48,7 @@ def architecture_evidence(files: DataFrame, entries: int) -> DataFrame:
     )
 
 
-# Section number, name and the line that stands for an empty section.
+# Fixed values, here and in the lines below: section number, name and the line that stands for an empty section.
 SECTIONS = (
     (1, "languages", "- None detected"),
     (2, "manifests", "- None detected"),

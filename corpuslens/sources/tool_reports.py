@@ -99,6 +99,7 @@ def ingest_radon(reports: DataFrame) -> DataFrame:
     name = F.coalesce(r["name"], F.lit("None"))
     return _layout(
         rows, "radon", "python", 2,
+        # Fixed value: the title.
         title=F.concat(F.lit("High cyclomatic complexity in `"), name, F.lit("`")),
         severity=F.when(r["complexity"] >= 20, "high").otherwise("medium"),
         category=F.lit("code_quality"),

@@ -74,6 +74,7 @@ def test_comment_removal(spark):
     assert [r[0] for r in df.select(strip_block_comments(F.col("c"))).collect()] == ["\n color: red;", "a/b  d", "\n"]
 
 
+# The four boundary patterns.
 EDGE = [
     re.compile(r"^\s*(def|class)\s+\w+"), re.compile(r"^\s*(export\s+)?(async\s+)?function\s+\w+"),
     re.compile(r"^\s*(export\s+)?(default\s+)?class\s+\w+"),
