@@ -108,25 +108,31 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), bias)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for slab in slabs(pa.array(texts, pa.string()), 1 << 20):
-        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(slab))]
-        for ids, docs in features(slab):
+    # Features and weights of all texts in two long arrays; small slabs keep the driver's memory low.
+    all_ids, all_weights, sizes = [], [], []
+    for slab in slabs(pa.array(texts, pa.string()), 1 << 18):
+        parts = []
+        for kind, (ids, docs) in enumerate(features(slab)):
             cells, counts = np.unique(docs.astype(np.int64) << BITS | ids, return_counts=True)
-            bounds = np.searchsorted(cells, np.arange(len(slab) + 1, dtype=np.int64) << BITS)
-            for part, a, b in zip(parts, bounds, bounds[1:]):
-                weight = counts[a:b] / max(counts[a:b].sum(), 1) / KINDS
-                part.append(((cells[a:b] & ((1 << BITS) - 1)).astype(np.int32), weight.astype(np.float32)))
-        rows += [(np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])) for part in parts]
+            doc = cells >> BITS
+            share = counts / np.bincount(doc, weights=counts, minlength=len(slab))[doc] / KINDS
+            parts.append((doc * KINDS + kind, (cells & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)))
+        order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+        all_ids.append(np.concatenate([p[1] for p in parts])[order])
+        all_weights.append(np.concatenate([p[2] for p in parts])[order])
+        sizes.append(sum(np.bincount(p[0] // KINDS, minlength=len(slab)) for p in parts))
+    feature, share_of = np.concatenate(all_ids), np.concatenate(all_weights)
+    bounds = np.append(0, np.cumsum(np.concatenate(sizes)))
+    del all_ids, all_weights
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     seen = np.full(1 << BITS, 1e-8, np.float32)
     output = rng.normal(0, 0.1, (2, DIMENSIONS)).astype(np.float32)
     shift = np.array([-bias / 2, bias / 2], np.float32)
-    steps, total = 0, EPOCHS * len(rows)
+    steps, total = 0, EPOCHS * len(y)
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(rows)):
-            ids, weight = rows[k]
+        for k in rng.permutation(len(y)):
+            ids, weight = feature[bounds[k] : bounds[k + 1]], share_of[bounds[k] : bounds[k + 1]]
             step = STEP * (1 - steps / total)
             steps += 1
             if not len(ids):
@@ -155,12 +161,18 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc
         .orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS).collect()
     )
     wanted = {r[0]: int(r[1]) for r in picked}
-    found = dict(
-        tuple(r) for r in docs.where(F.col(key).isin(list(wanted))).groupBy(key)
-        .agg(F.max(F.substring(F.coalesce(F.col(text), F.lit("")), 1, CHARS_PER_TEXT))).collect()
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((k, t) for batch in batches for k, t in zip(*(c.to_pylist() for c in batch.columns)))
+        model = train([t for _, t in rows], [wanted[k] for k, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
+
+    # The sample is bounded, so one task learns from it; the driver only receives one number per feature.
+    sample = docs.where(F.col(key).isin(list(wanted))).groupBy(key).agg(
+        F.max(F.substring(F.coalesce(F.col(text), F.lit("")), 1, CHARS_PER_TEXT))
     )
-    keys = sorted(found)
-    return train([found[k] for k in keys], [wanted[k] for k in keys])
+    found = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    return train([], []) if found is None else Model(np.frombuffer(bytes(found[0]), np.float32), found[1])
 
 
 def scorer(spark: SparkSession, model: Model):
