@@ -3,6 +3,7 @@
 Byte-level BPE never merges across the bounds of the tokenizer's first split, so a text's ids are those of its
 pieces one after another, cut at such bounds. Pieces repeat: each distinct piece of a batch is encoded once by the
 tokenizers library and all others are gathered by numpy. A cache of bounded size carries pieces across batches.
+Texts that hold an added token such as ``<|endoftext|>`` are encoded whole: the tokenizer takes it out before it splits.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpuslens.llm.common import utf8
 
@@ -63,7 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
 
@@ -89,6 +91,20 @@ class Encoder:
         return [self.known[p] for p in pieces]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        holds = np.zeros(len(texts), bool)
+        for token in self.added:
+            holds |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode_pieces(texts)
+        ids, counts = self._encode_pieces(pc.if_else(pa.array(holds), pa.scalar(None, texts.type), texts))
+        whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.filter(pa.array(holds)).to_pylist()]
+        sizes = [len(w) for w in whole]
+        at = (np.cumsum(counts) - counts)[holds]
+        ids = np.insert(ids, np.repeat(at, sizes), np.concatenate([np.array(w, np.uint32) for w in whole]))
+        counts[holds] = sizes
+        return ids, counts
+
+    def _encode_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = utf8(texts)
         starts = piece_starts(data, offsets)
         if not len(starts):

@@ -28,6 +28,22 @@ def test_pieces_give_the_tokenizers_ids():
         assert ids[a:b].tolist() == plain(text)
 
 
+def test_added_tokens_as_a_freshly_loaded_tokenizer_gives_them(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    texts = ["a<|endoftext|>b", None, "plain text", "<|endoftext|>", "x <|endoftext|>\n\n<|endoftext|> y", "", "<|endoftext|", "the end"]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    ids, counts = encoder(default_tokenizer()).encode(pa.array(texts))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = token_files.token_files_roundtrip(docs).select("doc_id", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == [(i, len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want)]
+    pieces = packing.pack_documents(docs).collect()
+    assert sorted((r.doc_id, r.length) for r in pieces) == [(i, len(w) + 1) for i, w in enumerate(want)]
+
+
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=200))
 @settings(max_examples=50, deadline=None)
 def test_variable_length_code_round_trip(values):
