@@ -1,7 +1,8 @@
 """N-gram Jaccard join over a count-vector index.
 
-A document is the set of its word 3-grams. Two documents link when 100 * |intersection| >= 90 * |union|. Linked sets,
-the smaller of size a, differ in at most a // 9 shingles in all (``slack``). Shingles are hashed into groups, more
+A document is the set of its word n-grams. Two documents link when 100 * |intersection| >= percent * |union|; unless
+a caller says otherwise, n is 3 and percent is 90. Linked sets, the smaller of size a, differ in at most
+a * (100 - percent) // percent shingles in all (``slack``; a // 9 at 90). Shingles are hashed into groups, more
 groups than that number for a document's size class, so linked documents agree fully in at least one group: its
 count is the same, and so is the sum of its shingles. The index holds every document under (group, count, sum).
 
@@ -26,7 +27,8 @@ share a key count as linked. Repeated rows are equal sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,13 @@ from pyspark.sql.types import BooleanType
 from corpuslens.llm.common import save, slabs, utf8
 from corpuslens.llm.components import components
 
-N = 3
+#: Words of a shingle, and the least similarity of linked sets in hundredths.
+N, PERCENT = 3, 90
 #: Shingles for each coordinate of a count vector, and the fewest coordinates.
 PER_COORDINATE, LEAST_COORDINATES = 4, 64
-#: A size class spans this ratio of set sizes; a document also stands in the class below if partners may be there.
-CLASS_RATIO = 1.2
+#: A size class spans the largest ratio of linked sets' sizes times this; a document also stands in the class below if
+#: partners may be there. The spare keeps partners out of the class below that one.
+CLASS_SPARE = 1.08
 #: Groups beyond the slack, so that empty groups need not be indexed for nearly all documents.
 SPARE = 2
 #: Ids up to this number (8 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
@@ -61,8 +65,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text, the sorted distinct 64-bit hashes of its lower-cased word 3-grams."""
+def shingles(texts: pa.Array, words: int = N) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its lower-cased word n-grams; a shorter text is one shingle."""
     data, offsets = utf8(texts)
     data = np.where((data >= 65) & (data <= 90), data | 32, data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -84,45 +88,52 @@ def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
     word = mix(np.add.reduceat(term, starts))
     bounds = np.searchsorted(starts, offsets, "left")
     k = np.uint64(0xD6E8FEB86659FD93)
-    gram = mix((mix(word[:-2] * k + word[1:-1]) * k + word[2:])) if len(word) > 2 else np.zeros(0, np.uint64)
+    gram = word
+    for i in range(1, words):
+        gram = mix(gram[:-1] * k + word[i:]) if len(gram) > 1 else gram[:0]
     for a, b in zip(bounds, bounds[1:]):
-        if b - a >= N:
-            yield np.unique(gram[a : b - 2])
-        elif b - a == 2:
-            yield mix(word[a : a + 1] * k + word[a + 1 : b] + np.uint64(2))
+        if b - a >= words:
+            yield np.unique(gram[a : b - words + 1])
         else:
-            yield mix(word[a:b] + np.uint64(1))
+            whole = word[a : min(a + 1, b)]
+            for i in range(a + 1, b):
+                whole = (mix(whole) if i > a + 1 else whole) * k + word[i : i + 1]
+            yield mix(whole + np.uint64(b - a))
 
 
-def slack(size: int) -> int:
+def slack(size: int, percent: int = PERCENT) -> int:
     """The most shingles in which a linked pair can differ, given the smaller set's size."""
-    return size // 9
+    return size * (100 - percent) // percent
 
 
-def _classes(limit: int) -> list[int]:
-    """Lower ends of the size classes; sets below 9 only link when equal."""
-    ends = [9]
-    while ends[-1] <= limit:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * CLASS_RATIO)))
-    return ends
+def least_size(percent: int = PERCENT) -> int:
+    """Smaller sets only link when equal."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 40
 
 
-_ENDS = np.array(_classes(1 << 40))
+@cache
+def class_ends(percent: int = PERCENT) -> np.ndarray:
+    """Lower ends of the size classes."""
+    ends = [least_size(percent)]
+    while ends[-1] <= 1 << 40:
+        ends.append(max(ends[-1] + 1, int(ends[-1] * (100 / percent * CLASS_SPARE))))
+    return np.array(ends)
 
 
-def entries(grams: np.ndarray) -> np.ndarray:
+def entries(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index entries of one set: for its size class, and the one below when that may hold partners."""
     n = len(grams)
-    own = int(np.searchsorted(_ENDS, n, "right")) - 1
+    ends = class_ends(percent)
+    own = int(np.searchsorted(ends, n, "right")) - 1
     out = []
     for level in (own, own - 1):
         if level < 0:
             continue
-        top = int(_ENDS[level + 1]) - 1
-        if level < own and 9 * n > 10 * top:
+        top = int(ends[level + 1]) - 1
+        if level < own and percent * n > 100 * top:
             continue
-        groups = slack(top) + 1
-        f = slack(min(n, top))
+        groups = slack(top, percent) + 1
+        f = slack(min(n, top), percent)
         used = min(groups, f + 1 + SPARE)
         group = ((grams >> np.uint64(11)) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
@@ -151,17 +162,19 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
     return vector if len(vector) == size else vector.reshape(-1, size).sum(axis=0, dtype=vector.dtype)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row: id, n (set size), two hashes of the set, count vector, index entries. Written once."""
 
+    least = least_size(percent)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for slab in slabs(batch.column(1), 1 << 20):
-                sets = list(shingles(slab))
+                sets = list(shingles(slab, words))
                 one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 two = np.array([mix(s ^ _POWER).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                keys = [entries(s) if len(s) >= 9 else np.zeros(0, np.int64) for s in sets]
+                keys = [entries(s, percent) if len(s) >= least else np.zeros(0, np.int64) for s in sets]
                 ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(slab)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
@@ -174,54 +187,62 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, v binary, entries array<bigint>"), "signatures")
 
 
-@F.arrow_udf(BooleanType())
-def _may_link(va: pa.Array, vb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-    """Whether the sum of coordinate minima, an upper bound of the intersection, reaches 90 / 190 of both sizes."""
-    out = []
-    for x, y, m in zip(va.to_pylist(), vb.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist()):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        size = min(len(x), len(y))
-        out.append(190 * int(np.minimum(fold(x, size), fold(y, size)).sum()) >= 90 * m)
-    return pa.array(out, pa.bool_())
+def _may_link(percent: int) -> Callable:
+    """Whether the sum of coordinate minima, an upper bound of the intersection, reaches percent / (100 + percent) of both sizes."""
+
+    @F.arrow_udf(BooleanType())
+    def may_link(va: pa.Array, vb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        out = []
+        for x, y, m in zip(va.to_pylist(), vb.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist()):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            size = min(len(x), len(y))
+            out.append((100 + percent) * int(np.minimum(fold(x, size), fold(y, size)).sum()) >= percent * m)
+        return pa.array(out, pa.bool_())
 
+    return may_link
 
-def within_bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose count vectors allow a link."""
     side = nodes.select("id", "n", "v")
     left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").where(_may_link("va", "vb", "na", "nb")).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(_may_link(percent)("va", "vb", "na", "nb")).select("a", "b").distinct()
 
 
-@F.arrow_udf(BooleanType())
-def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
+def _linked(words: int, percent: int) -> Callable:
     """Whether two whole texts link. Texts that repeat in a run of rows are shingled once."""
-    out, known = [], {}
-    lefts, rights = left.to_pylist(), right.to_pylist()
-    for a, b in zip(lefts, rights):
-        sets = []
-        for t in (a, b):
-            if t not in known:
-                if len(known) > 256:
-                    known.clear()
-                known[t] = next(shingles(pa.array([t], pa.string())))
-            sets.append(known[t])
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        out.append(common > 0 and 100 * common >= 90 * (len(sets[0]) + len(sets[1]) - common))
-    return pa.array(out, pa.bool_())
-
-
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+
+    @F.arrow_udf(BooleanType())
+    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, known = [], {}
+        lefts, rights = left.to_pylist(), right.to_pylist()
+        for a, b in zip(lefts, rights):
+            sets = []
+            for t in (a, b):
+                if t not in known:
+                    if len(known) > 256:
+                        known.clear()
+                    known[t] = next(shingles(pa.array([t], pa.string()), words))
+                sets.append(known[t])
+            common = len(np.intersect1d(*sets, assume_unique=True))
+            out.append(common > 0 and 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common))
+        return pa.array(out, pa.bool_())
+
+    return linked
+
+
+def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int = N, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole texts. Only texts of ids in pairs are fetched."""
     wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(_linked("ta", "tb")).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(_linked(words, percent)("ta", "tb")).select("a", "b").distinct()
 
 
-def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """Index pairs of points in different components whose count vectors allow a link.
 
     The points are packed by size and leading counts into pages of ``PAGE``, pages into pages above them; two trees
@@ -240,11 +261,11 @@ def rtree_pairs(n: np.ndarray, v: np.ndarray, component: np.ndarray, side: np.nd
     a = b = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         high, size, cmin, cmax = levels[depth]
-        keep = []
+        keep = [np.zeros(0, np.int64)]
         for i in range(0, len(a), rows):
             x, y = a[i : i + rows], b[i : i + rows]
             bound = np.minimum(high[x], high[y]).sum(axis=1)
-            ok = 190 * bound >= 90 * (size[x] + size[y])
+            ok = (100 + percent) * bound >= percent * (size[x] + size[y])
             ok &= (np.minimum(cmin[x], cmin[y]) != np.maximum(cmax[x], cmax[y]))
             keep.append(np.flatnonzero(ok) + i)
         kept = np.concatenate(keep)
@@ -281,20 +302,24 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield rest
 
 
-def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_groups(percent: int) -> Callable:
     """Pairs of each group (entry, i, j) by an R-tree; columns entry, i, j, own, id, c, n, v."""
-    for group in _grouped(batches, 3):
-        i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        own, ids, c, n = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
-        vectors = [np.frombuffer(x, "<u4") for x in group.column(7).to_pylist()]
-        size = min(map(len, vectors))
-        side = None if i == j else (own == j).astype(np.int8)
-        found = rtree_pairs(n, np.stack([fold(x, size) for x in vectors]), c, side)
-        x, y = ids[found[:, 0]], ids[found[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-
-
-def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+
+    def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 3):
+            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            own, ids, c, n = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
+            vectors = [np.frombuffer(x, "<u4") for x in group.column(7).to_pylist()]
+            size = min(map(len, vectors))
+            side = None if i == j else (own == j).astype(np.int8)
+            found = rtree_pairs(n, np.stack([fold(x, size) for x in vectors]), c, side, percent)
+            x, y = ids[found[:, 0]], ids[found[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+    return join_groups
+
+
+def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs that share an index entry, lie in different components and pass the bound."""
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
     placed = save(placed, "placed")
@@ -309,12 +334,12 @@ def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> Data
     dealt = dealt.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "v")
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    return dealt.mapInArrow(_join_groups, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_join_groups(percent), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row: ``key``, n_shingles, component_id (smallest key reachable by links, its own without links)."""
-    signed = signatures(docs, key, text)
+    signed = signatures(docs, key, text, words, percent)
     linkable = signed.where("id IS NOT NULL AND n > 0")
     classes = save(linkable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     nodes = save(
@@ -325,8 +350,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     first = indexed.groupBy("entry").agg(F.min("id").alias("b"), F.max("id").alias("_last")).where("b <> _last").drop("_last")
     members = save(indexed.join(first, "entry"), "members")  # of entries with two documents or more
     star = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    tested = save(within_bound(star, nodes), "star")
-    links = save(verify(tested, docs, key, text), "links")
+    tested = save(within_bound(star, nodes, percent), "star")
+    links = save(verify(tested, docs, key, text, words, percent), "links")
 
     placed = signed.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
     placed = save(placed.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))).select("id", "n", "rep"), "placed")
@@ -336,10 +361,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     links = links.unionByName(same_key)
     roots = components(links)
-    more = hidden_pairs(members.select("entry", "id"), roots, nodes).join(tested, ["a", "b"], "left_anti")
+    more = hidden_pairs(members.select("entry", "id"), roots, nodes, percent).join(tested, ["a", "b"], "left_anti")
     more = save(more, "hidden")
     if not more.isEmpty():
-        roots = components(links.unionByName(verify(more, docs, key, text)))
+        roots = components(links.unionByName(verify(more, docs, key, text, words, percent)))
     final = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return final.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),
@@ -347,9 +372,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
 
 
-def keep_first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stand for their group, all columns as they are: one for each component, the one with
     the smallest key; of rows that share it, one. Rows without a key stay."""
-    keep = jaccard_components(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    keep = jaccard_components(docs, key, text, words, percent).where(F.col(key) == F.col("component_id")).select(key).distinct()
     kept = docs.join(keep, key, "left_semi").dropDuplicates([key])
     return kept.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -151,3 +151,63 @@ def test_one_of_each_group_stays(odd, no_rows):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, 9, None], key=str)
     assert jj.keep_first_of_groups(no_rows).collect() == []
+
+
+def general_components(rows, words, percent):
+    """Smallest linked key of each key, by all pairs."""
+    sets = []
+    for k, t in rows:
+        w = t.lower().split()
+        sets.append((k, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)}))
+    parent = {k: k for k, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (k, s) in enumerate(sets):
+        for j, t in sets[:i]:
+            if 100 * len(s & t) >= percent * len(s | t):
+                a, b = find(k), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {k: find(k) for k in parent}
+
+
+@pytest.mark.parametrize("words, percent", [(5, 80), (3, 90), (2, 60)])
+def test_other_shingles_and_thresholds(spark, words, percent):
+    random.seed(words)
+    texts = []
+    for n in [*range(1, 16), 20, 30, 45, 60, 90, 120, 200, 400]:
+        base = [f"w{random.randrange(5000)}" for _ in range(n)]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.05, 0.1):
+            copy = [f"e{random.randrange(5000)}" if random.random() < share else w for w in base]
+            run, at = int(share * n), random.randrange(n)
+            texts += [copy, base[:at] + [f"r{i}" for i in range(run)] + base[at + run :], base[: n - run]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts) if t]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jj.jaccard_components(docs, words=words, percent=percent).collect()}
+    assert got == general_components(rows, words, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 85, 90, 95])
+def test_partners_are_in_the_own_class_or_the_one_below(percent):
+    ends = jj.class_ends(percent)[:60].tolist()
+    assert all(100 * (below - 1) < percent * above for below, above in zip(ends, ends[1:]))
+    assert all(jj.slack(n, percent) == 0 for n in range(jj.least_size(percent))) and jj.slack(jj.least_size(percent), percent) >= 1
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    """Two words in a hundred edited, or a run of 8 in 100: linked at 5 words and 0.8, not at 3 words and 0.9."""
+    base = [f"word{i}" for i in range(500)]
+    single = [f"edit{i}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    other = [f"other{i}" for i in range(500)]
+    run = other[:200] + [f"new{i}" for i in range(40)] + other[240:]
+    far = [f"far{i}" for i in range(500)]
+    farther = [f"edit{i}" if i % 20 == 10 else w for i, w in enumerate(far)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, single, other, run, far, farther])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(set(brute_force(rows).values())) == 6
+    assert sorted(r.doc_id for r in jj.keep_first_of_groups(docs, words=5, percent=80).collect()) == [0, 2, 4, 5]
+    assert jj.keep_first_of_groups(docs).count() == 6
