@@ -49,6 +49,32 @@ def test_a_group_larger_than_its_quota(spark):
     assert sum(n == 1 for n in pairs) >= 0.8 * len(pairs)
 
 
+def test_a_group_of_a_third_of_the_rows_stands_in_as_few_shards_as_hold_it(spark):
+    rows = [(i, "hot" if i % 3 == 0 else "warm" if i % 15 == 1 else f"pair {i // 4}" if i % 4 < 2 else f"text {i}") for i in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sh.shard_documents(docs).collect()
+    check_shards(got, 24)
+    texts, groups = dict(rows), defaultdict(Counter)
+    for r in got:
+        groups[texts[r.doc_id]][r.shard] += 1
+    assert sum(groups["hot"].values()) == 1600 and len(groups["hot"]) == 8
+    assert sum(groups["warm"].values()) == 320 and len(groups["warm"]) == 2
+    assert all(len(s) == 1 for t, s in groups.items() if sum(s.values()) == 2)
+
+
+@pytest.mark.parametrize("sizes", [[70, 70, 70], [150, 60, 60, 30], [300], [1], []])
+def test_large_groups_are_placed_once_within_the_quotas(sizes):
+    quotas = [101, 100, 100]
+    pieces, placed = sh.plan_large(sizes, quotas)
+    used = Counter()
+    for size, spans in zip(sizes, pieces):
+        ends = [*[a for a, _, _ in spans[1:]], size]
+        for (a, shard, slot), z in zip(spans, ends):
+            assert z > a and slot == used[shard]
+            used[shard] += z - a
+    assert [used[s] for s in range(3)] == placed and all(p <= q for p, q in zip(placed, quotas))
+
+
 def test_all_rows_linked(spark):
     docs = spark.createDataFrame([(i, f"t{i % 10}") for i in range(200)], "doc_id bigint, text string")
     check_shards(sh.shard_documents(docs, shards=8).collect(), 8)
