@@ -1,11 +1,14 @@
 """Licence notices in texts by a trained paragraph classifier.
 
-A paragraph is a line; longer lines are read in overlapping windows of words. A logistic regression over sparse
-hashed word 1- to 3-grams, trained in numpy, gives each window a family or ``unknown``. It learns from templates with random edits, from
+A paragraph is a run of lines that hold words; a line without words ends it. Lines, and whole paragraphs across their
+line feeds, are read in overlapping windows of words, long ones for bodies and short ones for notices inside prose. A
+logistic regression over sparse hashed word 1- to 3-grams, trained in numpy, gives each window a family or ``unknown``.
+It learns from templates with random edits, from templates inside prose, from
 sentences that merely use the words of licences, and, as unknown, from a bounded sample of the corpus's own lines
 that resemble no template. On parts held back, a temperature calibrates the probabilities and the acceptance
 threshold is set above nearly all unknown lines. An accepted prediction must then be confirmed by a template of its
-family: the share of the template's word pairs that the window holds.
+family: the share of the template's word pairs that a stretch of the window holds. A notice is reported once, at the
+line its stretch starts in; of stretches that share most of their words the one most alike stays.
 
 NULL and empty texts have no paragraph. Repeated rows are reported each. An empty table gives an empty result.
 """
@@ -26,6 +29,8 @@ from corpuslens.llm.license_templates import OTHER, TEMPLATES
 
 BITS = 15
 WINDOW, STRIDE = 40, 20
+#: Windows over paragraphs, (words, stride).
+WINDOWS = ((WINDOW, STRIDE), (12, 3), (6, 2))
 #: Share of a template's word pairs that confirms it.
 CONFIRM = 0.7
 #: Rows and lines of the corpus that unknown is learned from.
@@ -75,6 +80,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes, starts, ends, doc, feeds[starts] - feeds[offsets[doc]])
 
 
+def windows(first: np.ndarray, last: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of windows over runs of words: one if a run is short, else every ``stride`` words to its end."""
+    number = np.maximum(1, -(-(last - first - size) // stride) + 1)
+    run = np.repeat(np.arange(len(first)), number)
+    start = first[run] + stride * (np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number))
+    return start, np.minimum(start + size, last[run])
+
+
 def grams(hashes: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Buckets of 1-, 2- and 3-grams within groups and the word each starts at."""
     shift = np.uint64(64 - BITS)
@@ -107,6 +120,28 @@ def similarity(pairs: set[tuple[bytes, bytes]], family: str) -> float:
     return max(len(t & pairs) / len(t) for t in _PAIRS[family])
 
 
+def stretches(words: list[bytes], family: str) -> list[tuple[int, int, float]]:
+    """Where templates of a family stand among words: (first word, last word, share of pairs), for shares that confirm."""
+    found = []
+    for t in _PAIRS[family]:
+        hits = [i for i in range(len(words) - 1) if (words[i], words[i + 1]) in t]
+        span, spans = len(t) + 1 + max(2, len(t) // 3), []
+        while hits:
+            # The last of the best starts is the tightest.
+            share, first = max((len({(words[j], words[j + 1]) for j in hits if i <= j < i + span - 1}), i) for i in hits)
+            if share < CONFIRM * len(t):
+                break
+            last = max(j for j in hits if j < first + span - 1) + 1
+            spans.append((first, last, share / len(t)))
+            hits = [j for j in hits if j < first - 1 or j > last]
+        if not spans and hits:
+            share = len({(words[j], words[j + 1]) for j in hits}) / len(t)
+            if share >= CONFIRM:
+                spans.append((hits[0], hits[-1] + 1, share))
+        found += spans
+    return found
+
+
 @dataclass(frozen=True)
 class Classifier:
     weights: np.ndarray
@@ -133,6 +168,26 @@ def _edited(rng: np.random.Generator, text: str) -> str:
     return joined.upper() if rng.random() < 0.1 else joined
 
 
+def _inside_prose(rng: np.random.Generator, unknown: list[str]) -> list[tuple[str, int]]:
+    """Windows with a template amid words of unknown texts, and windows of such words alone."""
+    words = [w for k in rng.permutation(len(unknown)) for w in unknown[k].split()]
+
+    def prose(n: int) -> list[str]:
+        at = int(rng.integers(max(1, len(words) - n)))
+        return words[at : at + n]
+
+    out = []
+    for f, texts in TEMPLATES.items():
+        for text in texts:
+            for copy in range(COPIES):
+                own = _edited(rng, text).split(" ")
+                fits = [w for w, _ in WINDOWS if w > len(own)] or [WINDOW]
+                room = max(0, fits[copy % len(fits)] - len(own))
+                before = int(rng.integers(room + 1))
+                out.append((" ".join(prose(before) + own + prose(room - before)), FAMILIES.index(f)))
+    return out + [(" ".join(prose(w)), UNKNOWN) for w, _ in WINDOWS for _ in range(10 * COPIES)]
+
+
 def train(lines: list[str], seed: int = 5) -> Classifier:
     """From the templates and the corpus lines given as unknown. A fifth of all examples is held back to calibrate."""
     rng = np.random.default_rng(seed)
@@ -141,6 +196,7 @@ def train(lines: list[str], seed: int = 5) -> Classifier:
     examples += [(_edited(rng, t), UNKNOWN) for t in OTHER for _ in range(COPIES)]
     pairs = [(line, word_pairs(line)) for line in lines]
     examples += [(line, UNKNOWN) for line, p in pairs if not any(similarity(p, f) >= CONFIRM / 2 for f in TEMPLATES)]
+    examples += _inside_prose(rng, [text for text, label in examples if label == UNKNOWN])
     rows = [(*sparse(text), label) for text, label in examples]
     order = rng.permutation(len(rows))
     held, used = order[: len(order) // 5], order[len(order) // 5 :]
@@ -179,43 +235,57 @@ def sample_lines(docs: DataFrame, key: str, text: str) -> list[str]:
 
 
 def find(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float]]:
-    """(text, line, family, probability, similarity) of confirmed notices; the best window of a line and family."""
+    """(text, line, family, probability, similarity) of confirmed notices; the best stretch of a line and family."""
     data, offsets = utf8(texts)
     found = split_words(data, offsets)
     n = len(found.hashes)
     if not n:
         return
-    group = found.doc << 32 | found.line
-    scores, counts = np.zeros((n, len(FAMILIES)), np.float64), np.zeros(n)
-    for ids, at in grams(found.hashes, group):
-        scores[at] += model.weights[ids]
-        counts[at] += 1
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    last = np.append(first[1:], n)
-    # Windows of each line: one if it is short, else every STRIDE words to its end.
-    windows = np.maximum(1, -(-(last - first - WINDOW) // STRIDE) + 1)
-    line = np.repeat(np.arange(len(first)), windows)
-    start = first[line] + STRIDE * (np.arange(len(line)) - np.repeat(np.cumsum(windows) - windows, windows))
-    end = np.minimum(start + WINDOW, last[line])
-    total = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(scores, axis=0)])
-    number = np.concatenate([[0.0], np.cumsum(counts)])
-    p = model.probabilities((total[end] - total[start]) / (number[end] - number[start])[:, None])
-    best = p[:, :UNKNOWN].argmax(axis=1)
-    likely = p[np.arange(len(p)), best]
+    # Sums of the weights and numbers of the 1-, 2- and 3-grams that start before each word: a window's are differences.
+    total = np.zeros((3, n + 1, len(FAMILIES)), np.float64)
+    for k, (ids, at) in enumerate(grams(found.hashes, np.zeros(n, np.int8))):
+        total[k, at + 1] = model.weights[ids]
+        np.cumsum(total[k], axis=0, out=total[k])
+    new_doc = np.append(True, found.doc[1:] != found.doc[:-1])
+    step = np.append(1, np.diff(found.line))
+    lines, paragraphs = np.flatnonzero(new_doc | (step != 0)), np.flatnonzero(new_doc | (step > 1))
+    ends = np.append(paragraphs[1:], n)
+    bounds = [windows(lines, np.append(lines[1:], n), WINDOW, STRIDE)]
+    bounds += [windows(paragraphs[long], ends[long], *w) for w in WINDOWS for long in [ends - paragraphs > (w[0] if w[0] < WINDOW else 1)]]
+    likely_windows: set[tuple[int, int, int, float]] = set()
+    for starts, stops in bounds:
+        for i in range(0, len(starts), 1 << 16):
+            start, end = starts[i : i + (1 << 16)], stops[i : i + (1 << 16)]
+            number = np.zeros(len(start))
+            scores = np.zeros((len(start), len(FAMILIES)))
+            for k in range(3):
+                stop = np.maximum(end - k, start)
+                scores += total[k, stop] - total[k, start]
+                number += stop - start
+            p = model.probabilities(scores / number[:, None])
+            best = p[:, :UNKNOWN].argmax(axis=1)
+            likely = p[np.arange(len(p)), best]
+            taken = np.flatnonzero((p.argmax(axis=1) != UNKNOWN) & (likely >= model.threshold))
+            likely_windows.update(zip(start[taken].tolist(), end[taken].tolist(), best[taken].tolist(), likely[taken].tolist()))
+    places: dict[tuple[int, int, int], tuple[float, float]] = {}
+    for start, end, best, likely in sorted(likely_windows):
+        words = data[found.starts[start] : found.ends[end - 1]].tobytes().lower()
+        for first, last, alike in stretches(_WORD.findall(words), FAMILIES[best]):
+            place = (start + first, start + last, best)
+            places[place] = max(places.get(place, (0.0, 0.0)), (alike, likely))
+    used = np.zeros(n, bool)
     results: dict[tuple[int, int, str], tuple[float, float]] = {}
-    for k in np.flatnonzero((p.argmax(axis=1) != UNKNOWN) & (likely >= model.threshold)):
-        family = FAMILIES[best[k]]
-        words = data[found.starts[start[k]] : found.ends[end[k] - 1]].tobytes().decode("utf-8", "replace")
-        alike = similarity(word_pairs(words), family)
-        if alike >= CONFIRM:
-            place = (int(found.doc[start[k]]), int(found.line[start[k]]), family)
-            results[place] = max(results.get(place, (0.0, 0.0)), (alike, float(likely[k])))
+    for (first, last, best), (alike, likely) in sorted(places.items(), key=lambda x: (-x[1][0], x[0][0] - x[0][1], -x[1][1], x[0])):
+        if used[first : last + 1].mean() <= 0.5:
+            used[first : last + 1] = True
+            place = (int(found.doc[first]), int(found.line[first]), FAMILIES[best])
+            results[place] = max(results.get(place, (0.0, 0.0)), (alike, likely))
     for (doc, line_no, family), (alike, probability) in sorted(results.items()):
         yield doc, line_no, family, probability, alike
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per notice found: ``key``, paragraph (line, from 0), family, probability, similarity."""
+    """Per notice found: ``key``, paragraph (line the notice starts in, from 0), family, probability, similarity."""
     docs = docs.select(key, text)
     shared = docs.sparkSession.sparkContext.broadcast(train(sample_lines(docs, key, text)))
 

@@ -56,3 +56,34 @@ def test_odd_rows(odd, no_rows):
     extra = odd.selectExpr("doc_id", "concat(text, '\nAll rights reserved.') text", "part")
     got = ls.scan_licenses(extra).collect()
     assert sorted((r.doc_id for r in got), key=str) == sorted([1, 1, 3, 4, 5, 6, 7, 8, 9, None], key=str)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("body, family", [(MIT, "MIT"), (BSD, "BSD"), (GPL, "GPL")])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_hard_wrapped_headers(model, body, family, prefix, end):
+    lines = [f"{prefix}Copyright (c) 2021 The Authors", prefix, *(prefix + line for line in body.split("\n")), prefix, "x = 1"]
+    assert [(n, f) for _, n, f, _, _ in ls.find(model, pa.array([end.join(lines)]))] == [(2, family)]
+
+
+@pytest.mark.parametrize("notice, family", PLANTED.items())
+def test_short_notices_inside_prose(model, notice, family):
+    before = "The river was cold in the morning and nobody went out on the boats before the bell had rung twice."
+    after = "Later that day the children walked along the road to the village and bought bread for the evening."
+    assert [(n, f) for _, n, f, _, _ in ls.find(model, pa.array([f"{before} {notice} {after}"]))] == [(0, family)]
+    words = notice.split(" ")
+    wrapped = f"{before}\n{' '.join(words[:2])}\n{' '.join(words[2:])} {after}"
+    assert [(n, f) for _, n, f, _, _ in ls.find(model, pa.array([wrapped]))] == [(1, family)]
