@@ -64,3 +64,35 @@ def slabs(texts: pa.Array, limit: int = SLAB_BYTES) -> Iterator[pa.Array]:
         stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
         yield texts.slice(start, stop - start)
         start = stop
+
+
+def segments(texts: pa.Array, breaks: bytes, limit: int = SLAB_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cuts the texts of an Arrow batch into runs of about ``limit`` bytes, long texts after a byte of ``breaks``, so that
+    arrays made of a run have a bound whatever the length of a text; only a stretch without such a byte stays whole.
+
+    Gives the bytes of a run, the offsets of its parts, and the number of the text that each part belongs to.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    raw, at = utf8(texts)
+    is_break = np.isin(np.arange(256), np.frombuffer(breaks, np.uint8))
+    cuts: list[tuple[int, int]] = []
+    for row in np.flatnonzero(np.diff(at) > limit).tolist():
+        place, end = int(at[row]), int(at[row + 1])
+        while place + limit < end:
+            place += limit
+            while place < end and not len(found := np.flatnonzero(is_break[raw[place - 1 : min(place - 1 + limit, end)]])):
+                place += limit
+            place = end if place >= end else place + int(found[0])
+            if place < end:
+                cuts.append((row, place))
+    rows = np.concatenate([np.arange(len(texts)), np.array([c[0] for c in cuts], np.int64)])
+    starts = np.concatenate([at[:-1], np.array([c[1] for c in cuts], np.int64)])
+    order = np.lexsort((starts, rows))
+    rows, starts = rows[order], starts[order]
+    ends = np.append(starts[1:], at[-1:])
+    first = 0
+    while first < len(rows):
+        stop = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
+        yield raw[starts[first] : ends[stop - 1]], np.append(starts[first:stop], ends[stop - 1]) - starts[first], rows[first:stop]
+        first = stop

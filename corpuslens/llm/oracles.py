@@ -42,4 +42,64 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.y) AS comp
 FROM documents d JOIN reach ON d.doc_id = reach.x LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLES = {"op1_quality_rules": QUALITY_RULES, "op3_ngram_jaccard_join": JACCARD_JOIN}
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM w, range(1, 6) AS r(d) WHERE len(w) >= d),
+f AS (SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE d >= 2),
+cuts AS (SELECT c.*, unnest(range(1, d)) AS k FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, cuts.k, x.a AS l, y.a AS r, n.n,
+    (1000 * cuts.a::HUGEINT * n.n::HUGEINT // (x.a::HUGEINT * y.a::HUGEINT))::BIGINT AS score
+  FROM cuts JOIN n ON n.lang = cuts.lang
+  JOIN f x ON x.lang = cuts.lang AND x.d = k AND x.phrase = array_to_string(p[1:k], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.d = cuts.d - k AND y.phrase = array_to_string(p[k + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(p[i:i + s - 1], ' ') AS phrase, a AS longer
+  FROM (SELECT lang, p, a, s, unnest(range(1, d - s + 2)) AS i FROM c, range(2, 5) AS q(s) WHERE s < d)),
+alone AS (SELECT * FROM weakest t WHERE NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = t.lang AND s.phrase = t.phrase AND 100 * longer >= 100 * t.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone QUALIFY rank <= 2000
+"""
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) AS t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY i) AS ts FROM turns GROUP BY c),
+h AS (
+  SELECT c, ts, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1]))) % 4 AS h
+  FROM own, crc),
+whole AS (
+  SELECT h.c, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+placed AS (SELECT c, ts, len(ts) AS whole_depth, unnest(range(0, len(ts) + 1)) AS depth FROM whole),
+members AS (SELECT c, depth, ts[1:depth] AS node, whole_depth FROM placed),
+nodes AS (
+  SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN whole_depth = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM members GROUP BY node, depth),
+children AS (SELECT node[1:depth - 1] AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+    (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes LEFT JOIN children USING (node, depth)),
+ups AS (SELECT node, n_children, saved, unnest(range(0, depth + 1)) AS up FROM valued),
+totals AS (SELECT node[1:up] AS node, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM ups GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM valued v JOIN totals USING (node, depth) LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]
+"""
+
+ORACLES = {
+    "op1_quality_rules": QUALITY_RULES, "op3_ngram_jaccard_join": JACCARD_JOIN, "op11_phrase_collocations": PHRASES, "op13_prefix_trie": PREFIX_TRIE,
+}

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.common import table
 from corpuslens.llm.fingerprints import fingerprint_documents
+from corpuslens.llm.html_text import extract_pages
 from corpuslens.llm.jaccard_join import jaccard_components
 from corpuslens.llm.language_id import identify_languages
 from corpuslens.llm.license_scan import scan_licenses
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.oracles import ORACLES
 from corpuslens.llm.packing import pack_documents
+from corpuslens.llm.phrases import collocations
+from corpuslens.llm.prefix_trie import prefix_trie
 from corpuslens.llm.quality_classifier import classify_quality
 from corpuslens.llm.quality_rules import quality_rules
 from corpuslens.llm.sharding import shard_documents
@@ -59,9 +62,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_token_files, op5_quality_classifier,
     op6_document_fingerprints, op7_source_mixture, op8_license_scan, op9_balanced_shards, op10_language_id,
+    op11_phrase_collocations, op12_html_extraction, op13_prefix_trie,
 )}

@@ -17,13 +17,16 @@ COLUMNS = {
     "op5_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op6_document_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op9_balanced_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_phrase_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op13_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
     "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
 }
 
 
 def test_one_query_for_each_operator():
     names = [q for q in entry_point.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in entry_point.queries() and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
