@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,21 @@ def fold(key: Column) -> Column:
     return F.crc32(F.encode(key.cast("string"), "utf-8")) % 5
 
 
+def with_verdict(docs: DataFrame, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """The rows whose computed ``value`` is to be kept, with their columns as they are. The helper column gets a name
+    that no column has."""
+    name = fresh_name(docs, "verdict")
+    return docs.withColumn(name, value).where(keep(F.col(name))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` needs; names ignore case, as Spark's do."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (NULL: empty) and the offsets of each."""
     texts = texts.cast(pa.large_string()).fill_null("")

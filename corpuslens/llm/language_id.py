@@ -1,11 +1,13 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is built from a few labelled texts. A text is coded in blocks
-with every dictionary; the language whose dictionary gives the fewest bytes wins. The margin to the runner-up, as a
-share of the runner-up's bytes, tells how sure that is: below ``min_margin`` the text is rejected.
+For each language a zstandard raw-content dictionary is built from whole labelled texts: a bounded number of rows, and
+of their blocks as many as fit into the dictionary, both chosen by a hash, so that no part of a text is preferred. A text
+is coded in blocks with every dictionary; the language whose dictionary gives the fewest bytes wins. The margin to the
+runner-up, as a share of the runner-up's bytes, tells how sure that is: below ``min_margin`` the text is rejected.
 
 A NULL text, or one without a letter, has language ``und``, score 0 and is rejected. If nothing could be learned,
-every text is ``und``. Equal sizes go to the language with more labelled rows, then to the first in name order.
+every text is ``und``. Equal sizes go to the language with more labelled rows, then to the first in name order. Long texts
+are coded block by block, in memory of a few times their size.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import fold, slabs
+from corpuslens.llm.common import fold, slabs, with_verdict
 
-#: The sample a dictionary is made from: texts of each language, and characters taken of each.
+#: The sample a dictionary is made from: rows of each language, bytes of their blocks, and characters of a block.
 TEXTS_PER_LANGUAGE = 64
-CHARS_PER_TEXT = 4096
-DICTIONARY_BYTES = 96 << 10
+DICTIONARY_BYTES = 256 << 10
+SAMPLE_BLOCK = 1000
 #: Texts are coded in blocks of so many characters, so that a dictionary counts as much at the end of a long text.
 BLOCK_CHARS = 4000
 MIN_MARGIN = 0.005
@@ -42,29 +44,53 @@ def _parameters():
     import zstandard
 
     return zstandard.ZstdCompressionParameters(
-        write_content_size=0, write_checksum=0, write_dict_id=0, window_log=18, chain_log=16, hash_log=16,
+        write_content_size=0, write_checksum=0, write_dict_id=0, window_log=19, chain_log=17, hash_log=17,
         search_log=3, min_match=4, target_length=8, strategy=zstandard.STRATEGY_GREEDY,
     )
 
 
-def learn(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from the rows where ``train`` holds and ``lang`` is given: a bounded sample of each language,
-    chosen by a hash of the key. Only keys are ranked; texts are read for the chosen rows."""
+def sample_blocks(text: str) -> Iterator[str]:
+    """The whole text, normalised, in blocks of about ``SAMPLE_BLOCK`` characters that end between words if they can."""
+    clean = normalise(text)
+    at = 0
+    while at < len(clean):
+        stop = clean.find(" ", at + SAMPLE_BLOCK - 1, at + 2 * SAMPLE_BLOCK) + 1 or at + SAMPLE_BLOCK
+        yield clean[at:stop].strip()
+        at = stop
+
+
+def learn(
+    docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang",
+    texts_per_language: int = TEXTS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES,
+) -> dict[str, bytes]:
+    """Dictionaries from the rows where ``train`` holds and ``lang`` is given: a bounded sample of each language, chosen
+    by a hash of the key. Only keys are ranked; texts are read for the chosen rows, whole. If their blocks are more than
+    ``dictionary_bytes``, those with the smallest hashes are taken, wherever they stand."""
     labelled = docs.where(train & F.col(lang).isNotNull())
     frequent = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.count(F.lit(1))).collect()}
     rows = labelled.select(key, lang, F.xxhash64(key).alias("_h"))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy("_h", key))
-    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= TEXTS_PER_LANGUAGE).select(key).distinct().collect()
+    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= texts_per_language).select(key).distinct().collect()
     keys = [r[0] for r in chosen if r[0] is not None]
-    found = (
-        labelled.where(F.col(key).isin(keys) & F.col(text).isNotNull())
-        .select(lang, key, F.substring(text, 1, CHARS_PER_TEXT).alias("_t")).collect()
-    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                blocks = list(dict.fromkeys(sample_blocks(value)))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(blocks), pa.string()), pa.array(blocks, pa.string())], names=["lang", "block"])
+
+    sampled = labelled.where(F.col(key).isin(keys) & F.col(text).isNotNull())
+    blocks = sampled.select(F.col(lang).cast("string"), text).mapInArrow(cut, "lang string, block string").where("block <> ''").distinct()
+    # A block has at most twice ``SAMPLE_BLOCK`` characters and most fill it, so this many are enough for the bytes.
+    most = dictionary_bytes // 64
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "block"))
+    ordered = blocks.withColumn("_h", F.xxhash64("block")).withColumn("_p", place).where(F.col("_p") <= most)
+    before = F.sum(F.octet_length("block") + 1).over(Window.partitionBy("lang").orderBy("_p"))
+    found = ordered.withColumn("_end", before).where(F.col("_end") <= dictionary_bytes + 1).collect()
     parts: dict[str, list[str]] = {}
-    for name, _, sample in sorted(found, key=lambda r: (r[0], str(r[1]), r[2])):
-        parts.setdefault(name, []).append(normalise(sample))
-    ranked = sorted(parts, key=lambda name: (-frequent[name], name))
-    return {name: " ".join(dict.fromkeys(parts[name])).encode()[:DICTIONARY_BYTES] for name in ranked if any(parts[name])}
+    for row in sorted(found, key=lambda r: r["_p"]):
+        parts.setdefault(row["lang"], []).append(row["block"])
+    return {name: " ".join(parts[name]).encode() for name in sorted(frequent, key=lambda name: (-frequent[name], name)) if name in parts}
 
 
 class Languages:
@@ -87,7 +113,8 @@ class Languages:
     def decide(self, text: str | None, min_margin: float = MIN_MARGIN) -> tuple[str, float, float, bool]:
         """lang, score, margin, rejected. The score is the winner's share of weights that fall with relative size."""
         clean = normalise(text or "")
-        if not clean or not self.names:
+        # Word signs that are no letters, such as fractions and Roman numerals of their own sign, tell no language.
+        if not self.names or not any(c.isalpha() for c in clean):
             return "und", 0.0, 0.0, True
         sizes = np.array(self.sizes(clean), float)
         best = int(sizes.argmin())
@@ -125,4 +152,4 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_identified(docs: DataFrame, labelled: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is clear, all columns as they are. ``labelled`` has doc_id, text, lang."""
     identify = classifier(docs.sparkSession, learn(labelled, fold(F.col("doc_id")) != 0), min_margin)
-    return docs.withColumn("__language", identify(F.col("text"))).where(~F.col("__language.rejected")).drop("__language")
+    return with_verdict(docs, identify(F.col("text")), lambda r: ~r["rejected"])

@@ -10,7 +10,9 @@ threshold is set above nearly all unknown lines. An accepted prediction must the
 family: the share of the template's word pairs that a stretch of the window holds. A notice is reported once, at the
 line its stretch starts in; of stretches that share most of their words the one most alike stays.
 
-NULL and empty texts have no paragraph. Repeated rows are reported each. An empty table gives an empty result.
+A text longer than ``PIECE_BYTES`` is read in pieces that overlap by more than any template takes; each piece reports the
+notices that start nearer to its middle, so memory has a bound whatever the length of a text, and none is lost or told
+twice. NULL and empty texts have no paragraph. Repeated rows are reported each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ WINDOW, STRIDE = 40, 20
 WINDOWS = ((WINDOW, STRIDE), (12, 3), (6, 2))
 #: Share of a template's word pairs that confirms it.
 CONFIRM = 0.7
-#: Rows and lines of the corpus that unknown is learned from.
-SAMPLE_ROWS, SAMPLE_LINES, CHARS_PER_TEXT = 300, 1200, 4000
+#: Rows of the corpus that unknown is learned from, and windows of ``WINDOW`` words of their lines. A window with more
+#: characters than ``SAMPLE_CHARS`` holds no words of a licence and is not taken.
+SAMPLE_ROWS, SAMPLE_LINES, SAMPLE_CHARS = 300, 1200, 4000
+#: Bytes of text that are worked on at a time, and half of what the pieces of a longer text share.
+PIECE_BYTES, HALF_OVERLAP = 1 << 20, 1 << 13
 COPIES, EPOCHS, STEP = 30, 6, 0.5
 #: Of the unknown lines held back, the share whose best family may exceed the threshold.
 FALSE_SHARE = 0.002
@@ -225,18 +230,52 @@ def train(lines: list[str], seed: int = 5) -> Classifier:
     return Classifier(weights.astype(np.float32), bias, temperature, min(threshold, 0.9))
 
 
-def sample_lines(docs: DataFrame, key: str, text: str) -> list[str]:
-    """Lines of a bounded sample of rows, chosen by a hash of the key."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(SAMPLE_ROWS)
-    keys = [r[key] for r in rows.collect() if r[key] is not None]
-    texts = docs.where(F.col(key).isin(keys)).select(key, F.substring(text, 1, CHARS_PER_TEXT).alias("t")).collect()
-    lines = [" ".join(line.split()[:WINDOW]) for r in sorted(texts, key=lambda r: (str(r[key]), r["t"] or "")) for line in (r["t"] or "").split("\n")]
-    return [line for line in dict.fromkeys(lines) if line][:SAMPLE_LINES]
+def sample_lines(docs: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> list[str]:
+    """Windows of lines of a bounded sample of rows: the rows by a hash of the key, whole; of their windows, wherever in
+    a text they stand, those with the smallest hashes."""
+    chosen = docs.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(rows)
+    keys = [r[key] for r in chosen.collect() if r[key] is not None]
+    split = docs.where(F.col(key).isin(keys)).select(F.explode(F.split(text, "\n")).alias("line"))
+    words = split.select(F.explode(F.array(F.array_remove(F.split("line", r"\s+"), ""))).alias("w")).where(F.size("w") > 0)
+    cut = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(WINDOW))).alias("i"))
+    found = cut.select(F.array_join(F.slice("w", F.col("i"), WINDOW), " ").alias("t")).where(F.length("t") <= SAMPLE_CHARS).distinct()
+    return [r["t"] for r in found.orderBy(F.xxhash64("t"), "t").limit(lines).collect()]
 
 
-def find(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str, float, float]]:
+def find(model: Classifier, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[int, int, str, float, float]]:
     """(text, line, family, probability, similarity) of confirmed notices; the best stretch of a line and family."""
     data, offsets = utf8(texts)
+    if len(texts) != 1 or len(data) <= piece_bytes:
+        for doc, line, family, probability, alike, _ in _find(model, data, offsets):
+            yield doc, line, family, probability, alike
+        return
+    best: dict[tuple[int, str], tuple[float, float]] = {}
+    start, lines, low = 0, 0, 0
+    while True:
+        stop = _word_end(data, start + piece_bytes) if start + piece_bytes < len(data) else len(data)
+        high = stop - HALF_OVERLAP if stop < len(data) else stop
+        for _, line, family, probability, alike, at in _find(model, data[start:stop], np.array([0, stop - start])):
+            if low <= start + at < high:
+                place = (lines + line, family)
+                best[place] = max(best.get(place, (0.0, 0.0)), (alike, probability))
+        if stop == len(data):
+            break
+        # The next piece reports from here on, and starts half an overlap before.
+        low, begin = high, _word_end(data, high - HALF_OVERLAP)
+        lines += int(np.count_nonzero(data[start:begin] == 10))
+        start = begin
+    for (line, family), (alike, probability) in sorted(best.items()):
+        yield 0, line, family, probability, alike
+
+
+def _word_end(data: np.ndarray, at: int) -> int:
+    """The first white space from ``at`` on, within a quarter of the overlap; else ``at`` itself."""
+    space = np.flatnonzero(np.isin(data[at : at + HALF_OVERLAP // 4], (9, 10, 11, 12, 13, 32)))
+    return at + int(space[0]) if len(space) else at
+
+
+def _find(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, str, float, float, int]]:
+    """As ``find``, with the byte that the notice starts at as last field."""
     found = split_words(data, offsets)
     n = len(found.hashes)
     if not n:
@@ -274,14 +313,14 @@ def find(model: Classifier, texts: pa.Array) -> Iterator[tuple[int, int, str, fl
             place = (start + first, start + last, best)
             places[place] = max(places.get(place, (0.0, 0.0)), (alike, likely))
     used = np.zeros(n, bool)
-    results: dict[tuple[int, int, str], tuple[float, float]] = {}
+    results: dict[tuple[int, int, str], tuple[float, float, int]] = {}
     for (first, last, best), (alike, likely) in sorted(places.items(), key=lambda x: (-x[1][0], x[0][0] - x[0][1], -x[1][1], x[0])):
         if used[first : last + 1].mean() <= 0.5:
             used[first : last + 1] = True
             place = (int(found.doc[first]), int(found.line[first]), FAMILIES[best])
-            results[place] = max(results.get(place, (0.0, 0.0)), (alike, likely))
-    for (doc, line_no, family), (alike, probability) in sorted(results.items()):
-        yield doc, line_no, family, probability, alike
+            results[place] = max(results.get(place, (0.0, 0.0, 0)), (alike, likely, int(found.starts[first])))
+    for (doc, line_no, family), (alike, probability, at) in sorted(results.items()):
+        yield doc, line_no, family, probability, alike, at
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,7 +331,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for slab in slabs(batch.column(1), 1 << 20):
+            for slab in slabs(batch.column(1), PIECE_BYTES):
                 rows = list(zip(*find(shared.value, slab))) or [[], [], [], [], []]
                 keys = batch.column(0).take(pa.array([at + k for k in rows[0]], pa.int64()))
                 columns = [pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.string(), pa.float64(), pa.float64()))]

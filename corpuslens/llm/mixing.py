@@ -21,13 +21,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import save, words
+from corpuslens.llm.common import fresh_name, save, words
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 18
 SEED = 1
 #: Sources up to this number are broadcast to their rows (about 100 bytes each); more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Leading bits of a block's place in the permutation that partial sums are kept for, as shifts: 4096 ranges, then 4096 in one.
+RANGE_SHIFTS = (52, 40)
 #: Levels of the bisection that one job evaluates, and jobs.
 LEVELS, JOBS = 4, 8
 
@@ -87,9 +89,12 @@ def plan_mixture(
 
     partial = rows.join(_small(plan.select("_s", "passes", "rest", "blocks"), plan), "_s").where("rest > 0")
     partial = partial.withColumn("h", block_key(F.col("passes"), F.col("_s"), block_of(F.col("_k"), F.col("blocks"), seed), seed))
+    blocks = save(partial.groupBy("_s", "h").agg(F.sum("_n").alias("t"), F.first("rest").alias("rest")), "mixture-blocks")
+    near = blocks.withColumn("base", F.lit(0).cast("bigint"))
+    for shift in RANGE_SHIFTS:
+        near = border_range(near, shift)
     order = Window.partitionBy("_s").orderBy("h")
-    blocks = partial.groupBy("_s", "h").agg(F.sum("_n").alias("t"), F.first("rest").alias("rest"))
-    blocks = blocks.withColumn("end", F.sum("t").over(order)).where("end > rest")
+    blocks = near.withColumn("end", F.col("base") + F.sum("t").over(order)).where("end > rest")
     # The first block that does not fit whole; what is left of the rest goes to its rows.
     border = blocks.groupBy("_s").agg(F.min_by(F.struct("h", (F.col("rest") - F.col("end") + F.col("t")).alias("left")), "end").alias("b"))
     border = save(border.select("_s", F.col("b.h").alias("block_end"), F.col("b.left").alias("left")), "border")
@@ -100,6 +105,17 @@ def plan_mixture(
     return save(plan.join(border.drop("left"), "_s", "left").join(last, "_s", "left"), "mixture-plan")
 
 
+def border_range(blocks: DataFrame, shift: int) -> DataFrame:
+    """Of (_s, h, t, rest, base) the blocks of the range of h in which the sum over a source passes ``rest``, with the sum
+    before that range as ``base``. Ranges are the leading bits of h, so few sums per source are put in order, however many
+    blocks it has. A source whose blocks all fit has no such range."""
+    ranged = blocks.withColumn("g", F.shiftright("h", shift))
+    sums = ranged.groupBy("_s", "g").agg(F.sum("t").alias("t"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+    end = F.col("base") + F.sum("t").over(Window.partitionBy("_s").orderBy("g"))
+    border = sums.withColumn("end", end).where("end > rest AND end - t <= rest").select("_s", "g", (F.col("end") - F.col("t")).alias("base"))
+    return ranged.drop("base").join(border, ["_s", "g"]).select("_s", "h", "t", "rest", "base")
+
+
 def _small(side: DataFrame, sized: DataFrame) -> DataFrame:
     """Broadcasts a table of one row per source if the sources were counted and are few."""
     return F.broadcast(side) if sized.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else side
@@ -120,27 +136,33 @@ def row_key(number: Column, key: Column, seed: int) -> Column:
 def mix_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = MAX_REPEATS,
     entropy_share: float | None = None, budget_tokens: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
+    facts: str | None = "__mix",
 ) -> DataFrame:
-    """All columns of ``docs``, each row as often as the mixture uses it, and one struct column ``__mix``: tokens,
-    weight, number (of the pass, from 0), block, block_key, row_key. Sort by number, block_key, row_key for the
+    """All columns of ``docs``, each row as often as the mixture uses it, and one struct column ``facts`` (None: without it;
+    an input column of that name is replaced): tokens, weight, number (of the pass, from 0), block, block_key, row_key. Sort by number, block_key, row_key for the
     order of a source's passes."""
     tokens = (F.size(words(F.col(text))) + 1).cast("bigint")
     name, given = source_key(F.col(source)), F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = save(docs.select(name.alias("_s"), given.alias("_k"), tokens.alias("_n")), "token-counts")
     plan = plan_mixture(rows, max_repeats, entropy_share, budget_tokens, block_tokens, seed)
-    side = _small(plan.select(F.struct("*").alias("__plan"), F.col("_s").alias("__s")), plan)
-    p = F.col("__plan")
+    plan_name, number_name = fresh_name(docs, "plan"), fresh_name(docs, "number")
+    source_name, tokens_name = fresh_name(docs, "of_source"), fresh_name(docs, "tokens")
+    side = _small(plan.select(F.struct("*").alias(plan_name), F.col("_s").alias(source_name)), plan)
+    p = F.col(plan_name)
     block = block_of(given, p["blocks"], seed)
     place = block_key(p["passes"], p["_s"], block, seed)
     again = F.when(p["rest"] <= 0, False).when(p["block_end"].isNull() | (place < p["block_end"]), True).otherwise(
         (place == p["block_end"]) & F.coalesce(row_key(p["passes"], given, seed) <= p["row_end"], F.lit(False))
     )
     last = p["passes"] - F.when(again, 0).otherwise(1)
-    joined = docs.withColumn("__n", tokens).join(side, name == F.col("__s")).where(last >= 0)
-    dealt = joined.withColumn("__number", F.explode(F.sequence(F.lit(0), last)))
-    number = F.col("__number")
-    facts = F.struct(
-        F.col("__n").alias("tokens"), p["weight"].alias("weight"), number.alias("number"), block.alias("block"),
+    joined = docs.withColumn(tokens_name, tokens).join(side, name == F.col(source_name)).where(last >= 0)
+    dealt = joined.withColumn(number_name, F.explode(F.sequence(F.lit(0), last)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != facts]
+    if facts is None:
+        return dealt.select(*kept)
+    number = F.col(number_name)
+    told = F.struct(
+        F.col(tokens_name).alias("tokens"), p["weight"].alias("weight"), number.alias("number"), block.alias("block"),
         block_key(number, p["_s"], block, seed).alias("block_key"), row_key(number, given, seed).alias("row_key"),
     )
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], facts.alias("__mix"))
+    return dealt.select(*kept, told.alias(facts))

@@ -7,7 +7,9 @@ bounded sample of labelled rows. As average and output layer are linear, scoring
 feature: the table is multiplied out once and broadcast (1 MB).
 
 NULL and empty texts have no feature and get the score of the bias alone. Without labels of both classes the score
-is the share of label 1 (0.5 without labels). Repeated rows score alike.
+is the share of label 1 (0.5 without labels). Repeated rows score alike. Texts are read whole, in training as in scoring;
+a long one passes in pieces that end at white space, so memory follows the longest stretch without any. Input columns of
+any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,11 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import fold, slabs
+from corpuslens.llm.common import fold, segments, with_verdict
 
 BITS = 18
 NGRAMS = (2, 3, 4)
@@ -29,9 +30,11 @@ KINDS = 3
 DIMENSIONS = 8
 EPOCHS = 4
 STEP = 0.5
-#: The sample that is learned from: at most so many labelled rows, and characters of each.
+#: The sample that is learned from: at most so many labelled rows, of which the whole texts are read.
 SAMPLE_ROWS = 3000
-CHARS_PER_TEXT = 16_000
+#: Bytes of text whose features are held at a time.
+PIECE_BYTES = 1 << 20
+BLANKS = b" \t\n\x0b\x0c\r"
 THRESHOLD = 0.3
 PRIME, MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -40,13 +43,21 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h * MIX) >> np.uint32(32 - BITS)
 
 
-def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n-grams, words and pairs: the hashed features of all texts and the index of the text each belongs to."""
-    values = ["" if t is None else t for t in texts.to_pylist()]
-    joined = "\n" + "\n".join(values) + "\n"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(values), dtype=np.int32), lengths + 1)  # of code[1:]
+#: The last word of a run of texts and the text it belongs to, for the pair that it makes with the first word of the next.
+Last = tuple[np.uint32, int] | None
+
+
+def features(raw: np.ndarray, bounds: np.ndarray, rows: np.ndarray, last: Last = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], Last]:
+    """For n-grams, words and pairs: the hashed features of the parts of a run and the text each belongs to.
+
+    A part stands between white space, as a cut text does, so the parts of a text have its own n-grams and words; the
+    pair over a cut is made with ``last``.
+    """
+    parts = [raw[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
+    joined = b"\n" + b"\n".join(parts) + b"\n"
+    code = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    owner = np.repeat(rows, np.diff(points[bounds]) + 1)  # of code[1:]
     space = (code == 32) | ((code >= 9) & (code <= 13))
     code = np.where(space, np.uint32(32), code)
     inner = ~space
@@ -77,11 +88,47 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         term = np.where(inner, code * power[np.minimum(place, len(power) - 1)], np.uint32(0))
         word = np.add.reduceat(term, starts, dtype=np.uint32)
         of = owner[starts - 1]
+        here, word_of = word, of
+        if last is not None:
+            word, of = np.append(last[0], word), np.append(last[1], of)
         pair = of[1:] == of[:-1]
         # A word that repeats the one before it makes the same pair whatever the word is.
         both = np.where(word[1:] == word[:-1], np.uint32(7), word[:-1] * np.uint32(31) + word[1:])[pair]
-        kinds += [(_bucket(word), of), (_bucket(both * PRIME + np.uint32(13)), of[1:][pair])]
-    return kinds
+        kinds += [(_bucket(here), word_of), (_bucket(both * PRIME + np.uint32(13)), of[1:][pair])]
+        last = (here[-1], int(word_of[-1]))
+    return kinds, last
+
+
+def merged(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct features and their weights: shares of their kind, each kind with the same share. The
+    features of a long text are merged as its pieces pass."""
+    cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    done, last = 0, None
+
+    def finished(stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        kind = cells >> BITS
+        n = np.bincount(kind - done * KINDS, weights=counts, minlength=KINDS * (stop - done))
+        share = (counts / n[kind - done * KINDS] / KINDS).astype(np.float32)
+        edge = np.searchsorted(cells, np.arange(done, stop + 1) * KINDS << BITS)
+        for i, j in zip(edge[:-1], edge[1:]):
+            yield (cells[i:j] & ((1 << BITS) - 1)).astype(np.int32), share[i:j]
+
+    for raw, bounds, rows in segments(texts, BLANKS, piece_bytes):
+        kinds, last = features(raw, bounds, rows, last)
+        fresh = np.concatenate([(of * KINDS + kind) << BITS | ids.astype(np.int64) for kind, (ids, of) in enumerate(kinds)])
+        fresh, n = np.unique(fresh, return_counts=True)
+        cells, place = np.unique(np.concatenate([cells, fresh]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, n]))
+        # The last text of a run may go on in the next.
+        stop = int(rows[-1])
+        if stop > done:
+            later = cells, counts
+            cut = int(np.searchsorted(cells, stop * KINDS << BITS))
+            cells, counts = cells[:cut], counts[:cut]
+            yield from finished(stop)
+            cells, counts, done = later[0][cut:], later[1][cut:], stop
+    if len(texts):
+        yield from finished(len(texts))
 
 
 @dataclass(frozen=True)
@@ -91,39 +138,25 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        if len(texts) == 0:
-            return np.zeros(0)
-        total = np.full(len(texts), self.bias)
-        for ids, docs in features(texts):
-            n = np.bincount(docs, minlength=len(texts))
-            total += np.bincount(docs, weights=self.weights[ids], minlength=len(texts)) / np.maximum(n, 1) / KINDS
+    def score(self, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> np.ndarray:
+        sums, counts, last = np.zeros((KINDS, len(texts))), np.zeros((KINDS, len(texts))), None
+        for raw, bounds, rows in segments(texts, BLANKS, piece_bytes):
+            kinds, last = features(raw, bounds, rows, last)
+            first, n = int(rows[0]), int(rows[-1] - rows[0]) + 1
+            for kind, (ids, of) in enumerate(kinds):
+                sums[kind, first : first + n] += np.bincount(of - first, weights=self.weights[ids], minlength=n)
+                counts[kind, first : first + n] += np.bincount(of - first, minlength=n)
+        total = self.bias + (sums / np.maximum(counts, 1)).sum(axis=0) / KINDS
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Softmax over averaged embeddings, one text per step. Frequent features of a text are merged first."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
+    """Softmax over averaged embeddings of merged features, one text per step."""
     y = np.array(labels, int)
     share = float(y.mean()) if len(y) else 0.5
     bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), bias)
-    # Features and weights of all texts in two long arrays; small slabs keep the driver's memory low.
-    all_ids, all_weights, sizes = [], [], []
-    for slab in slabs(pa.array(texts, pa.string()), 1 << 18):
-        parts = []
-        for kind, (ids, docs) in enumerate(features(slab)):
-            cells, counts = np.unique(docs.astype(np.int64) << BITS | ids, return_counts=True)
-            doc = cells >> BITS
-            share = counts / np.bincount(doc, weights=counts, minlength=len(slab))[doc] / KINDS
-            parts.append((doc * KINDS + kind, (cells & ((1 << BITS) - 1)).astype(np.int32), share.astype(np.float32)))
-        order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
-        all_ids.append(np.concatenate([p[1] for p in parts])[order])
-        all_weights.append(np.concatenate([p[2] for p in parts])[order])
-        sizes.append(sum(np.bincount(p[0] // KINDS, minlength=len(slab)) for p in parts))
-    feature, share_of = np.concatenate(all_ids), np.concatenate(all_weights)
-    bounds = np.append(0, np.cumsum(np.concatenate(sizes)))
-    del all_ids, all_weights
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     seen = np.full(1 << BITS, 1e-8, np.float32)
@@ -132,7 +165,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     steps, total = 0, EPOCHS * len(y)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(y)):
-            ids, weight = feature[bounds[k] : bounds[k + 1]], share_of[bounds[k] : bounds[k + 1]]
+            ids, weight = texts[k]
             step = STEP * (1 - steps / total)
             steps += 1
             if not len(ids):
@@ -152,26 +185,34 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return Model((table @ (output[1] - output[0])).astype(np.float32), float(shift[1] - shift[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fits on at most ``SAMPLE_ROWS`` labelled rows where ``may_learn`` (over ``key``) holds, chosen by a hash of the
+def learn(
+    docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS
+) -> Model:
+    """Fits on the whole texts of at most ``sample_rows`` labelled rows where ``may_learn`` (over ``key``) holds, chosen by a hash of the
     key among all of them. A key labelled twice counts by its highest label; repeated documents by one text."""
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & may_learn)
         .groupBy(key).agg(F.max(label).alias("_y"))
-        .orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS).collect()
+        .orderBy(F.xxhash64(key), key).limit(sample_rows).collect()
     )
     wanted = {r[0]: int(r[1]) for r in picked}
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (ids, weights) in enumerate(merged(batch.column(1))):
+                cells = [pa.array([ids.tobytes()], pa.binary()), pa.array([weights.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *cells], names=["k", "ids", "weights"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((k, t) for batch in batches for k, t in zip(*(c.to_pylist() for c in batch.columns)))
-        model = train([t for _, t in rows], [wanted[k] for k, _ in rows])
+        rows = sorted(((r["k"], r["ids"], r["weights"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        texts = [(np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, i, w in rows]
+        model = train(texts, [wanted[k] for k, _, _ in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["weights", "bias"])
 
-    # The sample is bounded, so one task learns from it; the driver only receives one number per feature.
-    sample = docs.where(F.col(key).isin(list(wanted))).groupBy(key).agg(
-        F.max(F.substring(F.coalesce(F.col(text), F.lit("")), 1, CHARS_PER_TEXT))
-    )
-    found = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
+    # The sample is bounded, so one task learns from its merged features; the driver only receives one number for each.
+    sample = docs.where(F.col(key).isin(list(wanted))).groupBy(key).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    features_of = sample.mapInArrow(merge, f"k {docs.schema[key].dataType.simpleString()}, ids binary, weights binary")
+    found = features_of.repartition(1).mapInArrow(fit, "weights binary, bias double").first()
     return train([], []) if found is None else Model(np.frombuffer(bytes(found[0]), np.float32), found[1])
 
 
@@ -182,8 +223,7 @@ def scorer(spark: SparkSession, model: Model):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [shared.value.score(slab) for slab in slabs(batch, 1 << 20)]
-            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+            yield pa.array(shared.value.score(batch), pa.float64())
 
     return score
 
@@ -200,4 +240,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they are. ``labelled`` has doc_id, text."""
     score = scorer(docs.sparkSession, learn(labelled, labels, fold(F.col("doc_id")) != 0))
-    return docs.withColumn("__quality", score(F.col("text"))).where(F.col("__quality") >= threshold).drop("__quality")
+    return with_verdict(docs, score(F.col("text")), lambda s: s >= threshold)

@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a Boolean expression over text measures. On a small sample the cascade times every rule by itself and
-counts what it rejects, and orders the rules by rejection per cost. The verdict is one nested CASE in that order, so
-a text that an early rule rejects never pays for the later ones. Order changes cost only, never a verdict.
+Each rule is a Boolean expression over text measures. On a sample of rows from all parts of the table the cascade times
+every rule by itself and counts what it rejects, and orders the rules by rejection per cost. The verdict is one nested
+CASE in that order, so a text that an early rule rejects never pays for the later ones. The order, which measured times
+decide, changes cost only: no column of the result depends on it.
 
-NULL and empty texts have no words, and fail the base rule. Repeated rows and extra columns pass through untouched.
+NULL and empty texts have no words, and fail the base rule. Repeated rows are judged alike. Whole texts are measured, in
+memory of some arrays of a text's words.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import save, words
 
 WINDOW = 5
-#: Rows of the sample, and characters of each, on which cost and selectivity are estimated.
+#: About so many rows are sampled, of the whole table, to estimate cost and selectivity.
 SAMPLE_ROWS = 1000
-CHARS_PER_TEXT = 10_000
+SAMPLE_SEED = 11
 
 
 @dataclass(frozen=True)
@@ -92,11 +94,11 @@ def standard_rules(text: str = "text") -> list[Rule]:
 def cascade_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejection per cost, best first, as measured on ``sample_rows`` rows; ties in the given order.
 
-    Each rule is timed over the written sample, less the time of a pass without any rule. The sample is the first
-    rows that a scan meets (at most ``CHARS_PER_TEXT`` of each): it decides the order of work, never a verdict.
+    Each rule is timed over the written sample, less the time of a pass without any rule. The sample takes each row with
+    the same chance, whole; the number of rows comes from the files' footers.
     """
-    first = docs.select(F.substring(text, 1, CHARS_PER_TEXT).alias(text)).head(sample_rows)
-    sample = docs.sparkSession.createDataFrame([tuple(r) for r in first], f"`{text}` string")
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.select(text).sample(share, SAMPLE_SEED)
     sample = save(with_measures(sample, text).where(~base_failed()), "rule-sample")
 
     def seconds(*columns: Column) -> tuple[float, tuple]:
@@ -113,16 +115,16 @@ def cascade_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample
     return [rules[place] for _, place in sorted(ranked)]
 
 
-def first_rejection(rules: list[Rule]) -> Column:
-    """The name of the first rule that rejects, NULL if none does; later rules are not evaluated."""
-    verdict = F.lit(None).cast("string")
+def passes(rules: list[Rule]) -> Column:
+    """Whether neither the base nor any rule rejects; after the first that does, no other is evaluated."""
+    verdict = F.lit(True)
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects, rule.name).otherwise(verdict)
-    return F.when(base_failed(), "base").otherwise(verdict)
+        verdict = F.when(rule.rejects, False).otherwise(verdict)
+    return F.when(base_failed(), False).otherwise(verdict)
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None, order: bool = True) -> DataFrame:
-    """Per row: ``key``, the base measures, base_failed, kept and the rule that rejected it first.
+    """Per row: ``key``, the base measures, base_failed, kept (neither the base nor a rule rejects it).
 
     ``order=False`` keeps the given order and skips the sample. An empty table gives an empty result.
     """
@@ -131,10 +133,9 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
     if order and rules:
         rules = cascade_order(docs, rules, text)
     q = F.col("_q")
-    rejected_by = first_rejection(rules)
     return with_measures(docs, text).select(
         key,
         *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         base_failed().alias("base_failed"),
-        rejected_by.alias("rejected_by"),
-    ).withColumn("kept", F.col("rejected_by").isNull())
+        passes(rules).alias("kept"),
+    )

@@ -87,3 +87,21 @@ def test_short_notices_inside_prose(model, notice, family):
     words = notice.split(" ")
     wrapped = f"{before}\n{' '.join(words[:2])}\n{' '.join(words[2:])} {after}"
     assert [(n, f) for _, n, f, _, _ in ls.find(model, pa.array([wrapped]))] == [(1, family)]
+
+
+def test_long_text_in_pieces(model):
+    """Notices everywhere, also across the pieces' bounds, are found once each, as in the text read at once."""
+    mit = TEMPLATES["MIT"][0]
+    for prose in ("plain prose of a long text goes on here. ", "plain prose of a long text\ngoes on here.\n\n"):
+        text = "".join(prose * (40 + 13 * i % 37) + "\n" + mit + "\n\n" for i in range(60))
+        want = [(d, n, f) for d, n, f, _, _ in ls.find(model, pa.array([text]), 1 << 30)]
+        assert len(want) == 60
+        assert [(d, n, f) for d, n, f, _, _ in ls.find(model, pa.array([text]), 1 << 16)] == want
+
+
+def test_sampled_lines_come_from_whole_texts(spark):
+    rows = [(i, "\n".join(f"line {i} {j} " + "word " * 60 for j in range(400))) for i in range(3)] + [(9, "x" * 5000), (None, "no key")]
+    lines = ls.sample_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert len(lines) == 1200 or len(lines) == len(set(lines))
+    numbers = [int(line.split()[2]) for line in lines if line.startswith("line")]
+    assert max(numbers) > 350 and all(len(line) <= ls.SAMPLE_CHARS for line in lines)
