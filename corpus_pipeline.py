@@ -29,13 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, the one with the smallest id."""
-    return keep_first_of_groups(docs)
+    """One document of each group of linked ones (five-word shingles, a similarity of 0.8 or more), the one with the
+    smallest id."""
+    return keep_first_of_groups(docs, words=5, percent=80)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, those of small sources up to twice, so that sources come near even shares."""
-    return mix_sources(docs).select(docs.columns)
+    return mix_sources(docs, facts=None)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
