@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from corpuslens.llm.common import save
-from tests.llm.test_jaccard_join import brute_force
+from tests.llm.test_jaccard_join import general_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,11 +45,23 @@ def test_filters_drop_little_and_no_clean_documents(kept, spark):
 
 def test_one_document_of_each_group(kept):
     before = [tuple(r) for r in kept["quality_classifier"].select("doc_id", "text").collect()]
-    groups = brute_force(before)
+    groups = general_components(before, 5, 80)
     assert ids(kept["near_duplicates"]) == sorted(set(groups.values()))
     assert len(set(groups.values())) < len(before)
 
 
+def test_near_copies_with_edited_words_go(spark, documents):
+    """Copies with one word in fifty edited, which share less than 0.9 of their three-word shingles, are dropped."""
+    base = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 300][:8]
+    rows = []
+    for doc, text in base:
+        words = text.split()
+        rows += [(doc, " ".join(words)), (doc + 10_000, " ".join(f"edited{i}" if i % 50 == 25 else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ids(cp.near_duplicates(spark, docs, SF)) == sorted(set(general_components(rows, 5, 80).values()))
+    assert len(set(general_components(rows, 3, 90).values())) > len(set(general_components(rows, 5, 80).values()))
+
+
 def test_mixture_drops_nothing(kept):
     before, after = ids(kept["near_duplicates"]), ids(kept["source_mixture"])
     assert set(before) == set(after) and len(before) < len(after) <= 2 * len(before)
