@@ -7,9 +7,11 @@ hold a phrase often enough are abandoned. All partitions of a task are split in
 
 Before, one pass counts single words and, in a sketch of 2^``BITS`` counters, pairs of neighbouring words. A counter below
 the wanted count rules its pairs out, so suffixes end where such a pair begins and most are never sent; a full sketch
-rules out nothing, and only costs. Equal suffixes of a task are sent once, with their number. A pair with more than
-``HEAVY`` suffixes is routed by all words instead of two; the counts of its shorter phrases are partial in each task and
-summed afterwards. The sketch's bits are all that is broadcast: two times 2^``BITS`` bits.
+rules out nothing, and only costs. Equal suffixes of a run of text are sent once, with their number, and packed: those of one
+language and route group make one row of a small vocabulary and a compressed array of codes. A group gets ``FAN`` routes
+of a level; if many suffixes are to be expected, further levels part the groups again. A pair with more than ``HEAVY``
+suffixes is routed by all words instead of two; the counts of its shorter phrases are partial in each task and summed
+afterwards. The sketch's bits are all that is broadcast: two times 2^``BITS`` bits.
 
 NULL texts are empty; a NULL language is ``und``. Repeated rows count each time. A table without words gives no row.
 """
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ BITS = 22
 #: Counters of one row of the sketch on its way to its sum.
 CELLS = 4096
 HEAVY = 200_000
-#: Suffixes that a task sorts at a time; whole routes only.
-SORTED_ROWS = 500_000
+#: Bytes of text whose equal suffixes are merged before they are sent.
+RUN_BYTES = 4 << 20
+#: Parts that a level of routing makes of a group, and the suffixes that a group may be expected to hold in the end.
+FAN, GROUP_ROWS = 64, 2_000_000
 #: Slices that a language's phrases are ranked in before the last ranking.
 SLICES = 64
 
@@ -53,6 +58,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _pair(first: np.ndarray, second: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return _mix(first * np.uint64(3) + _mix(second) + lang)
+
+
+def _cell(pair: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of a pair in the sketch."""
+    return (pair >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @dataclass
 class Run:
     """Words of some texts: codes into ``vocabulary``, the language of each, and whether the next one may follow it."""
@@ -63,10 +77,10 @@ class Run:
     joined: np.ndarray
     hashes: np.ndarray  # of the vocabulary
 
-    def pairs(self, languages: np.ndarray, bits: int) -> np.ndarray:
-        """The counter of each word with the next; only meant where ``joined``."""
+    def pairs(self, languages: np.ndarray) -> np.ndarray:
+        """A hash of each word with the next and its language; only meant where ``joined``."""
         h = self.hashes[self.code]
-        return (_mix(h[:-1] * np.uint64(3) + _mix(h[1:]) + languages[self.lang[:-1]]) >> np.uint64(64 - bits)).astype(np.int64)
+        return _pair(h[:-1], h[1:], languages[self.lang[:-1]])
 
 
 def _hash(words: pa.Array) -> np.ndarray:
@@ -80,7 +94,7 @@ def _hash(words: pa.Array) -> np.ndarray:
 
 
 def runs(texts: pa.Array, langs: np.ndarray) -> Iterator[Run]:
-    for raw, bounds, rows in segments(texts, STOP):
+    for raw, bounds, rows in segments(texts, STOP, RUN_BYTES):
         kind = KIND[raw]
         inner = kind == 0
         begins = inner.copy()
@@ -106,7 +120,11 @@ def _languages(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Names, the code of each row, and a number for each name."""
     coded = column.cast(pa.string()).dictionary_encode()
     names = coded.dictionary.to_pylist()
-    return names, coded.indices.to_numpy(zero_copy_only=False), np.array([zlib.crc32(n.encode()) for n in names], np.uint64) * PRIME
+    return names, coded.indices.to_numpy(zero_copy_only=False), np.array([_number(n) for n in names], np.uint64)
+
+
+def _number(lang: str) -> np.uint64:
+    return np.uint64(zlib.crc32(lang.encode()) * int(PRIME) % (1 << 64))
 
 
 def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -124,7 +142,7 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     [langs, run.vocabulary.take(pa.array(keys % size)), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
                     names=["lang", "word", "n", "row", "cells"],
                 )
-                cells, n = np.unique(run.pairs(numbers, bits)[run.joined], return_counts=True)
+                cells, n = np.unique(_cell(run.pairs(numbers)[run.joined], bits), return_counts=True)
                 sketch[cells] += n.astype(np.uint32)
         filled = np.flatnonzero(sketch.reshape(-1, min(CELLS, len(sketch))).any(axis=1))
         for rows in np.array_split(filled, max(1, len(filled) // 64)):
@@ -139,7 +157,8 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _merged(least: int, heavy: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of sketches to two bits for each counter of a row: whether it reaches ``least``, and whether it passes ``heavy``."""
+    """Rows of sketches to two bits for each counter of a row, whether it reaches ``least`` and whether it passes ``heavy``,
+    and the sum of those that reach ``least``."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -147,14 +166,89 @@ def _merged(least: int, heavy: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for row, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = np.frombuffer(cells.as_buffer(), np.uint32)
                 sums[row] = sums.get(row, 0) + found.astype(np.int64)
-        out = [(r, np.packbits(s >= least).tobytes(), np.packbits(s > heavy).tobytes()) for r, s in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["row", "often", "heavy"])
+        out = [(r, np.packbits(s >= least).tobytes(), np.packbits(s > heavy).tobytes(), int(s[s >= least].sum())) for r, s in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["row", "often", "heavy", "n"])
 
     return merge
 
 
+@dataclass
+class Suffixes:
+    """Distinct suffixes of one language: codes into ``words`` from 1 (0: end), how often each occurs, and whether its pair
+    is routed by all words."""
+
+    words: pa.Array
+    symbols: np.ndarray
+    n: np.ndarray
+    split: np.ndarray
+
+    def routes(self, lang: str) -> np.ndarray:
+        """The hash that decides on the group of a suffix, level by level."""
+        hashes = np.append(np.uint64(0), _hash(self.words.cast(pa.large_string())))
+        whole = np.zeros(len(self.n), np.uint64)
+        for column in self.symbols.T:
+            whole = _mix(whole * np.uint64(5) + hashes[column])
+        return np.where(self.split, whole, _pair(hashes[self.symbols[:, 0]], hashes[self.symbols[:, 1]], _number(lang)))
+
+    def merged(self) -> Suffixes:
+        """Equal suffixes once."""
+        width = len(self.words).bit_length()
+        keys = [np.zeros(len(self.n), np.int64)]
+        for k, column in enumerate(self.symbols.T):
+            if k % (62 // width) == 0:
+                keys.append(column.astype(np.int64))
+            else:
+                keys[-1] = keys[-1] << width | column
+        order = np.lexsort(keys)
+        fresh = np.append(True, np.logical_or.reduce([np.diff(key[order]) != 0 for key in keys]))
+        first = order[fresh]
+        return Suffixes(self.words, self.symbols[first], np.add.reduceat(self.n[order], np.flatnonzero(fresh)), self.split[first])
+
+    def parts(self, lang: str, level: int, group: int = 0) -> Iterator[tuple[str, int, str, bytes]]:
+        """Packed rows (lang, group, words, data), one for each group of a level of routing below ``group``."""
+        part = (self.routes(lang) // np.uint64(FAN**level) % np.uint64(FAN)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)).tolist()
+        for i, j in zip(edges, [*edges[1:], len(order)]):
+            rows = order[i:j]
+            used, codes = np.unique(self.symbols[rows], return_inverse=True)
+            if used[0] == 0:
+                used = used[1:]
+            else:
+                codes = codes + 1
+            kind = "<u2" if len(used) < 1 << 16 else "<u4"
+            data = codes.reshape(len(rows), -1).T.astype(kind).tobytes() + self.n[rows].astype("<i8").tobytes() + self.split[rows].astype(np.uint8).tobytes()
+            yield lang, group + int(part[rows[0]]) * FAN**level, "\n".join(self.words.take(pa.array(used - 1)).to_pylist()), zstandard.compress(data, 1)
+
+
+def _gathered(words: list[str], data: list[bytes], max_words: int) -> Suffixes:
+    """The suffixes of packed rows under one vocabulary."""
+    lists = [w.split("\n") for w in words]
+    coded = pa.array([w for part in lists for w in part], pa.string()).dictionary_encode()
+    codes, at = coded.indices.to_numpy().astype(np.int64) + 1, 0
+    symbols, n, split = [], [], []
+    for part, packed in zip(lists, data):
+        raw = zstandard.decompress(packed)
+        kind = np.dtype("<u2" if len(part) < 1 << 16 else "<u4")
+        rows = len(raw) // (max_words * kind.itemsize + 9)
+        table = np.append(0, codes[at : at + len(part)])
+        symbols.append(table[np.frombuffer(raw, kind, rows * max_words).reshape(max_words, rows).T])
+        n.append(np.frombuffer(raw, "<i8", rows, rows * max_words * kind.itemsize))
+        split.append(np.frombuffer(raw, np.uint8, rows, len(raw) - rows).astype(bool))
+        at += len(part)
+    return Suffixes(coded.dictionary, np.concatenate(symbols), np.concatenate(n), np.concatenate(split))
+
+
+PACKED = "lang string, grp bigint, words string, data binary"
+
+
+def _packed(rows: list[tuple[str, int, str, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "grp", "words", "data"])
+
+
 def _suffixes(shared, bits: int, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, text) to the distinct suffixes of each run: lang, route, split, words, n."""
+    """(lang, text) to the packed suffixes of each run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, heavy = (np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in shared.value)
@@ -163,8 +257,8 @@ def _suffixes(shared, bits: int, max_words: int) -> Callable[[Iterator[pa.Record
             for run in runs(batch.column(1), codes):
                 if len(run.code) < 2:
                     continue
-                pair = run.pairs(numbers, bits)
-                ok = run.joined & often[pair]
+                cell = _cell(run.pairs(numbers), bits)
+                ok = run.joined & often[cell]
                 # Words that follow: one for each pair in a row that may be frequent.
                 more = np.zeros(len(run.code), np.int64)
                 padded = np.append(ok, np.zeros(max_words, bool))
@@ -172,41 +266,43 @@ def _suffixes(shared, bits: int, max_words: int) -> Callable[[Iterator[pa.Record
                 for k in range(max_words - 1):
                     going &= padded[k : k + len(going)]
                     more += going
-                at = np.flatnonzero(more)
-                if not len(at):
-                    continue
-                column = np.minimum(at[:, None] + np.arange(max_words), len(run.code) - 1)
-                symbols = np.where(np.arange(max_words) <= more[at, None], run.code[column] + 1, 0)
-                lang = run.lang[at].astype(np.int64)
-                # As many symbols to a sort key as fit.
-                width = len(run.vocabulary).bit_length()
-                keys = [lang]
-                for k in range(max_words):
-                    if k % (62 // width) == 0:
-                        keys.append(symbols[:, k])
-                    else:
-                        keys[-1] = keys[-1] << width | symbols[:, k]
-                order = np.lexsort(keys)
-                fresh = np.append(True, np.logical_or.reduce([np.diff(key[order]) != 0 for key in keys]))
-                first = order[fresh]
-                n = np.diff(np.append(np.flatnonzero(fresh), len(order)))
-                symbols, bucket, lang = symbols[first], pair[at[first]], lang[first]
-                split = heavy[bucket]
-                whole = np.zeros(len(first), np.uint64)
-                hashes = np.append(np.uint64(0), run.hashes)
-                for k in range(max_words):
-                    whole = _mix(whole * np.uint64(5) + hashes[symbols[:, k]])
-                route = np.where(split, (whole >> np.uint64(1)).astype(np.int64), bucket)
-                parts = [run.vocabulary.take(pa.array(symbols[:, k] - 1, mask=symbols[:, k] == 0)) for k in range(max_words)]
-                text = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(route), pa.array(split), text, pa.array(n, pa.int64())],
-                    names=["lang", "route", "split", "words", "n"],
-                )
+                for lang, name in enumerate(names):
+                    at = np.flatnonzero((more > 0) & (run.lang == lang))
+                    if len(at):
+                        column = np.minimum(at[:, None] + np.arange(max_words), len(run.code) - 1)
+                        symbols = np.where(np.arange(max_words) <= more[at, None], run.code[column] + 1, 0)
+                        found = Suffixes(run.vocabulary, symbols, np.ones(len(at), np.int64), heavy[cell[at]])
+                        yield _packed(list(found.merged().parts(name, 0)))
 
     return cut
 
 
+def _groups(batches: Iterator[pa.RecordBatch], max_words: int, most: int | None = None) -> Iterator[tuple[str, int, Suffixes]]:
+    """The suffixes of each language and group from rows in that order; merged, and given early, if they pass ``most``."""
+    key, words, data, size = None, [], [], 0
+    for batch in batches:
+        for lang, group, word, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if words and ((lang, group) != key or most is not None and size > most):
+                yield *key, _gathered(words, data, max_words).merged()
+                words, data, size = [], [], 0
+            key = lang, group
+            words.append(word)
+            data.append(packed)
+            size += zstandard.frame_content_size(packed) // (2 * max_words + 9)
+    if words:
+        yield *key, _gathered(words, data, max_words).merged()
+
+
+def _parted(level: int, max_words: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed rows, in order of language and group, to rows of the groups of the next level."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, group, found in _groups(batches, max_words, most):
+            yield _packed(list(found.parts(lang, level, group)))
+
+    return part
+
+
 def multikey_counts(symbols: np.ndarray, weight: np.ndarray, starts: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray]]:
     """Three-way quicksort of pointers to the rows of ``symbols`` (0: end). ``starts`` are the bounds of the partitions to
     begin with, ``least`` the weight below which each is abandoned.
@@ -251,70 +347,50 @@ def multikey_counts(symbols: np.ndarray, weight: np.ndarray, starts: np.ndarray,
     return out
 
 
-def _sorter(least: int, max_words: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffixes in order of route to phrases: lang, phrase, a. What a route does not split is complete."""
-
-    def counts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lang = table.column("lang").combine_chunks().dictionary_encode()
-        lists = pc.split_pattern(table.column("words").combine_chunks(), " ")
-        words = lists.flatten().dictionary_encode()
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        symbols = np.zeros((len(table), max_words), np.int64)
-        symbols[np.arange(max_words) < lengths[:, None]] = words.indices.to_numpy() + 1
-        symbols = np.column_stack([lang.indices.to_numpy() + 1, symbols])
-        route, split = table.column("route").to_numpy(), table.column("split").to_numpy()
-        starts = np.flatnonzero(np.append(True, (np.diff(route) != 0) | (np.diff(symbols[:, 0]) != 0)))
-        for rows, depth, total in multikey_counts(symbols, table.column("n").to_numpy(), starts, np.where(split[starts], 1, least)):
-            if depth < 3 or not len(rows):
-                continue
-            parts = [words.dictionary.take(pa.array(symbols[rows, k] - 1)) for k in range(1, depth)]
-            phrase = pc.binary_join_element_wise(*parts, " ")
-            yield pa.RecordBatch.from_arrays(
-                [lang.dictionary.take(pa.array(symbols[rows, 0] - 1)), phrase, pa.array(total, pa.int64())], names=["lang", "phrase", "a"]
-            )
+def _sorter(least: int, max_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed rows, in order of language and group, to phrases: lang, phrase, a. What is not split is complete."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= chunk:
-                table = pa.Table.from_batches(held)
-                route, lang = table.column("route").to_numpy(), table.column("lang")
-                # The last route may go on in the next batch.
-                last = np.flatnonzero((route != route[-1]) | pc.not_equal(lang, lang[-1]).to_numpy())
-                stop = int(last[-1]) + 1 if len(last) else 0
-                if stop:
-                    yield from counts(table.slice(0, stop).combine_chunks())
-                held = table.slice(stop).to_batches()
-                rows -= stop
-        if rows:
-            yield from counts(pa.Table.from_batches(held).combine_chunks())
+        for lang, _, found in _groups(batches, max_words):
+            order = np.argsort(found.split, kind="stable")
+            symbols, whole = found.symbols[order], int((~found.split).sum())
+            starts = np.array([k for k in (0, whole) if k < len(order) and (k or whole)] or [0])
+            limits = np.where(starts < whole, least, 1)
+            for rows, depth, total in multikey_counts(symbols, found.n[order], starts, limits):
+                if depth > 1 and len(rows):
+                    parts = [found.words.take(pa.array(symbols[rows, k] - 1)) for k in range(depth)]
+                    phrase = pc.binary_join_element_wise(*parts, " ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), phrase, pa.array(total, pa.int64())], names=["lang", "phrase", "a"])
 
     return sort
 
 
 def phrase_counts(
-    docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang", bits: int = BITS, heavy: int = HEAVY, max_words: int = MAX_WORDS, chunk: int = SORTED_ROWS
+    docs: DataFrame, least: int = 100, text: str = "text", lang: str = "lang", bits: int = BITS, heavy: int = HEAVY, max_words: int = MAX_WORDS, group_rows: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases (lang, phrase, a) of 2 to ``max_words`` words, words (lang, phrase, a), both from ``least`` on, and (lang, n)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     counted = save(rows.mapInArrow(_counter(bits), "lang string, word string, n bigint, row int, cells binary"), "phrase-words")
     singles = save(counted.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("a")), "phrase-singles")
-    sketch = counted.where("row IS NOT NULL").select("row", "cells").repartition("row").mapInArrow(_merged(least, heavy), "row int, often binary, heavy binary")
+    sketch = counted.where("row IS NOT NULL").select("row", "cells").repartition("row").mapInArrow(_merged(least, heavy), "row int, often binary, heavy binary, n bigint")
     # A row of the sketch is 1 KB here, and there are 2^bits / CELLS of them whatever the input.
-    size = (1 << bits) // 8
+    size, expected = (1 << bits) // 8, 0
     maps = bytearray(size), bytearray(size)
     step = min(CELLS, 1 << bits) // 8
     for row in sketch.collect():
+        expected += row.n
         for bitmap, found in zip(maps, (row.often, row.heavy)):
             bitmap[row.row * step : (row.row + 1) * step] = found
     shared = spark.sparkContext.broadcast(tuple(bytes(m) for m in maps))
-    suffixes = rows.mapInArrow(_suffixes(shared, bits, max_words), "lang string, route bigint, split boolean, words string, n bigint")
-    sorted_by_route = suffixes.repartition("lang", "route").sortWithinPartitions("lang", "route")
-    found = sorted_by_route.mapInArrow(_sorter(least, max_words, chunk), "lang string, phrase string, a bigint")
+    packed = rows.mapInArrow(_suffixes(shared, bits, max_words), PACKED)
+    level = 1
+    while expected > group_rows * FAN**level:
+        grouped = packed.repartition("lang", "grp").sortWithinPartitions("lang", "grp")
+        packed = grouped.mapInArrow(_parted(level, max_words, group_rows), PACKED)
+        level += 1
+    grouped = packed.repartition("lang", "grp").sortWithinPartitions("lang", "grp")
+    found = grouped.mapInArrow(_sorter(least, max_words), "lang string, phrase string, a bigint")
     phrases = save(found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrase-counts")
     totals = singles.groupBy("lang").agg(F.sum("a").alias("n"))
     return phrases, singles.where(F.col("a") >= least).withColumnRenamed("word", "phrase"), totals

@@ -11,7 +11,7 @@ import pytest
 from corpuslens.llm import phrases as ph
 from corpuslens.llm.common import segments
 
-SMALL = {"bits": 12, "heavy": 40, "chunk": 50}
+SMALL = {"bits": 12, "heavy": 40, "group_rows": 1}
 
 
 def brute_force(rows, least, percent=100, top=2000):
