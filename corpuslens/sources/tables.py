@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import decode_utf8
 from corpuslens.schemas import SCHEMAS, content_key
+from corpuslens.sources.tree import list_tree, read_tree
 
 
 def read_table(spark: SparkSession, name: str, location: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -20,33 +21,26 @@ def read_table(spark: SparkSession, name: str, location: str, fmt: str = "parque
     return spark.read.format(fmt).options(**options).schema(SCHEMAS[name]).load(location)
 
 
-def scan_files(spark: SparkSession, root: str, repo_depth: int = 1, links: DataFrame | None = None) -> DataFrame:
-    """Reads a tree of checked-out repositories as the files table.
+def scan_files(spark: SparkSession, root: str, repo_depth: int = 1, links: DataFrame | None = None, content: bool = True) -> DataFrame:
+    """Reads a tree of checked-out repositories as the files table, empty files and hidden names included.
 
-    ``root`` is a folder, not a pattern, and holds one folder per repository (``repo_depth`` levels down). File
-    sources follow symbolic links; ``links`` (repo_id, path) lists those of the tree for ``is_symlink``. Only
-    selected columns are read, so a query without content touches metadata only.
+    ``root`` is a folder, not a pattern, and holds one folder per repository (``repo_depth`` levels down). Symbolic links
+    are found where they are, listed without content and never followed; ``links`` (repo_id, path) adds those of a store
+    that has none. Without ``content`` only names and sizes are read. The tree's state is that of the listing: what is
+    added later is not seen, what is gone is left out.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # Paths come back as URIs of the resolved root: without scheme and authority both begin with the same text.
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    resolved = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop)
-    base = resolved.toUri().getPath().rstrip("/") + "/"
-    full = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    inside = F.when(full.startswith(base), F.substring(full, len(base) + 1, 1 << 30)).otherwise(full)
-    parts = F.split(inside, "/")
+    if content:
+        raw = read_tree(spark, root, repo_depth)
+    else:
+        raw = list_tree(spark, root, repo_depth).drop("place").withColumn("raw", F.lit(None).cast("binary"))
     listed = raw.select(
-        F.array_join(F.slice(parts, 1, repo_depth), "/").alias("repo_id"),
-        F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/").alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.lit(False).alias("is_symlink"),
-        decode_utf8("content").alias("content"),
-        F.is_valid_utf8(F.col("content").cast("string")).alias("utf8_valid"),
+        "repo_id", "path", "size_bytes", "is_symlink", decode_utf8("raw").alias("content"),
+        F.is_valid_utf8(F.col("raw").cast("string")).alias("utf8_valid"),
     )
     if links is None:
         return listed
     marked = links.select("repo_id", "path", F.lit(True).alias("_link")).distinct()
-    joined = listed.join(marked, ["repo_id", "path"], "left").withColumn("is_symlink", F.coalesce("_link", F.lit(False)))
+    joined = listed.join(marked, ["repo_id", "path"], "left").withColumn("is_symlink", F.col("is_symlink") | F.coalesce("_link", F.lit(False)))
     return joined.select(*listed.columns)
 
 
