@@ -751,6 +751,12 @@ ORACLES["analysis_record"] = f"""SELECT s.repo_id AS repository_id, 'complete' A
 FROM ({ORACLES["corpus_scores"]}) s LEFT JOIN ({ORACLES["repo_stats"]}) t ON t.repo_id = s.repo_id"""
 ORACLES["scanned_tree"] = """SELECT source, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (
   SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source"""
+_EMPTY = f"SELECT DISTINCT source AS repo_id, unnest([{in_list(q.EMPTY_FILES)}]) AS path, '' AS content FROM documents"
+ORACLES["scanned_files"] = f"""SELECT repo_id, path, strlen(content)::BIGINT AS size_bytes, false AS is_symlink, length(content)::BIGINT AS chars, md5(content) AS digest FROM (
+  SELECT source AS repo_id, 'docs/' || coalesce(lang, '_none') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents UNION ALL {_EMPTY})"""
+ORACLES["scanned_stats"] = """SELECT source AS repo_id, count(*) + 1 AS file_count, true AS has_docs,
+  sum(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT suffix(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS lines_of_code
+FROM (SELECT source, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents) GROUP BY source"""
 ORACLES["route_methods"] = f"""WITH r AS (SELECT repo_id, path, unnest(string_split(methods, ',')) AS method, handler, file_path, line_number FROM ({ORACLES["routes"]})),
 d AS (SELECT repo_id, path, method, handler, file_path, min(line_number) AS line_number FROM r GROUP BY ALL)
 SELECT repo_id, path, method, count(*) AS handlers, count(*) > 1 AS duplicate,

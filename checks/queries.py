@@ -18,7 +18,7 @@ from corpuslens import catalogue as cat
 from corpuslens.plans import analysis as an
 from corpuslens.plans.analysis import corpus_findings
 from corpuslens.session import scratch_path
-from corpuslens.sources import python_source as py, tables as tb, tool_reports as tr
+from corpuslens.sources import python_source as py, tables as tb, tool_reports as tr, tree
 from corpuslens.streaming import progress as sp, scan as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +340,40 @@ def scanned_tree(spark, sf):
     )
 
 
+@query
+def scanned_files(spark, sf):
+    """The documents written as a tree, one file each, with empty packages and READMEs beside them, listed and read back."""
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    texts = docs.select(
+        F.col("source").alias("repo_id"), F.concat(F.lit("docs/"), F.coalesce("lang", F.lit("_none")), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )
+    names = F.explode(F.array(*[F.lit(n) for n in EMPTY_FILES]))
+    empty = docs.select(F.col("source").alias("repo_id")).distinct().select("repo_id", names.alias("path"), F.lit("").alias("content"))
+    place = scratch_path(spark, "files") + "/repos"
+    tree.write_tree(texts.unionByName(empty), place)
+    files = tb.scan_files(spark, place)
+    return files.select("repo_id", "path", "size_bytes", "is_symlink", F.char_length("content").cast("bigint").alias("chars"), F.md5(F.encode("content", "utf-8")).alias("digest"))
+
+
+#: Empty files that make a package and a documented repository; two of the names are hidden from Spark's own sources.
+EMPTY_FILES = ("pkg/__init__.py", "pkg/.keep", "README.md")
+
+
+@query
+def scanned_stats(spark, sf):
+    """What counts per repository in the tree of ``scanned_files``: code files, among them the empty ones, and documentation."""
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    code = docs.select(F.col("source").alias("repo_id"), F.concat(F.lit("src/d"), F.col("doc_id"), F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    names = F.explode(F.array(*[F.lit(n) for n in EMPTY_FILES]))
+    empty = docs.select(F.col("source").alias("repo_id")).distinct().select("repo_id", names.alias("path"), F.lit("").alias("content"))
+    place = scratch_path(spark, "code") + "/repos"
+    tree.write_tree(code.unionByName(empty), place)
+    files = tb.scan_files(spark, place)
+    stats = fl.repo_stats(files).select("repo_id", "file_count", "lines_of_code")
+    return stats.join(fl.repo_facts(files).select("repo_id", "has_docs"), "repo_id")
+
+
 @query
 def parsed_events(spark, sf):
     """Progress events as JSON text, among lines that are no events, read back."""
