@@ -740,8 +740,13 @@ ORACLES["stream_rules"] = f"WITH {scan(v.duck_view(v.FILES))}\n{rule_select(('se
 
 # A list is emitted once the watermark, which follows the newest event, has passed its expiry.
 ORACLES["progress_sessions_stream"] = f"""SELECT * FROM ({ORACLES['progress_sessions']}) WHERE expires_at <= (SELECT max(ts) FROM events)"""
-ORACLES["stage_durations_stream"] = f"""SELECT analysis_id, event_id, status, floor(epoch(next_ts) - epoch(ts))::BIGINT AS seconds FROM (
-  SELECT *, lead(ts) OVER (PARTITION BY analysis_id ORDER BY ts, event_id) AS next_ts FROM ({EVENTS})) WHERE next_ts IS NOT NULL"""
+# Told is what the watermark, ten minutes behind the newest event in whole milliseconds, has passed.
+_STAGES = f"""n AS (SELECT *, lead(ts) OVER (PARTITION BY analysis_id ORDER BY ts, event_id) AS next_ts, status IN ('complete', 'failed') AS ended FROM ({EVENTS})),
+m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS mark FROM n)"""
+ORACLES["stage_durations_stream"] = f"""WITH {_STAGES} SELECT analysis_id, event_id, status, floor(epoch(next_ts) - epoch(ts))::BIGINT AS seconds
+FROM n, m WHERE next_ts < mark AND next_ts <= ts + CASE WHEN ended THEN INTERVAL 1 HOUR ELSE INTERVAL 30 DAY END"""
+ORACLES["stalled_stages_stream"] = f"""WITH {_STAGES} SELECT 'stalled' AS kind, analysis_id, event_id, status, 3600::BIGINT AS seconds
+FROM n, m WHERE NOT ended AND ts + INTERVAL 1 HOUR < mark AND (next_ts IS NULL OR next_ts > ts + INTERVAL 1 HOUR)"""
 
 ORACLES["parsed_events"] = f"SELECT analysis_id, event_id, status, progress_percent, error_message FROM ({EVENTS})"
 ORACLES["stored_issues"] = f"""SELECT repo_id AS analysis_id, title, severity, category, file_path, line_number, language, source_tool, 'open' AS status

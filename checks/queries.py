@@ -712,19 +712,23 @@ def stream_rules(spark, sf):
     return ss.run_available(ss.stream_rules(files, ("security",)).select(*FINDING), "stream-rules")
 
 
-def _timed_events(spark, sf, files: int = 3):
-    """The events as JSON lines in files that arrive one after another in time order, one for each micro-batch."""
+def _timed_events(spark, sf, slices: int = 3, jitter_seconds: int = 0):
+    """The events as JSON lines that arrive slice by slice, each one micro-batch of as many files as there are shuffle
+    partitions. They arrive in time order, or up to ``jitter_seconds`` later than their time, each by a hash of its id."""
     events = v.spark_view(spark, sf, v.EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-    shares = [i / files for i in range(1, files)]
-    ends = events.agg(F.percentile_approx(F.unix_micros("ts"), shares, F.lit(1000))).first()[0] or []
-    folder = scratch_path(spark, "events")
+    at = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(jitter_seconds * 1_000_000)) if jitter_seconds else F.unix_micros("ts")
+    shares = [i / slices for i in range(1, slices)]
+    ends = events.agg(F.percentile_approx(at, shares, F.lit(1000))).first()[0] or []
+    folder, files = scratch_path(spark, "events"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.to_json(F.struct("analysis_id", "event_id", "status", "progress_percent", "error_message", "ts"),
                      {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")
-    at = F.unix_micros("ts")
+    # A line that is no event in every part: each part is one file of each slice, so that the count of files is the slice's.
+    marks = spark.range(files).select(F.lit("-").alias("value"), F.col("id").cast("int").alias("part"))
     for low, high in zip([None, *ends], [*ends, None]):
         part = events if low is None else events.where(at > low)
-        (part if high is None else part.where(at <= high)).select(text).coalesce(1).write.mode("append").text(folder)
-    return sp.progress_stream(spark, folder, max_files_per_trigger=1)
+        lines = (part if high is None else part.where(at <= high)).select(text, F.pmod(F.xxhash64("event_id", "ts"), F.lit(files)).cast("int").alias("part"))
+        lines.unionByName(marks).repartition(files, "part").write.mode("append").partitionBy("part").text(folder)
+    return sp.progress_stream(spark, folder, max_files_per_trigger=files)
 
 
 @query
@@ -744,4 +748,11 @@ def progress_sessions_stream(spark, sf):
 
 @query
 def stage_durations_stream(spark, sf):
-    return ss.run_available(sp.stage_durations_stream(_timed_events(spark, sf), ended=()), "durations")
+    """Events arrive out of order within the delay; what the watermark has passed by the end is told."""
+    return ss.run_available(sp.stage_durations_stream(_timed_events(spark, sf, jitter_seconds=599)), "durations")
+
+
+@query
+def stalled_stages_stream(spark, sf):
+    told = ss.run_available(sp.stage_events_stream(_timed_events(spark, sf, jitter_seconds=599)), "stalled")
+    return told.where("kind <> 'stage'").select("kind", "analysis_id", "event_id", "status", "seconds")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from corpuslens.operators.progress import TTL_SECONDS, session_state
 
@@ -64,40 +66,126 @@ def progress_sessions_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS,
     )
 
 
-DURATION = "analysis_id string, event_id bigint, status string, seconds bigint"
-LAST_EVENT = "event_id bigint, status string, ts timestamp"
+STAGE = "analysis_id string, event_id bigint, status string, seconds bigint, kind string"
+PENDING = "event_id bigint, status string, ts timestamp"
+LAST = "event_id bigint, status string, ts timestamp, told boolean"
 
-
-#: Statuses after which an analysis pushes nothing more; its pending event is then dropped.
+#: Statuses after which an analysis pushes nothing more.
 ENDED = ("complete", "failed")
+KEEP_SECONDS = 30 * 24 * 3600
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+class StageClock(StatefulProcessor):
+    """Events of one analysis in the order of their time, whatever the order they arrive in.
 
-def stage_durations_stream(events: DataFrame, ended: tuple[str, ...] = ENDED, quiet_seconds: int = TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Seconds each stage took, emitted when the next event arrives, however long that takes. State is one event per
-    analysis; it is dropped only if that event has one of the ``ended`` statuses and the analysis stays quiet for
-    ``quiet_seconds`` (a later event then opens a new run). Events must arrive in time order per analysis.
+    An event waits in a list until the watermark has passed it, so that none before it can still come; then it ends the
+    stage of the event before it. A timer stands at the next moment at which something may be due: the first waiting event,
+    a silence that is long enough to be told, or the end of what is kept.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.getOption
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for event_id, status, ts in zip(rows["event_id"], rows["status"], rows["ts"]):
+    def __init__(self, ended: tuple[str, ...], quiet_seconds: int, keep_seconds: int):
+        self.ended, self.quiet, self.keep = ended, pd.Timedelta(seconds=quiet_seconds), pd.Timedelta(seconds=keep_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", PENDING)
+        self.last = handle.getValueState("last", LAST)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        late: list[tuple] = []
+        fresh: list[tuple] = []
+        for frame in rows:
+            for event_id, status, ts in zip(frame["event_id"], frame["status"], frame["at"]):
+                event = (None if pd.isna(event_id) else int(event_id), status, ts.to_pydatetime())
+                (late if _passed(ts, mark) else fresh).append(event)
+        told = [(key[0], event_id, status, None, "late") for event_id, status, _ in late]
+        yield self._advance(key, fresh, mark, told)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs(), [])
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, fresh: list[tuple], mark: int, out: list[tuple]) -> pd.DataFrame:
+        waiting = sorted([*(tuple(r) for r in self.waiting.get()), *fresh], key=lambda e: (e[2], e[0] if e[0] is not None else -1, e[1] or ""))
+        last = tuple(self.last.get()) if self.last.exists() else None
+        due = next((i for i, e in enumerate(waiting) if not _passed(e[2], mark)), len(waiting))
+        for event in waiting[:due]:
             if last is not None:
-                out.append((key[0], last[0], last[1], int((ts - pd.Timestamp(last[2])).total_seconds())))
-            last = (int(event_id), status, ts.to_pydatetime())
-        state.update(last)
-        if last[1] in ended:
-            deadline = int(pd.Timestamp(last[2]).timestamp() * 1000) + quiet_seconds * 1000
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["analysis_id", "event_id", "status", "seconds"])
-
-    return (
-        events.select("analysis_id", "event_id", "status", "ts")
-        .withWatermark("ts", delay)
-        .groupBy("analysis_id")
-        .applyInPandasWithState(step, DURATION, LAST_EVENT, "append", GroupStateTimeout.EventTimeTimeout)
+                gap = event[2] - last[2]
+                if gap > self.quiet and last[1] not in self.ended and not last[3]:
+                    out.append((key[0], last[0], last[1], int(self.quiet.total_seconds()), "stalled"))
+                if gap <= (self.quiet if last[1] in self.ended else self.keep):
+                    out.append((key[0], last[0], last[1], int(gap.total_seconds()), "stage"))
+            last = (*event, False)
+        if last is not None:
+            done = last[1] in self.ended
+            if not done and not last[3] and _passed(last[2] + self.quiet, mark):
+                out.append((key[0], last[0], last[1], int(self.quiet.total_seconds()), "stalled"))
+                last = (*last[:3], True)
+            end = last[2] + (self.quiet if done else self.keep)
+            if _passed(end, mark):
+                last = None
+        waiting = waiting[due:]
+        moments = [e[2] for e in waiting[:1]]
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+            moments.append(end if done or last[3] else last[2] + self.quiet)
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if moments:
+            # The first watermark that has passed the moment.
+            self.handle.registerTimer(max(_millis(min(moments)) + 1, mark + 1))
+        return pd.DataFrame(out, columns=["analysis_id", "event_id", "status", "seconds", "kind"]).astype({"event_id": "Int64", "seconds": "Int64"})
+
+
+def _millis(ts: datetime) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
+
+
+def _passed(ts: datetime, mark: int) -> bool:
+    """Whether a watermark in milliseconds has passed a time; what is exactly at it may still have company."""
+    return pd.Timestamp(ts).value < mark * 1_000_000
+
+
+def stage_events_stream(
+    events: DataFrame, ended: tuple[str, ...] = ENDED, quiet_seconds: int = TTL_SECONDS, keep_seconds: int = KEEP_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
+    """What becomes known of stages, in append mode; ``kind`` tells what a row is.
+
+    - ``stage``: the event's stage ended with the next event, after ``seconds``. It is told once the watermark has passed
+      that next event, so the order of arrival within ``delay`` does not matter.
+    - ``stalled``: nothing followed for ``quiet_seconds``, and the status is not one of ``ended``. Told once per event.
+    - ``late``: the event came after the watermark had passed its time; it takes part in nothing.
+
+    State is the waiting events of the last ``delay`` and one event per analysis, which is dropped ``quiet_seconds`` after an
+    ended status and ``keep_seconds`` after any other; an event after that opens a new run. State needs RocksDB as the store
+    (``spark.sql.streaming.stateStore.providerClass``), which is set here if the session leaves it at its default.
+    """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in (conf.get(name, None) or "HDFSBackedStateStoreProvider"):
+        conf.set(name, ROCKS_DB)
+    # The copy of the time carries no watermark, so that late events reach the processor instead of being dropped.
+    rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        "analysis_id", "event_id", "status", (F.col("ts") + F.expr("INTERVAL 0 SECONDS")).alias("at")
+    )
+    return rows.groupBy("analysis_id").transformWithStateInPandas(
+        StageClock(ended, quiet_seconds, keep_seconds), STAGE, outputMode="Append", timeMode="EventTime"
     )
+
+
+def stage_durations_stream(
+    events: DataFrame, ended: tuple[str, ...] = ENDED, quiet_seconds: int = TTL_SECONDS, delay: str = "10 minutes", keep_seconds: int = KEEP_SECONDS
+) -> DataFrame:
+    """Seconds each stage took: the ``stage`` rows of ``stage_events_stream``."""
+    told = stage_events_stream(events, ended, quiet_seconds, keep_seconds, delay)
+    return told.where("kind = 'stage'").select("analysis_id", "event_id", "status", "seconds")

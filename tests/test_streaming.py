@@ -1,12 +1,13 @@
-import os
 import json
+import os
+import random
 import uuid
 from datetime import datetime, timedelta
 
 from corpuslens.operators.progress import latest_status, progress_sessions, stage_durations
 from corpuslens.operators.rules import match_rules
 from corpuslens.schemas import FILES
-from corpuslens.streaming.progress import latest_status_stream, parse_events, progress_sessions_stream, progress_stream, stage_durations_stream
+from corpuslens.streaming.progress import latest_status_stream, parse_events, progress_sessions_stream, progress_stream, stage_durations_stream, stage_events_stream
 from corpuslens.streaming.scan import dedup_stream, run_available, run_updates, stream_rules
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def test_rule_stream_finds_new_files_once(spark, tmp_path):
 
 def test_a_stage_longer_than_the_quiet_time_is_kept(spark, tmp_path):
     """Its next event comes long after the watermark has passed it, in a later micro-batch."""
-    events = [("A", 0, "cloning"), ("B", 7000, "cloning"), ("B", 9000, "running_static_analysis"), ("A", 10000, "complete")]
+    events = [("A", 0, "cloning"), ("B", 7000, "cloning"), ("B", 9000, "running_static_analysis"), ("A", 10000, "complete"), ("C", 20000, "cloning")]
     for i, (analysis, second, status) in enumerate(events):
         stamp = f"2024-01-01T{second // 3600:02d}:{second % 3600 // 60:02d}:{second % 60:02d}Z"
         line = f'{{"analysis_id":"{analysis}","event_id":{i},"status":"{status}","ts":"{stamp}"}}'
@@ -69,3 +70,79 @@ def test_a_stage_longer_than_the_quiet_time_is_kept(spark, tmp_path):
         os.utime(tmp_path / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     got = run_available(stage_durations_stream(progress_stream(spark, str(tmp_path), 1)), "t-long").collect()
     assert {(r.analysis_id, r.seconds) for r in got} == {("A", 10000), ("B", 2000)}
+
+
+def arrive(folder, batches):
+    """One file for each micro-batch of (analysis, second, status); the order of the list is that of arrival."""
+    number = 0
+    for k, batch in enumerate(batches):
+        lines = []
+        for analysis, second, status in batch:
+            stamp = (T0 + timedelta(seconds=second)).isoformat()
+            lines.append(json.dumps({"analysis_id": analysis, "event_id": number, "status": status, "ts": stamp}))
+            number += 1
+        (folder / f"{k}.json").write_text("\n".join(lines))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def told(spark, folder, **options):
+    rows = run_available(stage_events_stream(progress_stream(spark, str(folder), 1), **options), f"t-{uuid.uuid4().hex}").collect()
+    return sorted((r.kind, r.analysis_id, r.event_id, r.seconds) for r in rows)
+
+
+def test_stages_in_any_order_of_arrival(spark, tmp_path):
+    arrive(tmp_path, [[("A", 1000, "cloning")], [("A", 1300, "building_index")], [("A", 1200, "detecting_languages")], [("A", 1400, "complete")], [("B", 9000, "cloning")]])
+    assert told(spark, tmp_path) == [("stage", "A", 0, 200), ("stage", "A", 1, 100), ("stage", "A", 2, 100)]
+
+
+def test_late_events_have_an_output_of_their_own(spark, tmp_path):
+    arrive(tmp_path, [[("B", 9000, "cloning")], [("A", 1000, "cloning"), ("A", 8500, "cloning")], [("A", 8700, "complete")], [("C", 9900, "cloning")]])
+    got = told(spark, tmp_path)
+    assert ("late", "A", 1, None) in got and ("stage", "A", 2, 200) in got
+    assert len(got) == 2
+
+
+def test_stalled_is_told_once_and_later_events_go_on(spark, tmp_path):
+    arrive(tmp_path, [
+        [("A", 0, "cloning"), ("B", 0, "complete"), ("D", 0, "cloning")], [("C", 5000, "cloning")], [("A", 6000, "complete")], [("B", 6100, "cloning")],
+        [("C", 20_000, "complete")], [("E", 40 * 86400, "cloning")], [("D", 40 * 86400 + 5, "complete"), ("E", 41 * 86400, "cloning")],
+    ])
+    got = told(spark, tmp_path)
+    assert [r for r in got if r[1] == "A"] == [("stage", "A", 0, 6000), ("stalled", "A", 0, 3600)]
+    assert [r for r in got if r[1] == "B"] == [("stalled", "B", 5, 3600)]  # an ended run: the next event opens another
+    assert [r for r in got if r[1] == "C"] == [("stage", "C", 3, 15000), ("stalled", "C", 3, 3600)]
+    assert [r for r in got if r[1] == "D"] == [("stalled", "D", 2, 3600)]  # no longer kept after 30 days
+
+
+def test_shuffled_arrival_gives_the_batch_result(spark, tmp_path):
+    """Several micro-batches in an order shuffled within the delay, equal times and one busy analysis."""
+    rng = random.Random(5)
+    events = []
+    for k in range(400):
+        analysis = "busy" if rng.random() < 0.4 else f"a{rng.randrange(30)}"
+        events.append((analysis, rng.randrange(0, 40_000), rng.choice(["cloning", "building_index", "complete", "failed"])))
+    events.sort(key=lambda e: e[1] + rng.random() * 590)
+    events.append(("end", 200_000, "cloning"))
+    arrive(tmp_path, [events[i : i + 45] for i in range(0, len(events), 45)])
+    batch = stage_durations(parse_events(spark.read.text(str(tmp_path)))).where("seconds IS NOT NULL").collect()
+    want = {(r.analysis_id, r.event_id, r.seconds) for r in batch if r.status not in ("complete", "failed") or r.seconds <= 3600}
+    got = told(spark, tmp_path)
+    assert {r[1:] for r in got if r[0] == "stage"} == want and len(want) > 200
+    assert not [r for r in got if r[0] == "late"]
+    assert {r[1:3] for r in got if r[0] == "stalled"} >= {(r.analysis_id, r.event_id) for r in batch if r.seconds > 3600 and r.status not in ("complete", "failed")}
+
+
+def test_a_restarted_stream_goes_on_where_it_was(spark, tmp_path):
+    """Waiting events and timers survive a stop: two runs over one checkpoint tell the same as one."""
+    folder, out, check = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    folder.mkdir()
+    first = [[("A", 0, "cloning")], [("A", 500, "building_index"), ("B", 300, "cloning")]]
+    arrive(folder, first)
+    for batches in (None, [*first, [("B", 9000, "complete"), ("A", 450, "cloning")], [("C", 30_000, "cloning")]]):
+        if batches:
+            arrive(folder, batches)
+        stream = stage_events_stream(progress_stream(spark, str(folder), 1))
+        run = stream.writeStream.format("parquet").option("checkpointLocation", str(check)).trigger(availableNow=True).start(str(out))
+        run.awaitTermination()
+    got = sorted((r.kind, r.analysis_id, r.event_id, r.seconds) for r in spark.read.schema(stream.schema).parquet(str(out)).collect())
+    assert got == [("stage", "A", 0, 450), ("stage", "A", 4, 50), ("stage", "B", 2, 8700), ("stalled", "A", 1, 3600), ("stalled", "B", 2, 3600)]
