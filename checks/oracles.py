@@ -631,6 +631,7 @@ near AS (SELECT qs.question_id, qs.repo_id, c.* EXCLUDE (repo_id, embedding),
     list_distance(qs.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d,
     row_number() OVER (PARTITION BY qs.question_id ORDER BY d, chunk_id)::INT AS rank
   FROM qs JOIN c ON c.repo_id = qs.repo_id QUALIFY rank <= 6)"""
+ORACLES["indexed_retrieval"] = f"WITH {NEAREST} SELECT question_id, repo_id, chunk_id, rank, round(d, 6) AS distance FROM near"
 ORACLES["retrieve_chunks"] = f"WITH {NEAREST} SELECT question_id, repo_id, chunk_id, rank, round(d, 6) AS distance FROM near"
 ORACLES["rag_context"] = f"""WITH {NEAREST}, refs AS (SELECT *, file_path || ':' || start_line || '-' || end_line AS ref FROM near)
 SELECT question_id, repo_id,

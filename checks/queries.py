@@ -13,7 +13,7 @@ from corpuslens.functions.text import safe_rel_path
 from corpuslens.operators import chunks as ch
 from corpuslens.operators import css, dependencies as deps, evidence, files as fl, findings as fd
 from corpuslens.operators import issues as iss, patches as pt, progress as pg, reports as rp
-from corpuslens.operators import retrieval as rt, rules as rl, scores as sc, tests_plan as tp
+from corpuslens.operators import retrieval as rt, rules as rl, scores as sc, tests_plan as tp, vector_index as vi
 from corpuslens import catalogue as cat
 from corpuslens.plans import analysis as an
 from corpuslens.plans.analysis import corpus_findings
@@ -582,6 +582,15 @@ def retrieve_chunks(spark, sf):
     return found.select("question_id", "repo_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query
+def indexed_retrieval(spark, sf):
+    """The chunks stored in the lists of an inverted-file index and searched in all of their repository's lists."""
+    place = scratch_path(spark, "vector-index")
+    index = vi.build_vector_index(v.spark_view(spark, sf, v.CHUNKS), place)
+    found = vi.search_vectors(v.spark_view(spark, sf, v.QUESTIONS), index, probes=None)
+    return found.select("question_id", "repo_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query
 def rag_context(spark, sf):
     return rt.rag_context(v.spark_view(spark, sf, v.QUESTIONS), v.spark_view(spark, sf, v.CHUNKS), content_chars=1500)

@@ -67,10 +67,10 @@ def _nearest_in_block(k: int):
 
 def without_vector(rows: DataFrame) -> DataFrame:
     """Questions or chunks that no search can find: their vector is NULL, empty or holds a NULL."""
-    return rows.where(~_searchable())
+    return rows.where(~searchable())
 
 
-def _searchable():
+def searchable():
     return F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()), F.lit(False))
 
 
@@ -103,7 +103,7 @@ def retrieve_chunks(
     per question, never the pairs; the final window sees k rows per question and block. Rows without a vector take
     no part (``without_vector`` lists them); vectors are compared with those of their own length.
     """
-    questions, chunks = questions.where(_searchable()), chunks.where(_searchable())
+    questions, chunks = questions.where(searchable()), chunks.where(searchable())
     chunk_blocks = pin(_blocks(chunks, block_rows, "_cb"))
     question_blocks = pin(_blocks(questions, question_rows, "_qb"))
     left = _blocked(questions.select("question_id", "repo_id", "embedding"), "question_id",
