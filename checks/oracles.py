@@ -749,6 +749,9 @@ FROM n, m WHERE next_ts < mark AND next_ts <= ts + CASE WHEN ended THEN INTERVAL
 ORACLES["stalled_stages_stream"] = f"""WITH {_STAGES} SELECT 'stalled' AS kind, analysis_id, event_id, status, 3600::BIGINT AS seconds
 FROM n, m WHERE NOT ended AND ts + INTERVAL 1 HOUR < mark AND (next_ts IS NULL OR next_ts > ts + INTERVAL 1 HOUR)"""
 
+ORACLES["log_stream"] = f"SELECT analysis_id, event_id, status, progress_percent, error_message, ts FROM ({EVENTS})"
+ORACLES["report_documents"] = f"""SELECT a.id AS analysis_id, branch, count(i.id) AS issues, md5(coalesce(string_agg(i.id, ',' ORDER BY i.created_at, i.id), '')) AS ids_in_order,
+  true AS marked, count(i.id) AS rows FROM ({ANALYSES}) a JOIN ({REPOSITORIES}) r ON r.id = a.repository_id LEFT JOIN ({ISSUES}) i ON i.analysis_id = a.id GROUP BY a.id, branch"""
 ORACLES["parsed_events"] = f"SELECT analysis_id, event_id, status, progress_percent, error_message FROM ({EVENTS})"
 ORACLES["stored_issues"] = f"""SELECT repo_id AS analysis_id, title, severity, category, file_path, line_number, language, source_tool, 'open' AS status
 FROM ({ORACLES["security_rules"]})"""

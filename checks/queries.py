@@ -18,7 +18,7 @@ from corpuslens import catalogue as cat
 from corpuslens.plans import analysis as an
 from corpuslens.plans.analysis import corpus_findings
 from corpuslens.session import scratch_path
-from corpuslens.sources import python_source as py, tables as tb, tool_reports as tr, tree
+from corpuslens.sources import progress_log as lg, python_source as py, report_sink as rs, tables as tb, tool_reports as tr, tree
 from corpuslens.streaming import progress as sp, scan as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +340,25 @@ def scanned_tree(spark, sf):
     )
 
 
+@query
+def report_documents(spark, sf):
+    """Every analysis's report as one JSON and one CSV file, written by many tasks, read back whole and taken apart."""
+    place = scratch_path(spark, "documents")
+    analyses, issues = _analyses(spark, sf), _issues(spark, sf).withColumn("risk", F.lit(None).cast("string"))
+    rs.write_json_documents(rp.report_json(analyses, v.spark_view(spark, sf, v.REPOSITORIES), issues), f"{place}/json")
+    rs.write_csv_documents(analyses, issues, f"{place}/csv")
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)\.\w+$", 1).alias("analysis_id")
+    document = "analysis struct<id: string, branch: string>, issues array<struct<id: string, title: string>>"
+    parsed = spark.read.text(f"{place}/json", wholetext=True).select(name, F.from_json("value", document, {"mode": "FAILFAST"}).alias("d"))
+    sheets = spark.read.text(f"{place}/csv", wholetext=True).select(
+        name, F.col("value").startswith("\ufefftitle,severity").alias("marked"), (F.size(F.split("value", "\r\n", -1)) - 2).alias("rows"))
+    ids = F.transform("d.issues", lambda i: i["id"])
+    return parsed.join(sheets, "analysis_id").select(
+        "analysis_id", F.col("d.analysis.branch").alias("branch"), F.size(ids).cast("bigint").alias("issues"),
+        F.md5(F.encode(F.array_join(ids, ","), "utf-8")).alias("ids_in_order"), "marked", F.col("rows").cast("bigint").alias("rows"),
+    )
+
+
 @query
 def scanned_files(spark, sf):
     """The documents written as a tree, one file each, with empty packages and READMEs beside them, listed and read back."""
@@ -747,6 +766,24 @@ def latest_status_stream(spark, sf):
     return last.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query
+def log_stream(spark, sf):
+    """Events as logs of their analyses: a stream reads the first half, stops, and reads on when the rest has come."""
+    events = v.spark_view(spark, sf, v.EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    place = scratch_path(spark, "progress-logs")
+    text = F.to_json(F.struct("event_id", "status", "progress_percent", "error_message", "ts"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0] or 0
+    lines = events.select("analysis_id", text.alias("value"), "ts", (F.unix_micros("ts") <= middle).alias("early"))
+    stream = lg.log_stream(spark, f"{place}/logs")
+    for early in (True, False):
+        lg.write_logs(lines.where(F.col("early") == early), f"{place}/logs")
+        lg.write_logs(lines.where(F.col("early") == early).select("analysis_id", F.lit("no event").alias("value"), "ts"), f"{place}/logs")
+        run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out")
+        run.awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return found.select("analysis_id", "event_id", "status", "progress_percent", "error_message", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query
 def progress_sessions_stream(spark, sf):
     """Lists that have expired by the end of the stream, per the watermark."""
