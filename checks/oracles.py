@@ -301,13 +301,17 @@ def json_deps(name: str, main: str, dev: str) -> str:
         f"SELECT repo_id, path, '{scope}' AS scope, unnest(json_keys(j, '$.{key}')) AS name, j FROM valid_m "
         f"WHERE json_type(j, '$.{key}') = 'OBJECT'"
     )
+    def version(key: str) -> str:
+        at = f"'/{key}/' || replace(name, '/', '~1')"
+        return f"CASE json_type(j, {at}) WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(j, {at}) = 'true' THEN 'True' ELSE 'False' END ELSE json_extract_string(j, {at}) END"
+
     return f"""
-m AS (SELECT * FROM files WHERE {outside('language')} AND {name_of()} = '{name}'),
+m AS (SELECT * REPLACE (replace(content, ': NaN', ': "nan"') AS content) FROM files WHERE {outside('language')} AND {name_of()} = '{name}'),
 valid_m AS (SELECT repo_id, path, content::JSON AS j FROM m WHERE json_valid(content)),
 entries AS (
-  SELECT repo_id, path, scope, name, json_extract_string(j, '/{main}/' || replace(name, '/', '~1')) AS version FROM ({pick(main, 'production')})
+  SELECT repo_id, path, scope, name, {version(main)} AS version FROM ({pick(main, 'production')})
   UNION ALL
-  SELECT repo_id, path, scope, name, json_extract_string(j, '/{dev}/' || replace(name, '/', '~1')) FROM ({pick(dev, 'development')})),
+  SELECT repo_id, path, scope, name, {version(dev)} FROM ({pick(dev, 'development')})),
 merged AS (SELECT repo_id, path, name, arg_min(version, scope) AS version FROM entries GROUP BY ALL)"""
 
 
@@ -525,7 +529,9 @@ best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDE
 SELECT r.request_id, CASE WHEN b.request_id IS NULL AND row_number() OVER (PARTITION BY r.owner_id, r.full_name ORDER BY r.request_id) = 1
   THEN 'insert' ELSE 'update' END AS action, coalesce(b.id, sha256(r.owner_id || chr(1) || r.full_name)) AS id, r.owner_id, r.name, r.full_name,
        r.normalized_url AS clone_url, r.is_private,
-       coalesce(nullif(r.default_branch, ''), nullif(b.default_branch, ''), 'main') AS default_branch
+       coalesce(last_value(nullif(r.default_branch, '') IGNORE NULLS) OVER (
+           PARTITION BY coalesce(b.id, sha256(r.owner_id || chr(1) || r.full_name)) ORDER BY r.request_id ROWS UNBOUNDED PRECEDING),
+         nullif(b.default_branch, ''), 'main') AS default_branch
 FROM r LEFT JOIN best b ON b.request_id = r.request_id"""
 ORACLES["analyses_needing_pr"] = f"""SELECT id, repository_id, status FROM ({ANALYSES})
 WHERE id NOT IN (SELECT analysis_id FROM ({v.duck_view(q.PULLS)}) WHERE status = 'open')"""

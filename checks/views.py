@@ -161,6 +161,9 @@ MANIFESTS = [
     ("pyproject.toml", "[project]\nname = '@'\nversion = '1'\n"),
     ("app.csproj", "<Project/>"),
     ("go.sum", "x\n"),
+    ("package.json", "{\"name\": \"TEXT\", \"dependencies\": {\"@a\": 1.0, \"@b\": true, \"@c\": 2, \"@d\": null}, \"devDependencies\": {\"@b\": false, \"@e\": 10.25}}"),
+    ("package.json", "{\"name\": \"TEXT\", \"dependencies\": {\"@n\": NaN, \"@m\": \"*\"}}"),
+    ("composer.json", "{\"name\": \"TEXT\", \"require\": {\"@n\": NaN, \"@m\": \"dev-main\", \"@o\": 3.0}}"),
 ]
 MANIFEST_FILES = f"""
 SELECT d.source AS repo_id,

@@ -29,17 +29,75 @@ def manifests_named(files: DataFrame, *names: str) -> DataFrame:
     return files.where(not_in_ignored_dir("path", "language") & basename("path").isin(*names))
 
 
+#: A JSON string, a stretch without quotes, or a quote that ends nothing.
+TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+
+
+def _outside_strings(text: Column, change) -> Column:
+    """``change`` applied to what stands outside of the strings of a JSON text."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({TOKENS})"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.startswith('"') & (F.length(t) > 1), t).otherwise(change(t))), "")
+
+
+def _finite(content: Column) -> Column:
+    """The text with a number in place of NaN and the infinities, which are values here although JSON has none."""
+    bare = r"(?<![\w.+-])(?:NaN|-?Infinity)(?![\w.])"
+    return F.when(content.rlike(bare), _outside_strings(content, lambda t: F.regexp_replace(t, bare, "0"))).otherwise(content)
+
+
 def _object(content: Column) -> Column:
     """The JSON text as a variant; NULL if it is not exactly one well-formed value."""
-    whole = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]")))
+    whole = F.try_parse_json(F.concat(F.lit("["), _finite(content), F.lit("]")))
     alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
     return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
 
 
-def _members(parsed: Column, key: str) -> Column:
-    """Member map of an object-valued key; anything else counts as no members."""
-    got = F.try_variant_get(parsed, f"$.{key}", "map<string,string>")
-    return F.coalesce(got, F.create_map().cast("map<string,string>"))
+def _word(text: Column) -> Column:
+    """A string as a literal inside a printed list or map."""
+    quote = F.when(text.contains("'") & ~text.contains('"'), F.lit('"')).otherwise(F.lit("'"))
+    body = F.replace(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    return F.concat(quote, F.when(quote == "'", F.replace(body, F.lit("'"), F.lit("\\'"))).otherwise(body), quote)
+
+
+def _printed(text: Column, kind: Column) -> Column:
+    """A member's JSON text as it is shown: words for booleans and for what is no number, lists and maps with spaces."""
+
+    def outside(t: Column) -> Column:
+        for a, b in ((r"\btrue\b", "True"), (r"\bfalse\b", "False"), (r"\bnull\b", "None"), (r"([:,])", "$1 ")):
+            t = F.regexp_replace(t, a, b)
+        return t
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)({TOKENS})"), F.lit(1))
+    nested = F.array_join(F.transform(parts, lambda t: F.when(t.startswith('"'), _word(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0])).otherwise(outside(t))), "")
+    bare = F.replace(text, F.lit('"'), F.lit(""))
+    number = F.when(bare == "NaN", "nan").when(bare.isin("Infinity", "-Infinity"), F.lower(F.replace(bare, F.lit("inity"), F.lit("")))).otherwise(_float(text))
+    return (
+        F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), nested).otherwise(number)
+    )
+
+
+def _float(text: Column) -> Column:
+    """A number with an exponent or many digits as a double is printed in full or with a two-digit exponent."""
+    value, digits = text.try_cast("double"), F.regexp_extract(text, r"^-?(\d+)\.?(\d*)(?:[eE]([+-]?\d+))?$", 3)
+    plain = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.0e", "e"), r"e(-?)\+?(\d)$", "e$10$2")
+    small = (F.abs(value) < 1e16) & ((F.abs(value) >= 1e-4) | (value == 0))
+    return F.when(digits == "", text).when(small, plain).otherwise(F.regexp_replace(power, r"e(\d)", "e+$1"))
+
+
+def _members(parsed: Column, content: Column, key: str) -> Column:
+    """Member map of an object-valued key, its values as text; anything else counts as no members.
+
+    The kind of a value comes from the variant, its text from the source: a variant has no ``1.0`` and no order of keys.
+    The last of repeated keys counts.
+    """
+    kinds = F.try_variant_get(parsed, f"$.{key}", "map<string,variant>")
+    options = {"allowNonNumericNumbers": "true", "allowSingleQuotes": "false"}
+    texts = F.map_entries(F.from_json(content, f"`{key}` map<string,string>", options)[key])
+    found = F.transform_values(kinds, lambda k, v: F.when(
+        ~F.is_variant_null(v), _printed(F.element_at(F.filter(texts, lambda e: e["key"] == k), -1)["value"], F.schema_of_variant(v))))
+    return F.coalesce(found, F.create_map().cast("map<string,string>"))
 
 
 def _named(members: Column, *versions: str) -> Column:
@@ -56,12 +114,12 @@ def _json_manifest(files: DataFrame, name: str, main: str, dev: str) -> DataFram
     valid_utf8 = F.col("utf8_valid") if "utf8_valid" in files.columns else F.lit(True)
     return (
         manifests_named(files, name)
-        .select("repo_id", "path", valid_utf8.alias("_utf8"), _object(F.col("content")).alias("_v"))
+        .select("repo_id", "path", "content", valid_utf8.alias("_utf8"), _object(F.col("content")).alias("_v"))
         .select(
             "repo_id", "path",
             (F.col("_v").isNotNull() & F.col("_utf8")).alias("valid"),
-            _members(F.col("_v"), main).alias("main"),
-            _members(F.col("_v"), dev).alias("dev"),
+            _members(F.col("_v"), F.col("content"), main).alias("main"),
+            _members(F.col("_v"), F.col("content"), dev).alias("dev"),
         )
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.naming import parse_repo_url
-from corpuslens.operators.findings import first_wins
 from corpuslens.schemas import content_key
 
 SEARCH_COLUMNS = ("title", "description", "file_path", "category", "severity", "source_tool", "language", "status")
@@ -98,8 +97,9 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A request matches the owner's repository by full name, else by one of three spellings of its URL.
     Both are equi-joins; the best match per request is kept. Of several requests for a repository that is new, the
-    first by request_id inserts it, under an id made from owner and full name; the others update it. Requests with
-    an invalid URL are left out, see rejected_repositories.
+    first by request_id inserts it, under an id made from owner and full name; the others update it. A request that
+    leaves the branch open keeps the one that the last request before it has given. Requests with an invalid URL are left
+    out, see rejected_repositories.
     """
     parsed = incoming.withColumn("_p", parse_repo_url("clone_url")).where(F.col("_p.error").isNull()).select(
         "request_id", "owner_id", "clone_url", "is_private", "default_branch",
@@ -124,18 +124,20 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
     opens = parsed.groupBy("owner_id", "_full").agg(F.min("request_id").alias("_first"))
     new = F.col("_m").isNull()
-    return parsed.join(best, "request_id", "left").join(opens, ["owner_id", "_full"]).select(
+    matched = parsed.join(best, "request_id", "left").join(opens, ["owner_id", "_full"])
+    matched = matched.withColumn("_to", F.coalesce("_m._id", content_key("owner_id", "_full")))
+    earlier = Window.partitionBy("_to").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0)
+    matched = matched.withColumn("_asked", F.last(F.nullif("default_branch", F.lit("")), ignorenulls=True).over(earlier))
+    return matched.select(
         "request_id",
         F.when(new & (F.col("request_id") == F.col("_first")), "insert").otherwise("update").alias("action"),
-        F.coalesce("_m._id", content_key("owner_id", "_full")).alias("id"),
+        F.col("_to").alias("id"),
         "owner_id",
         F.col("_name").alias("name"),
         F.col("_full").alias("full_name"),
         F.col("_url").alias("clone_url"),
         "is_private",
-        F.coalesce(F.nullif("default_branch", F.lit("")), F.nullif(F.col("_m._branch"), F.lit("")), F.lit("main")).alias(
-            "default_branch"
-        ),
+        F.coalesce("_asked", F.nullif(F.col("_m._branch"), F.lit("")), F.lit("main")).alias("default_branch"),
     )
 
 

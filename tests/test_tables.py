@@ -12,7 +12,8 @@ from corpuslens.operators.findings import dedup_findings, diff_issues, first_win
 from corpuslens.operators.numbering import neighbour_on, number_within, offsets_within, ranged
 from corpuslens.operators.patches import commit_reject_reason, parse_fix_sections
 from corpuslens.operators.reports import json_document, report_json, report_markdown, write_issues_csv, write_reports
-from corpuslens.operators.issues import apply_issue_updates
+from corpuslens.operators.dependencies import dependencies, dependency_findings
+from corpuslens.operators.issues import apply_issue_updates, upsert_repositories
 from corpuslens.operators.retrieval import NO_INDEX, nearest, rag_context, retrieve_chunks, without_vector
 from corpuslens.operators.scores import score_repos
 from corpuslens.plans.analysis import analyze_corpus
@@ -338,3 +339,42 @@ def test_scan_to_report(spark, make_files):
     assert "- **Files scanned:** 1" in text and "- **Languages:** Python" in text and f"- **Total findings:** {issues.count()}" in text
     order = [r.title for r in result.findings.orderBy("seq_major", "seq_minor").collect()]
     assert [text.index(f". {x}\n") for x in order] == sorted(text.index(f". {x}\n") for x in order)
+
+
+def test_versions_are_shown_as_the_manifest_has_them(spark):
+    """Numbers, booleans, lists and maps as the words of Python's own printing; NaN and the infinities are values."""
+    body = (
+        '{"dependencies": {"a": 1.0, "b": true, "c": null, "d": 1, "e": "x", "f": 1e3, "g": NaN, "h": -Infinity, "i": {"z": 1.5, "k": [true, null, '
+        '"it\'s \\"q\\" NaN"]}, "j": 12345678901234567890, "k": 1.10, "l": 1e22, "m": 0.00001, "n": "true", "o": "NaN", "p": false, "q": 123456789.25, '
+        '"r": [], "s": 1E5, "t": -2.50, "u": "*", "v": Infinity}, "devDependencies": {"a": 2, "z": 3.0}}'
+    )
+    texts = {
+        "r": ("package.json", body), "bad": ("package.json", '{"dependencies": {"a": nan}}'), "two": ("package.json", '{"dependencies": {"a": 1}} {}'),
+        "php": ("composer.json", '{"require": {"a": Infinity, "b": "*", "c": 1.0}}'), "twice": ("package.json", '{"devDependencies": {"q": "1", "q": 2.0}}'),
+        "list": ("package.json", '{"dependencies": ["a"], "devDependencies": 5}'), "text": ("package.json", '{"name": "NaN , Infinity", "dependencies": {"a": "NaN"}}'),
+    }
+    files = spark.createDataFrame([(repo, name, len(t), False, t, True) for repo, (name, t) in texts.items()], FILES)
+    got = {(r.repo_id, r.scope, r.name): r.version for r in dependencies(files).collect()}
+    want = {}
+    for repo, (name, text) in texts.items():
+        try:
+            loaded = json.loads(text)
+        except ValueError:
+            continue
+        keys = ("require", "require-dev") if name == "composer.json" else ("dependencies", "devDependencies")
+        for scope, key in zip(("production", "development"), keys):
+            members = loaded.get(key)
+            for k, value in members.items() if isinstance(members, dict) else ():
+                want[repo, scope, k] = None if value is None else str(value)
+    assert got == want
+    found = {(r.repo_id, r.rule_id) for r in dependency_findings(files).collect()}
+    assert found == {("bad", "RD1"), ("two", "RD1"), ("r", "RD2"), ("r", "RD3"), ("php", "RD6"), ("twice", "RD3"), ("text", "RD3")}
+
+
+def test_a_request_keeps_the_branch_of_the_one_before(spark):
+    known = spark.createDataFrame([("k", "o", "old", "o/old", "https://github.com/o/old", False, "dev", None)], TABLES["repositories"])
+    asked = [("1", ""), ("2", "rel"), ("3", ""), ("4", None), ("5", "next"), ("6", "")]
+    rows = [(i, "me", "https://github.com/o/new", False, b) for i, b in asked] + [("7", "o", "https://github.com/o/old", False, ""), ("8", "o", "https://github.com/o/old", True, "x"), ("9", "o", "https://github.com/o/old", True, "")]
+    got = {r.request_id: (r.action, r.default_branch) for r in upsert_repositories(known, spark.createDataFrame(rows, "request_id string, owner_id string, clone_url string, is_private boolean, default_branch string")).collect()}
+    assert [got[str(i)] for i in range(1, 7)] == [("insert", "main"), ("update", "rel"), ("update", "rel"), ("update", "rel"), ("update", "next"), ("update", "next")]
+    assert [got[str(i)][1] for i in range(7, 10)] == ["dev", "x", "x"]
