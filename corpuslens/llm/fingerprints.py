@@ -109,8 +109,16 @@ def with_next(docs: DataFrame, key: str, prepare, carry: list[str], range_rows:
     return following.where(F.col("_guest") == 0).drop("_range", "_guest", "_tie")
 
 
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``key`` and its fingerprint, an array of (hash, pos) in order of position. This is what two readers compare:
+    a hash that both hold marks a run of ``K`` tokens that both texts have, at the two positions."""
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text"))
+    return with_fingerprint(rows, "_text", "_fp").select(F.col("_k").alias(key), F.col("_fp").alias("fingerprint"))
+
+
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Per row: ``key``, n_chars, edited_sha256, fingerprint and edited_fingerprint (digests), near_edited, near_next.
+    """Per row: ``key``, n_chars, edited_sha256, fingerprint and edited_fingerprint (digests of what ``fingerprints`` gives, equal
+    for equal texts), near_edited, near_next.
 
     The edited text is the text with its last half replaced by as many first code points of the next row's text.
     """

@@ -88,3 +88,14 @@ def test_nested_ranks(spark):
     frame = spark.createDataFrame([(v,) for v in [-5, 0, 1, 3, 2999, 3000, 9999, 20_000]], "v bigint")
     for r in frame.select("v", fp._rank(ends, F.col("v"), False).alias("lt"), fp._rank(ends, F.col("v"), True).alias("le")).collect():
         assert (r.lt, r.le) == (sum(e < r.v for e in ends), sum(e <= r.v for e in ends))
+
+
+def test_fingerprints_tell_where_texts_share_a_run(spark, odd, no_rows):
+    """Hashes and positions as they are given: every shared run of K + W - 1 tokens is found at its places in both texts."""
+    run = " ".join(f"w{i}" for i in range(fp.K + fp.W - 1))
+    frame = spark.createDataFrame([(1, "some words before " + run), (2, run + " and others after it")], "doc_id int, text string").selectExpr("*", "5 AS _t", "6 AS fingerprint")
+    got = {r.doc_id: r.fingerprint for r in fp.fingerprints(frame).collect()}
+    places = {(a.pos, b.pos) for a in got[1] for b in got[2] if a.hash == b.hash}
+    assert places and all(a - b == 3 for a, b in places)
+    assert len(fp.fingerprints(odd).collect()) == 11 and fp.fingerprints(no_rows).collect() == []
+    assert {r.doc_id: len(r.fingerprint) for r in fp.fingerprints(odd).collect()}[3] == 0
