@@ -1,9 +1,11 @@
 """Best-fit packing of documents into sequences by patterns fitted with non-negative least squares.
 
 Lengths are whole numbers up to the sequence length, so the corpus is a histogram of bounded size. Patterns of two
-to four lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
-least squares, rounded down, and what is left is packed best fit by best fit. All of this works on counts per
-length: its cost depends on the sequence length, not on the corpus.
+to four lengths that fill a sequence are enumerated and their repeat counts fitted to the histogram by non-negative
+least squares. At most as many patterns as there are lengths stay in the fit; their counts are fitted again, rounded as
+far as the histogram allows, and taken out of it. What is left is fitted anew until no pattern places a piece; the
+residue is packed best fit. All of this works on counts per length: its cost depends on the sequence length, not on the
+corpus.
 
 The plan is then dealt out: pieces are numbered within their length, and every slot of the plan owns a run of
 those numbers. A document longer than a sequence is cut into full pieces; the first may be shorter.
@@ -31,7 +33,9 @@ from corpuslens.llm.tokens import default_tokenizer, encoder
 CAPACITY = 2048
 #: Bounds the enumeration of patterns and the rounds of the fit; neither depends on the corpus.
 MAX_PATTERNS = 30_000
-ROUNDS = 200
+ROUNDS = 60
+#: Times that the remainder is fitted anew, at most.
+REFITS = 60
 
 
 def enumerate_patterns(present: np.ndarray, capacity: int, limit: int = MAX_PATTERNS) -> np.ndarray:
@@ -80,6 +84,31 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np
     return x
 
 
+def fit_patterns(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences that patterns fill; their pieces are taken out of ``left``."""
+    plan: list[tuple[tuple[int, ...], int]] = []
+    for _ in range(REFITS):
+        present = np.flatnonzero(left)
+        patterns = enumerate_patterns(present, capacity) if len(present) else np.zeros((0, 4), np.int64)
+        if not len(patterns):
+            break
+        # The least squares need no more patterns than lengths: the largest counts stay and share what is fitted.
+        patterns = patterns[np.argsort(-fit(patterns, left.astype(float)), kind="stable")[: len(present)]]
+        counts = fit(patterns, left.astype(float), 2 * ROUNDS)
+        wanted, budget, placed = np.rint(counts).astype(np.int64), int(np.ceil(counts.sum())), 0
+        # Rounded to the nearest, small counts up to one, while the sum of all counts and the histogram allow.
+        for k in np.argsort(-counts, kind="stable"):
+            lengths, times = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
+            n = min(max(1, int(wanted[k])), int((left[lengths] // times).min()), budget - placed)
+            if n > 0:
+                left[lengths] -= n * times
+                plan.append((tuple(int(v) for v in patterns[k] if v), n))
+                placed += n
+        if not placed:
+            break
+    return plan
+
+
 def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence in order, how many such sequences). ``histogram[n]`` counts the pieces of length n."""
     left = histogram.astype(np.int64).copy()
@@ -87,17 +116,7 @@ def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    patterns = enumerate_patterns(np.flatnonzero(left), capacity)
-    counts = np.floor(fit(patterns, left.astype(float)) + 1e-9).astype(np.int64)
-    for k in np.argsort(-counts, kind="stable"):
-        if counts[k] < 1:
-            break
-        lengths, times = np.unique(patterns[k][patterns[k] > 0], return_counts=True)
-        n = min(int(counts[k]), int((left[lengths] // times).min()))
-        if n > 0:
-            left[lengths] -= n * times
-            plan.append((tuple(int(v) for v in patterns[k] if v), n))
-    return plan + best_fit(left, capacity)
+    return plan + fit_patterns(left, capacity) + best_fit(left, capacity)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
