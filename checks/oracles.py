@@ -631,6 +631,10 @@ ORACLES["build_chunk_index"] = f"""WITH {base()}, {CHUNKED}
 SELECT repo_id, file_path || ':' || start_line || '-' || end_line || ':' || (row_number() OVER (PARTITION BY repo_id ORDER BY file_path, start_line) - 1) AS chunk_id,
   file_path, start_line, end_line FROM chunks"""
 
+ORACLES["updated_chunk_index"] = f"""WITH {base()}, {CHUNKED}
+SELECT repo_id, file_path || ':' || start_line || '-' || end_line || ':' || (row_number() OVER (PARTITION BY repo_id ORDER BY file_path, start_line) - 1) AS chunk_id,
+  file_path, start_line, end_line, md5(content) AS digest, true AS vector_kept FROM chunks"""
+
 NEAREST = f"""
 c AS ({v.duck_view(v.CHUNKS)}), qs AS ({v.duck_view(v.QUESTIONS)}),
 near AS (SELECT qs.question_id, qs.repo_id, c.* EXCLUDE (repo_id, embedding),

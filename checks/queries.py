@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import views as v
 from corpuslens.functions import naming
 from corpuslens.functions.text import safe_rel_path
-from corpuslens.operators import chunks as ch
+from corpuslens.operators import chunk_store as cs, chunks as ch
 from corpuslens.operators import css, dependencies as deps, evidence, files as fl, findings as fd
 from corpuslens.operators import issues as iss, patches as pt, progress as pg, reports as rp
 from corpuslens.operators import retrieval as rt, rules as rl, scores as sc, tests_plan as tp, vector_index as vi
@@ -595,6 +595,20 @@ def build_chunk_index(spark, sf):
     return ch.build_chunk_index(_files(spark, sf)).select("repo_id", "chunk_id", "file_path", "start_line", "end_line")
 
 
+@query
+def updated_chunk_index(spark, sf):
+    """An index of earlier versions of the files, their vectors, and an update to the files as they are: chunks whose content
+    stayed keep the vector, which here is their length."""
+    files, place = _files(spark, sf), scratch_path(spark, "chunk-index")
+    earlier = F.when(F.col("path").endswith(".py"), F.concat(F.lit("# earlier\n"), "content", F.lit("\n# earlier"))).otherwise(F.col("content"))
+    cs.update_chunk_index(ch.chunk_files(files.withColumn("content", earlier)), place, buckets=32)
+    cs.set_vectors(cs.without_vectors(spark, place).withColumn("embedding", F.array(F.char_length("content").cast("float"))), place)
+    cs.update_chunk_index(ch.chunk_files(files), place, buckets=32)
+    rows = cs.read_chunk_index(spark, place)
+    kept = F.coalesce(F.col("embedding")[0] == F.char_length("content"), F.col("file_path").endswith(".py")).alias("vector_kept")
+    return rows.select("repo_id", "chunk_id", "file_path", "start_line", "end_line", F.md5(F.encode("content", "utf-8")).alias("digest"), kept)
+
+
 @query
 def retrieve_chunks(spark, sf):
     found = rt.retrieve_chunks(v.spark_view(spark, sf, v.QUESTIONS), v.spark_view(spark, sf, v.CHUNKS))
