@@ -6,6 +6,9 @@ a * (100 - percent) // percent shingles in all (``slack``; a // 9 at 90). Shingl
 groups than that number for a document's size class, so linked documents agree fully in at least one group: its
 count is the same, and so is the sum of its shingles. The index holds every document under (group, count, sum).
 
+0. Entries travel packed: those of a run of texts and of one range of entries are one row of sorted, compressed differences.
+   A task takes a range, finds the entries that two different sets share, and gives only those on; it holds distinct
+   entries, not the documents behind one.
 1. Equal sets become one representative, so copies cost nothing further.
 2. Under each index entry, every document is compared with the entry's smallest one: a star, never all pairs. The
    overlap is bounded by the sum of coordinate minima of two group-count vectors before texts are compared.
@@ -16,7 +19,8 @@ count is the same, and so is the sum of its shingles. The index holds every docu
    texts.
 
 Count vectors have a coordinate for about every four shingles, in powers of two, so that differences seldom cancel
-within one; vectors of different length are folded to the shorter one.
+within one; vectors of different length are folded to the shorter one. Pairs meet with vectors folded to a quarter first,
+a weaker bound that rejects nearly all of them; only what is left meets with whole vectors, and then with whole texts.
 
 An R-tree over the whole corpus could not do this alone: at this threshold, boxes of unrelated texts of one size
 overlap in every coordinate, so nearly all page pairs would survive. The equal group is what routes to a page.
@@ -27,11 +31,13 @@ share a key count as linked. Repeated rows are equal sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -43,6 +49,8 @@ from corpuslens.llm.components import components
 N, PERCENT = 3, 90
 #: Shingles for each coordinate of a count vector, and the fewest coordinates.
 PER_COORDINATE, LEAST_COORDINATES = 4, 64
+#: Coordinates of a whole vector that one of the vector for the first test takes together.
+FOLDED = 4
 #: A size class spans the largest ratio of linked sets' sizes times this; a document also stands in the class below if
 #: partners may be there. The spare keeps partners out of the class below that one.
 CLASS_SPARE = 1.08
@@ -54,6 +62,11 @@ BROADCAST_IDS = 500_000
 BLOCK = 2048
 PAGE = 16
 
+#: Entries of a row that the number of ranges is planned with, entries of one range, and the fewest ranges (as powers of 2).
+ENTRIES_PER_ROW, RANGE_ENTRIES, LEAST_RANGES = 256, 4 << 20, 6
+#: Entries that a task merges at a time.
+MERGED = 1 << 20
+
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -162,29 +175,140 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
     return vector if len(vector) == size else vector.reshape(-1, size).sum(axis=0, dtype=vector.dtype)
 
 
-def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: id, n (set size), two hashes of the set, count vector, index entries. Written once."""
+def packed(keys: list[np.ndarray], sets: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """The entries of some sets, by range: (range, packed). ``ranges`` is the number of leading bits of an entry that tell
+    its range. Sets with the same hash in ``sets`` have the same entries and are packed once."""
+    _, first = np.unique(sets, return_index=True)
+    sets, keys = sets[first], [keys[i] for i in first]
+    entry = np.concatenate(keys).view(np.uint64) if keys else np.zeros(0, np.uint64)
+    code = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(entry)
+    entry, code = entry[order], code[order]
+    of = (entry >> np.uint64(64 - ranges)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(of) != 0)), len(of)) if len(of) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1], edges[1:]):
+        used, codes = np.unique(code[i:j], return_inverse=True)
+        steps = np.diff(entry[i:j], prepend=np.uint64(int(of[i]) << (64 - ranges)))
+        # Bytes of the same place lie together: those of large places are all zero.
+        planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+        kind = "<u2" if len(used) < 1 << 16 else "<u4"
+        body = sets[used].astype("<u8").tobytes() + codes.astype(kind).tobytes() + planes
+        yield int(of[i]), zstandard.compress(np.array([j - i, len(used)], "<u4").tobytes() + body, 1)
+
+
+def unpacked(of: int, data: bytes, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted entries and the hash of the set behind each."""
+    raw = zstandard.decompress(data)
+    n, used = np.frombuffer(raw, "<u4", 2).tolist()
+    kind = np.dtype("<u2" if used < 1 << 16 else "<u4")
+    sets = np.frombuffer(raw, "<u8", used, 8)
+    codes = np.frombuffer(raw, kind, n, 8 + 8 * used)
+    planes = np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * used + n * kind.itemsize)
+    steps = np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(of << (64 - ranges)), sets[codes]
+
+
+def shared_entries(parts: list[bytes], of: int, ranges: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entry, set) of the entries of one range that different sets stand under. Distinct entries are held, each with its
+    first set; the rows are read twice, so that an entry of very many sets takes no more memory than any other."""
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
+        for part in parts:
+            held.append(unpacked(of, part, ranges))
+            size += len(held[-1][0])
+            if size >= MERGED:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
+        if held:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+
+    entry, first, several = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    for more, sets in chunks():
+        entry, first, several = np.concatenate([entry, more]), np.concatenate([first, sets]), np.append(several, np.zeros(len(more), bool))
+        order = np.argsort(entry, kind="stable")
+        entry, first, several = entry[order], first[order], several[order]
+        starts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+        other = first != np.repeat(first[starts], np.diff(np.append(starts, len(entry))))
+        entry, first, several = entry[starts], first[starts], np.logical_or.reduceat(several | other, starts)
+    wanted = entry[several]
+    if len(wanted):
+        for more, sets in chunks():
+            at = np.minimum(np.searchsorted(wanted, more), len(wanted) - 1)
+            kept = wanted[at] == more
+            yield more[kept], sets[kept]
+
+
+def stored(vector: np.ndarray) -> bytes:
+    """Counts in one byte each if all fit, else in four; the first byte tells."""
+    small = not len(vector) or int(vector.max()) < 256
+    return (b"\x01" if small else b"\x04") + vector.astype(np.uint8 if small else "<u4").tobytes()
+
+
+def loaded(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[0] == 1 else "<u4", offset=1).astype(np.uint32)
+
+
+def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: int = PERCENT, ranges: int = LEAST_RANGES) -> DataFrame:
+    """Written once, two kinds of rows. Per row of ``docs``: id, n (set size), two hashes of the set, one of both, count
+    vector. And the packed index entries of the rows with a key: grp, data."""
 
     least = least_size(percent)
+    kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "s": pa.int64(), "v": pa.binary(), "c": pa.binary(), "grp": pa.int64(), "data": pa.binary()}
+
+    def batch(size: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], names=list(kinds))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in batches:
             at = 0
-            for slab in slabs(batch.column(1), 1 << 20):
+            for slab in slabs(rows.column(1), 1 << 20):
+                ids = rows.column(0).slice(at, len(slab))
                 sets = list(shingles(slab, words))
-                one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                two = np.array([mix(s ^ _POWER).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                keys = [entries(s, percent) if len(s) >= least else np.zeros(0, np.int64) for s in sets]
-                ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, len(slab)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
-                    pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
-                ], names=["id", "n", "s1", "s2", "v", "entries"])
+                one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                two = np.array([mix(s ^ _POWER).sum(dtype=np.uint64) for s in sets], np.uint64)
+                both = mix(one + two * _POWER + np.array([len(s) for s in sets], np.uint64))
+                whole = [count_vector(s) for s in sets]
+                yield batch(len(slab), {
+                    "id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)),
+                    "s": pa.array(both.view(np.int64)), "v": pa.array([stored(v) for v in whole], pa.binary()),
+                    "c": pa.array([stored(fold(v, max(1, len(v) // FOLDED))) for v in whole], pa.binary()),
+                })
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                of = [k for k, s in enumerate(sets) if known[k] and len(s) >= least]
+                found = list(packed([entries(sets[k], percent) for k in of], both[of], ranges))
+                if found:
+                    yield batch(len(found), {"grp": pa.array([f[0] for f in found], pa.int64()), "data": pa.array([f[1] for f in found], pa.binary())})
                 at += len(slab)
 
     rows = docs.select(F.col(key).cast("bigint"), F.col(text))
-    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, v binary, entries array<bigint>"), "signatures")
+    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, s bigint, v binary, c binary, grp bigint, data binary"), "signatures")
+
+
+def index_members(signed: DataFrame, classes: DataFrame, ranges: int) -> DataFrame:
+    """(entry, id, b) of entries that two representatives or more stand under; b is the smallest of them."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parts = None, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for entry, sets in shared_entries(parts, of, ranges) if parts else ():
+                yield pa.RecordBatch.from_arrays([pa.array(entry.view(np.int64)), pa.array(sets.astype(np.uint64).view(np.int64))], names=["entry", "s"])
+
+        for some in batches:
+            for group, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                if group != of:
+                    yield from rows()
+                    of, parts = group, []
+                parts.append(data)
+        yield from rows()
+
+    dealt = signed.where("data IS NOT NULL").select("grp", "data").repartition("grp").sortWithinPartitions("grp")
+    found = dealt.mapInArrow(share, "entry bigint, s bigint")
+    # A set's hash tells its representative; two sets of one hash would only make more candidates.
+    members = save(found.join(classes.select("s", F.col("rep").alias("id")), "s").select("entry", "id").distinct(), "members")
+    first = members.groupBy("entry").agg(F.min("id").alias("b"))
+    return members.join(first, "entry")
 
 
 def _may_link(percent: int) -> Callable:
@@ -194,7 +318,7 @@ def _may_link(percent: int) -> Callable:
     def may_link(va: pa.Array, vb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         out = []
         for x, y, m in zip(va.to_pylist(), vb.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist()):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            x, y = loaded(x), loaded(y)
             size = min(len(x), len(y))
             out.append((100 + percent) * int(np.minimum(fold(x, size), fold(y, size)).sum()) >= percent * m)
         return pa.array(out, pa.bool_())
@@ -203,11 +327,14 @@ def _may_link(percent: int) -> Callable:
 
 
 def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose count vectors allow a link."""
-    side = nodes.select("id", "n", "v")
-    left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
-    right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").where(_may_link(percent)("va", "vb", "na", "nb")).select("a", "b").distinct()
+    """Pairs (a, b) whose count vectors allow a link: folded ones first, whole ones for what is left."""
+    for vector in ("c", "v"):
+        side = nodes.select("id", "n", vector)
+        left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(vector).alias("va"))
+        right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(vector).alias("vb"))
+        pairs = pairs.join(left, "a").join(right, "b").where(_may_link(percent)("va", "vb", "na", "nb")).select("a", "b").distinct()
+        pairs = save(pairs, f"bound-{vector}") if vector == "c" else pairs
+    return pairs
 
 
 def _linked(words: int, percent: int) -> Callable:
@@ -309,7 +436,7 @@ def _join_groups(percent: int) -> Callable:
         for group in _grouped(batches, 3):
             i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
             own, ids, c, n = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
-            vectors = [np.frombuffer(x, "<u4") for x in group.column(7).to_pylist()]
+            vectors = [loaded(x) for x in group.column(7).to_pylist()]
             size = min(map(len, vectors))
             side = None if i == j else (own == j).astype(np.int8)
             found = rtree_pairs(n, np.stack([fold(x, size) for x in vectors]), c, side, percent)
@@ -320,13 +447,13 @@ def _join_groups(percent: int) -> Callable:
 
 
 def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that share an index entry, lie in different components and pass the bound."""
+    """Pairs that share an index entry, lie in different components and pass the bound of their folded vectors."""
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    placed = save(placed, "placed")
+    placed = save(placed, "entries")
     sets = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     mixed = placed.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m"), *sets).where("x <> y")
     mixed = save(mixed.groupBy("m", "h0", "h1").agg(F.min("entry").alias("entry")).select("entry", "m"), "mixed")
-    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", "v"), "id")
+    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", F.col("c").alias("v")), "id")
     # Blocks of an entry: one block is joined with itself, more are dealt out as all pairs of blocks.
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -339,21 +466,21 @@ def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row: ``key``, n_shingles, component_id (smallest key reachable by links, its own without links)."""
-    signed = signatures(docs, key, text, words, percent)
+    ranges = max(LEAST_RANGES, math.ceil(math.log2(max(1, docs.count() * ENTRIES_PER_ROW / RANGE_ENTRIES))))
+    everything = signatures(docs, key, text, words, percent, ranges)
+    signed = everything.where("data IS NULL")
     linkable = signed.where("id IS NOT NULL AND n > 0")
-    classes = save(linkable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    classes = save(linkable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("s").alias("s")), "classes")
     nodes = save(
         linkable.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi")
-        .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "v", "entries"), "nodes",
+        .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "v", "c"), "nodes",
     )
-    indexed = nodes.select("id", F.explode("entries").alias("entry"))
-    first = indexed.groupBy("entry").agg(F.min("id").alias("b"), F.max("id").alias("_last")).where("b <> _last").drop("_last")
-    members = save(indexed.join(first, "entry"), "members")  # of entries with two documents or more
+    members = save(index_members(everything, classes, ranges), "index")
     star = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     tested = save(within_bound(star, nodes, percent), "star")
     links = save(verify(tested, docs, key, text, words, percent), "links")
 
-    placed = signed.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+    placed = signed.select("id", "n", "s1", "s2").join(classes.drop("s"), ["n", "s1", "s2"], "left")
     placed = save(placed.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))).select("id", "n", "rep"), "placed")
     # Rows of one key with different sets: their representatives are linked to the smallest one.
     repeated = placed.where("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("_x")).where("b <> _x").select("id", "b")
@@ -362,7 +489,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = links.unionByName(same_key)
     roots = components(links)
     more = hidden_pairs(members.select("entry", "id"), roots, nodes, percent).join(tested, ["a", "b"], "left_anti")
-    more = save(more, "hidden")
+    more = save(within_bound(save(more, "hidden"), nodes, percent), "hidden-bound")
     if not more.isEmpty():
         roots = components(links.unionByName(verify(more, docs, key, text, words, percent)))
     final = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -211,3 +211,39 @@ def test_near_copies_at_five_words_and_four_fifths(spark):
     assert len(set(brute_force(rows).values())) == 6
     assert sorted(r.doc_id for r in jj.keep_first_of_groups(docs, words=5, percent=80).collect()) == [0, 2, 4, 5]
     assert jj.keep_first_of_groups(docs).count() == 6
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 10])
+def test_packed_entries_come_back(ranges):
+    rng = np.random.default_rng(2)
+    keys = [rng.integers(-(1 << 63), (1 << 63) - 1, size=int(n)) for n in rng.integers(0, 60, 40)]
+    sets = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    keys[5], sets[5] = keys[4], sets[4]
+    got = Counter()
+    for of, data in jj.packed(keys, sets, ranges):
+        entry, owner = jj.unpacked(of, data, ranges)
+        assert (np.diff(entry.astype(object)) >= 0).all() and {int(e) >> (64 - ranges) for e in entry.tolist()} == {of}
+        got.update(zip(entry.tolist(), owner.tolist()))
+    want = Counter()
+    for k, (key, owner) in enumerate(zip(keys, sets.tolist())):
+        if k != 5:
+            want.update((e % (1 << 64), owner) for e in key.tolist())
+    assert got == want
+    assert list(jj.packed([], sets[:0], ranges)) == []
+
+
+def test_only_entries_of_different_sets_are_shared(monkeypatch):
+    monkeypatch.setattr(jj, "MERGED", 7)
+    rng = np.random.default_rng(3)
+    runs = []
+    for _ in range(12):
+        sets = rng.integers(0, 9, 6).astype(np.uint64)
+        runs.append(([np.unique((int(s) * 31 + np.arange(8) * (1 + int(s) % 3)) % 90).astype(np.int64) << 40 for s in sets], sets))
+    parts = [data for keys, sets in runs for _, data in jj.packed(keys, sets, 1)]
+    holders = {}
+    for keys, sets in runs:
+        for key, owner in zip(keys, sets.tolist()):
+            for e in key.tolist():
+                holders.setdefault(e, set()).add(owner)
+    got = {(int(e), int(s)) for entry, sets in jj.shared_entries(parts, 0, 1) for e, s in zip(entry, sets)}
+    assert got == {(e, s) for e, owners in holders.items() if len(owners) > 1 for s in owners}
