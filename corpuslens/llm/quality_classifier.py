@@ -32,8 +32,8 @@ EPOCHS = 4
 STEP = 0.5
 #: The sample that is learned from: at most so many labelled rows, of which the whole texts are read.
 SAMPLE_ROWS = 3000
-#: Bytes of text whose features are held at a time.
-PIECE_BYTES = 1 << 20
+#: Bytes of text whose features are held at a time: some 100 bytes of arrays for each, in scoring and in learning.
+PIECE_BYTES, LEARN_BYTES = 1 << 19, 1 << 18
 BLANKS = b" \t\n\x0b\x0c\r"
 THRESHOLD = 0.3
 PRIME, MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -99,7 +99,7 @@ def features(raw: np.ndarray, bounds: np.ndarray, rows: np.ndarray, last: Last =
     return kinds, last
 
 
-def merged(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def merged(texts: pa.Array, piece_bytes: int = LEARN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct features and their weights: shares of their kind, each kind with the same share. The
     features of a long text are merged as its pieces pass."""
     cells, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
