@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import mixing as mx
 from corpuslens.llm import sharding as sh
+from corpuslens.llm.common import words
 
 
 def check_shards(got, shards):
@@ -149,3 +151,41 @@ def test_odd_mixture(odd, no_rows):
     assert got.columns == [*odd.columns, "__mix"]
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in odd.collect()}
     assert mx.mix_sources(no_rows).collect() == []
+
+
+@pytest.mark.parametrize("block_tokens", [500, 1 << 18])
+def test_mixture_against_replayed_passes(spark, documents, block_tokens):
+    """Whole passes and the partial one, replayed block by block and row by row in plain Python."""
+    seed, repeats = mx.SEED, 2.7
+    got = mx.mix_sources(documents, max_repeats=repeats, block_tokens=block_tokens).select("doc_id", "__mix.number").collect()
+    name, key = mx.source_key(F.col("source")), F.col("doc_id").cast("string")
+    n = (F.size(words(F.col("text"))) + 1).cast("bigint")
+    rows = documents.select(name.alias("_s"), key.alias("_k"), n.alias("_n"))
+    plan = mx.plan_mixture(rows, repeats, block_tokens=block_tokens)
+    block = mx.block_of(F.col("_k"), F.col("blocks"), seed)
+    keyed = rows.join(plan, "_s").select(
+        "_s", "_k", "_n", "passes", "rest", mx.block_key(F.col("passes"), F.col("_s"), block, seed).alias("h"), mx.row_key(F.col("passes"), F.col("_k"), seed).alias("r"))
+    sources = defaultdict(list)
+    for row in keyed.collect():
+        sources[row["_s"]].append(row)
+    want = Counter()
+    for held in sources.values():
+        for row in held:
+            want.update((int(row["_k"]), number) for number in range(row["passes"]))
+        left, blocks = held[0]["rest"], defaultdict(list)
+        for row in held:
+            blocks[row["h"]].append(row)
+        for h in sorted(blocks):
+            size = sum(row["_n"] for row in blocks[h])
+            if size <= left:
+                want.update((int(row["_k"]), row["passes"]) for row in blocks[h])
+                left -= size
+                continue
+            for row in sorted(blocks[h], key=lambda row: row["r"]):
+                if row["_n"] > left:
+                    break
+                want[int(row["_k"]), row["passes"]] += 1
+                left -= row["_n"]
+            break
+    assert Counter((r.doc_id, r.number) for r in got) == want
+    assert len(sources) > 3 and any(number > 0 for _, number in want)
