@@ -424,7 +424,7 @@ ORACLES["ingest_npm_audit"] = report_finding(
     "'security'", "'package.json'", "NULL", "JavaScript/TypeScript", "'Published details help an attacker.'",
 )
 ORACLES["gated_reports"] = f"""WITH {base()}, present AS (
-  SELECT DISTINCT repo_id, language FROM lang WHERE starts_with(path, 'src/'))
+  SELECT DISTINCT repo_id || '-' || regexp_extract(path, '/d(\\d+)/', 1) AS repo_id, language FROM lang)
 SELECT repo_id, report_id, tool FROM ({v.duck_view(q.SOURCE_REPORTS)}) r WHERE EXISTS (
   SELECT 1 FROM present p WHERE p.repo_id = r.repo_id AND CASE WHEN r.tool IN ('bandit', 'ruff', 'radon') THEN p.language = 'Python'
     ELSE p.language IN ({in_list(cat.SCRIPT_LANGUAGES)}) END)"""

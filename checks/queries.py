@@ -251,13 +251,14 @@ def _ingest(name: str):
 for _name in ("ingest_bandit", "ingest_ruff", "ingest_radon", "ingest_eslint", "ingest_npm_audit"):
     REGISTRY[_name] = _ingest(_name)
 
-SOURCE_REPORTS = f"SELECT split_part(repo_id, '-', 1) AS repo_id, repo_id AS report_id, tool, report FROM ({v.TOOL_REPORTS}) t"
+SOURCE_REPORTS = f"SELECT repo_id, repo_id AS report_id, tool, report FROM ({v.TOOL_REPORTS}) t"
 
 
 @query
 def gated_reports(spark, sf):
     reports = v.spark_view(spark, sf, SOURCE_REPORTS)
-    code = _files(spark, sf).where(F.col("path").startswith("src/"))
+    # Every document's files are a repository of their own here, so that some have code of a report's language and some not.
+    code = _files(spark, sf).withColumn("repo_id", F.concat("repo_id", F.lit("-"), F.regexp_extract("path", r"/d(\d+)/", 1)))
     return tr.gate_by_language(reports, code).select("repo_id", "report_id", "tool")
 
 
