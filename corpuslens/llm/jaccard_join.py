@@ -19,7 +19,7 @@ count is the same, and so is the sum of its shingles. The index holds every docu
    texts.
 
 Count vectors have a coordinate for about every four shingles, in powers of two, so that differences seldom cancel
-within one; vectors of different length are folded to the shorter one. Pairs meet with vectors folded to a quarter first,
+within one; vectors of different length are folded to the shorter one. A star's pairs meet with vectors folded to a quarter first,
 a weaker bound that rejects nearly all of them; only what is left meets with whole vectors, and then with whole texts.
 
 An R-tree over the whole corpus could not do this alone: at this threshold, boxes of unrelated texts of one size
@@ -447,13 +447,13 @@ def _join_groups(percent: int) -> Callable:
 
 
 def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that share an index entry, lie in different components and pass the bound of their folded vectors."""
+    """Pairs that share an index entry, lie in different components and pass the bound."""
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
     placed = save(placed, "entries")
     sets = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     mixed = placed.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m"), *sets).where("x <> y")
     mixed = save(mixed.groupBy("m", "h0", "h1").agg(F.min("entry").alias("entry")).select("entry", "m"), "mixed")
-    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", F.col("c").alias("v")), "id")
+    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", "v"), "id")
     # Blocks of an entry: one block is joined with itself, more are dealt out as all pairs of blocks.
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
@@ -489,7 +489,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = links.unionByName(same_key)
     roots = components(links)
     more = hidden_pairs(members.select("entry", "id"), roots, nodes, percent).join(tested, ["a", "b"], "left_anti")
-    more = save(within_bound(save(more, "hidden"), nodes, percent), "hidden-bound")
+    more = save(more, "hidden")
     if not more.isEmpty():
         roots = components(links.unionByName(verify(more, docs, key, text, words, percent)))
     final = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
