@@ -15,12 +15,15 @@ count is the same, and so is the sum of its shingles. The index holds every docu
 3. Links found so far give components. Only entries whose documents still lie in several components can hide
    another link; of entries with the same documents one is enough. There an R-tree over the count vectors (packed
    pages with bounding boxes) is joined with itself: page pairs are skipped when the summed minima of their upper
-   corners are too small, or when all their points already share a component. The survivors are verified on whole
-   texts.
+   corners are too small, or when all their points already share a component. Pairs of points meet with odd sketches.
+   Of what is left an entry gives a forest over its components, the likest pairs first, so its rows follow its
+   documents and not their pairs; they are verified on whole texts. Entries that had more pairs are searched once
+   more, in full, with the components that the forest's links gave.
 
-Count vectors have a coordinate for about every four shingles, in powers of two, so that differences seldom cancel
-within one; vectors of different length are folded to the shorter one. A star's pairs meet with vectors folded to a quarter first,
-a weaker bound that rejects nearly all of them; only what is left meets with whole vectors, and then with whole texts.
+Count vectors have a coordinate for about every sixteen shingles, in powers of two; vectors of different length are
+folded to the shorter one. They reject nearly all pairs. An odd sketch tells for each of two slots or more a shingle whether
+an odd number of shingles fall there: slots in which two sketches differ are at most the shingles in which the sets
+differ, and seldom many less. Only what passes both meets with whole texts.
 
 An R-tree over the whole corpus could not do this alone: at this threshold, boxes of unrelated texts of one size
 overlap in every coordinate, so nearly all page pairs would survive. The equal group is what routes to a page.
@@ -48,9 +51,9 @@ from corpuslens.llm.components import components
 #: Words of a shingle, and the least similarity of linked sets in hundredths.
 N, PERCENT = 3, 90
 #: Shingles for each coordinate of a count vector, and the fewest coordinates.
-PER_COORDINATE, LEAST_COORDINATES = 4, 64
-#: Coordinates of a whole vector that one of the vector for the first test takes together.
-FOLDED = 4
+PER_COORDINATE, LEAST_COORDINATES = 16, 16
+#: Slots of an odd sketch for each shingle, and the fewest slots.
+PER_SHINGLE, LEAST_SLOTS = 2, 1024
 #: A size class spans the largest ratio of linked sets' sizes times this; a document also stands in the class below if
 #: partners may be there. The spare keeps partners out of the class below that one.
 CLASS_SPARE = 1.08
@@ -175,6 +178,20 @@ def fold(vector: np.ndarray, size: int) -> np.ndarray:
     return vector if len(vector) == size else vector.reshape(-1, size).sum(axis=0, dtype=vector.dtype)
 
 
+def odd_sketch(grams: np.ndarray) -> np.ndarray:
+    """A bit for each slot, packed: whether an odd number of shingles fall there. The number of slots is a power of two that
+    follows the set's size."""
+    size = LEAST_SLOTS
+    while size < PER_SHINGLE * len(grams):
+        size *= 2
+    slots = ((grams >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=size) & 1).astype(np.uint8))
+
+
+def fold_sketch(sketch: np.ndarray, size: int) -> np.ndarray:
+    return sketch if len(sketch) == size else np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
 def packed(keys: list[np.ndarray], sets: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """The entries of some sets, by range: (range, packed). ``ranges`` is the number of leading bits of an entry that tell
     its range. Sets with the same hash in ``sets`` have the same entries and are packed once."""
@@ -251,10 +268,10 @@ def loaded(data: bytes) -> np.ndarray:
 
 def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: int = PERCENT, ranges: int = LEAST_RANGES) -> DataFrame:
     """Written once, two kinds of rows. Per row of ``docs``: id, n (set size), two hashes of the set, one of both, count
-    vector. And the packed index entries of the rows with a key: grp, data."""
+    vector, odd sketch. And the packed index entries of the rows with a key: grp, data."""
 
     least = least_size(percent)
-    kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "s": pa.int64(), "v": pa.binary(), "c": pa.binary(), "grp": pa.int64(), "data": pa.binary()}
+    kinds = {"id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "s": pa.int64(), "v": pa.binary(), "o": pa.binary(), "grp": pa.int64(), "data": pa.binary()}
 
     def batch(size: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], names=list(kinds))
@@ -268,11 +285,10 @@ def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: in
                 one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 two = np.array([mix(s ^ _POWER).sum(dtype=np.uint64) for s in sets], np.uint64)
                 both = mix(one + two * _POWER + np.array([len(s) for s in sets], np.uint64))
-                whole = [count_vector(s) for s in sets]
                 yield batch(len(slab), {
                     "id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)),
-                    "s": pa.array(both.view(np.int64)), "v": pa.array([stored(v) for v in whole], pa.binary()),
-                    "c": pa.array([stored(fold(v, max(1, len(v) // FOLDED))) for v in whole], pa.binary()),
+                    "s": pa.array(both.view(np.int64)), "v": pa.array([stored(count_vector(s)) for s in sets], pa.binary()),
+                    "o": pa.array([odd_sketch(s).tobytes() for s in sets], pa.binary()),
                 })
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 of = [k for k, s in enumerate(sets) if known[k] and len(s) >= least]
@@ -282,7 +298,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: in
                 at += len(slab)
 
     rows = docs.select(F.col(key).cast("bigint"), F.col(text))
-    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, s bigint, v binary, c binary, grp bigint, data binary"), "signatures")
+    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, s bigint, v binary, o binary, grp bigint, data binary"), "signatures")
 
 
 def index_members(signed: DataFrame, classes: DataFrame, ranges: int) -> DataFrame:
@@ -326,14 +342,31 @@ def _may_link(percent: int) -> Callable:
     return may_link
 
 
+def _near_enough(percent: int) -> Callable:
+    """Whether slots in which two odd sketches differ, a lower bound of the shingles in which the sets differ, are as few
+    as a link allows."""
+
+    @F.arrow_udf(BooleanType())
+    def near_enough(oa: pa.Array, ob: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        out = []
+        for x, y, m in zip(oa.to_pylist(), ob.to_pylist(), (na.to_numpy() + nb.to_numpy()).tolist()):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(x), len(y))
+            differ = int(np.bitwise_count(fold_sketch(x, size) ^ fold_sketch(y, size)).sum())
+            out.append((100 + percent) * differ <= (100 - percent) * m)
+        return pa.array(out, pa.bool_())
+
+    return near_enough
+
+
 def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose count vectors allow a link: folded ones first, whole ones for what is left."""
-    for vector in ("c", "v"):
+    """Pairs (a, b) whose count vectors and then whose odd sketches allow a link."""
+    for vector, test in (("v", _may_link(percent)), ("o", _near_enough(percent))):
         side = nodes.select("id", "n", vector)
         left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(vector).alias("va"))
         right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(vector).alias("vb"))
-        pairs = pairs.join(left, "a").join(right, "b").where(_may_link(percent)("va", "vb", "na", "nb")).select("a", "b").distinct()
-        pairs = save(pairs, f"bound-{vector}") if vector == "c" else pairs
+        pairs = pairs.join(left, "a").join(right, "b").where(test("va", "vb", "na", "nb")).select("a", "b").distinct()
+        pairs = save(pairs, f"bound-{vector}") if vector == "v" else pairs
     return pairs
 
 
@@ -429,39 +462,76 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield rest
 
 
-def _join_groups(percent: int) -> Callable:
-    """Pairs of each group (entry, i, j) by an R-tree; columns entry, i, j, own, id, c, n, v."""
+def sketched_pairs(pairs: np.ndarray, n: np.ndarray, sketches: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose odd sketches allow a link, and the slots in which each differs."""
+    step = max(1, (1 << 24) // sketches.shape[1])
+    differ = np.concatenate([np.zeros(0, np.int64)] + [
+        np.bitwise_count(sketches[p[:, 0]] ^ sketches[p[:, 1]]).sum(axis=1, dtype=np.int64) for p in (pairs[i : i + step] for i in range(0, len(pairs), step))
+    ])
+    ok = (100 + percent) * differ <= (100 - percent) * (n[pairs[:, 0]] + n[pairs[:, 1]])
+    return pairs[ok], differ[ok]
+
+
+def forest(pairs: np.ndarray, differ: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Of the pairs, a forest over the components, the likest pairs first: fewer pairs than there are components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for i in np.argsort(differ, kind="stable").tolist():
+        x, y = (find(int(component[k])) for k in pairs[i])
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return pairs[kept]
+
+
+def _join_groups(percent: int, whole: bool) -> Callable:
+    """Pairs of each group (entry, i, j) by an R-tree; columns entry, i, j, own, id, c, n, v, o. All of them if ``whole``; else
+    a forest, and one row with the entry and no pair if there were more."""
 
     def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, 3):
-            i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            entry, i, j = (group.column(k)[0].as_py() for k in range(3))
             own, ids, c, n = (group.column(k).to_numpy() for k in (3, 4, 5, 6))
             vectors = [loaded(x) for x in group.column(7).to_pylist()]
             size = min(map(len, vectors))
             side = None if i == j else (own == j).astype(np.int8)
             found = rtree_pairs(n, np.stack([fold(x, size) for x in vectors]), c, side, percent)
-            x, y = ids[found[:, 0]], ids[found[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+            sketches = [np.frombuffer(x, np.uint8) for x in group.column(8).to_pylist()]
+            size = min(map(len, sketches))
+            found, differ = sketched_pairs(found, n, np.stack([fold_sketch(x, size) for x in sketches]), percent)
+            given = found if whole else forest(found, differ, c)
+            x, y = ids[given[:, 0]], ids[given[:, 1]]
+            a, b, more = pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.nulls(len(x), pa.int64())
+            if len(given) < len(found):
+                a, b, more = (pa.concat_arrays([p, pa.array([q], pa.int64())]) for p, q in ((a, None), (b, None), (more, entry)))
+            yield pa.RecordBatch.from_arrays([a, b, more], names=["a", "b", "more"])
 
     return join_groups
 
 
-def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs that share an index entry, lie in different components and pass the bound."""
+def hidden_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int = PERCENT, whole: bool = True) -> DataFrame:
+    """Pairs (a, b) that share an index entry, lie in different components and pass the bounds; without ``whole`` a forest of
+    them for each entry. ``more`` is an entry that had more pairs than its forest; such a row has no pair."""
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
     placed = save(placed, "entries")
     sets = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
     mixed = placed.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m"), *sets).where("x <> y")
     mixed = save(mixed.groupBy("m", "h0", "h1").agg(F.min("entry").alias("entry")).select("entry", "m"), "mixed")
-    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", "v"), "id")
+    open_ = placed.join(mixed, "entry").join(nodes.select("id", "n", "v", "o"), "id")
     # Blocks of an entry: one block is joined with itself, more are dealt out as all pairs of blocks.
     blocks = F.ceil(F.col("m") / BLOCK)
     dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "v")
+    dealt = dealt.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "v", "o")
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    return dealt.mapInArrow(_join_groups(percent), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_join_groups(percent, whole), "a bigint, b bigint, more bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = N, percent: int = PERCENT) -> DataFrame:
@@ -473,7 +543,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = save(linkable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("s").alias("s")), "classes")
     nodes = save(
         linkable.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi")
-        .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "v", "c"), "nodes",
+        .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "v", "o"), "nodes",
     )
     members = save(index_members(everything, classes, ranges), "index")
     star = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
@@ -487,11 +557,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     same_key = placed.join(repeated, "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
 
     links = links.unionByName(same_key)
-    roots = components(links)
-    more = hidden_pairs(members.select("entry", "id"), roots, nodes, percent).join(tested, ["a", "b"], "left_anti")
-    more = save(more, "hidden")
-    if not more.isEmpty():
-        roots = components(links.unionByName(verify(more, docs, key, text, words, percent)))
+    roots, searched = components(links), members.select("entry", "id")
+    for whole in (False, True):
+        hidden = save(hidden_pairs(searched, roots, nodes, percent, whole), "hidden")
+        pairs = save(hidden.where("more IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested")
+        if not pairs.isEmpty():
+            links = save(links.unionByName(verify(pairs, docs, key, text, words, percent)), "links")
+            roots, tested = components(links), tested.unionByName(pairs)
+        left = hidden.where("more IS NOT NULL").select(F.col("more").alias("entry")).distinct()
+        if whole or left.isEmpty():
+            break
+        searched = searched.join(left, "entry", "left_semi")
     final = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return final.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"),

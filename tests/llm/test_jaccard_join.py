@@ -247,3 +247,87 @@ def test_only_entries_of_different_sets_are_shared(monkeypatch):
                 holders.setdefault(e, set()).add(owner)
     got = {(int(e), int(s)) for entry, sets in jj.shared_entries(parts, 0, 1) for e, s in zip(entry, sets)}
     assert got == {(e, s) for e, owners in holders.items() if len(owners) > 1 for s in owners}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_odd_sketches_lose_no_link_and_tell_most_others(percent):
+    rng = np.random.default_rng(percent)
+    passed = 0
+    for size in [30, 146, 400, 700, 1500, 5000]:
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
+        for share in (0.5, 0.9, 1.0, 1.5):
+            # Of the difference that a link allows, so much, in sets of two sizes.
+            drop = int(share * 2 * size * (100 - percent) / (100 + percent) / 2)
+            b = np.unique(np.append(a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)))
+            common = len(np.intersect1d(a, b))
+            linked = 100 * common >= percent * (len(a) + len(b) - common)
+            x, y = jj.odd_sketch(a), jj.odd_sketch(b)
+            size_ = min(len(x), len(y))
+            sketches = np.stack([jj.fold_sketch(x, size_), jj.fold_sketch(y, size_)])
+            found, differ = jj.sketched_pairs(np.array([[0, 1]]), np.array([len(a), len(b)]), sketches, percent)
+            assert len(found) or not linked
+            assert all(differ <= len(a) + len(b) - 2 * common)
+            passed += share == 1.5 and len(found)
+    assert passed == 0
+
+
+def test_sketches_of_different_length_are_folded():
+    a = np.random.default_rng(1).integers(0, 2**63, 600, dtype=np.uint64)
+    long, short = jj.odd_sketch(a), jj.odd_sketch(a[:500])
+    assert len(long) == 2 * len(short)
+    assert np.bitwise_count(jj.fold_sketch(long, len(short)) ^ short).sum() <= 100
+
+
+def group_of(vectors, sketches, sizes, component):
+    rows = len(sizes)
+    kinds = ["entry", "i", "j", "own", "id", "c", "n"]
+    zero = np.zeros(rows, np.int64)
+    columns = [zero + 7, zero, zero, zero, np.arange(rows), component, sizes]
+    arrays = [pa.array(np.asarray(c, np.int64)) for c in columns] + [pa.array([jj.stored(v) for v in vectors]), pa.array([s.tobytes() for s in sketches])]
+    return pa.RecordBatch.from_arrays(arrays, names=[*kinds, "v", "o"])
+
+
+def test_an_entry_gives_rows_by_its_sets_not_by_their_pairs():
+    """Near copies that all may link with each other, and ones that are a little too far apart."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 146, dtype=np.uint64)
+
+    def near(drop):
+        return np.append(base[rng.permutation(146)[drop:]], rng.integers(0, 2**63, drop, dtype=np.uint64))
+
+    for drop, most in ((3, 299), (20, 299)):
+        sets = [near(drop) for _ in range(300)]
+        group = group_of([jj.count_vector(s) for s in sets], [jj.odd_sketch(s) for s in sets], [146] * 300, np.arange(300))
+        rows = pa.Table.from_batches(list(jj._join_groups(80, False)(iter([group])))).to_pylist()
+        pairs = [r for r in rows if r["more"] is None]
+        assert len(pairs) <= most
+        assert [r["more"] for r in rows if r["more"] is not None] == ([7] if drop == 3 else [])
+        every = pa.Table.from_batches(list(jj._join_groups(80, True)(iter([group])))).num_rows
+        assert every == (300 * 299 // 2 if drop == 3 else len(pairs))
+
+
+def test_what_a_forest_leaves_out_is_searched_again(spark):
+    """The likest pairs by sketch are no links here (the sketches are blind), so the forest alone would lose the one link."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(12):
+        own = list(words)
+        for at in rng.permutation(400)[:14]:
+            own[at] = f"x{k}-{at}"
+        texts.append(" ".join(own))
+    texts.append(texts[-1].replace("w200", "y").replace("w7 ", "z "))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def blind(pairs, n, sketches, percent=jj.PERCENT):
+        return pairs, np.zeros(len(pairs), np.int64)
+
+    sets = [set(next(jj.shingles(pa.array([t]))).tolist()) for t in texts]
+    links = [(i, j) for i in range(13) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    assert links == [(12, 11)]
+    real, jj.sketched_pairs = jj.sketched_pairs, blind
+    try:
+        got = {r.doc_id: r.component_id for r in jj.jaccard_components(docs).collect()}
+    finally:
+        jj.sketched_pairs = real
+    assert got == {i: 11 if i == 12 else i for i in range(13)}
