@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -67,8 +65,10 @@ def progress_sessions_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS,
 
 
 STAGE = "analysis_id string, event_id bigint, status string, seconds bigint, kind string"
-PENDING = "event_id bigint, status string, ts timestamp"
-LAST = "event_id bigint, status string, ts timestamp, told boolean"
+#: Times are microseconds, so that no task turns them into objects.
+PENDING = "event_id bigint, status string, at bigint"
+#: The last event, if there is one (``at``), the moment of the timer, and whether events wait.
+LAST = "event_id bigint, status string, at bigint, told boolean, timer bigint, waits boolean"
 
 #: Statuses after which an analysis pushes nothing more.
 ENDED = ("complete", "failed")
@@ -85,76 +85,83 @@ class StageClock(StatefulProcessor):
     """
 
     def __init__(self, ended: tuple[str, ...], quiet_seconds: int, keep_seconds: int):
-        self.ended, self.quiet, self.keep = ended, pd.Timedelta(seconds=quiet_seconds), pd.Timedelta(seconds=keep_seconds)
+        self.ended, self.quiet_seconds, self.quiet, self.keep = ended, quiet_seconds, quiet_seconds * 1_000_000, keep_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", PENDING)
         self.last = handle.getValueState("last", LAST)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        late: list[tuple] = []
         fresh: list[tuple] = []
-        for frame in rows:
-            for event_id, status, ts in zip(frame["event_id"], frame["status"], frame["at"]):
-                event = (None if pd.isna(event_id) else int(event_id), status, ts.to_pydatetime())
-                (late if _passed(ts, mark) else fresh).append(event)
-        told = [(key[0], event_id, status, None, "late") for event_id, status, _ in late]
-        yield self._advance(key, fresh, mark, told)
+        for row in rows:
+            event = (row["event_id"], row["status"], row["at"])
+            if _passed(event[2], mark):
+                yield Row(analysis_id=key[0], event_id=event[0], status=event[1], seconds=None, kind="late")
+            else:
+                fresh.append(event)
+        yield from self._advance(key, fresh, mark)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs(), [])
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key: tuple, fresh: list[tuple], mark: int, out: list[tuple]) -> pd.DataFrame:
-        waiting = sorted([*(tuple(r) for r in self.waiting.get()), *fresh], key=lambda e: (e[2], e[0] if e[0] is not None else -1, e[1] or ""))
-        last = tuple(self.last.get()) if self.last.exists() else None
+    def _advance(self, key: tuple, fresh: list[tuple], mark: int) -> list[Row]:
+        """Each call of state is a message to the JVM: nothing is asked for or put that the last event does not tell."""
+        found = self.last.get()
+        last, timer, waited = (tuple(found[:4]) if found[2] is not None else None, found[4], found[5]) if found is not None else (None, None, False)
+        waiting = [*(tuple(r) for r in self.waiting.get()), *fresh] if waited else fresh
+        waiting.sort(key=lambda e: (e[2], e[0] if e[0] is not None else -1, e[1] or ""))
+        out: list[Row] = []
+
+        def tell(event: tuple, seconds: int, kind: str) -> None:
+            out.append(Row(analysis_id=key[0], event_id=event[0], status=event[1], seconds=seconds, kind=kind))
+
         due = next((i for i, e in enumerate(waiting) if not _passed(e[2], mark)), len(waiting))
         for event in waiting[:due]:
             if last is not None:
                 gap = event[2] - last[2]
                 if gap > self.quiet and last[1] not in self.ended and not last[3]:
-                    out.append((key[0], last[0], last[1], int(self.quiet.total_seconds()), "stalled"))
+                    tell(last, self.quiet_seconds, "stalled")
                 if gap <= (self.quiet if last[1] in self.ended else self.keep):
-                    out.append((key[0], last[0], last[1], int(gap.total_seconds()), "stage"))
+                    tell(last, gap // 1_000_000, "stage")
             last = (*event, False)
         if last is not None:
             done = last[1] in self.ended
             if not done and not last[3] and _passed(last[2] + self.quiet, mark):
-                out.append((key[0], last[0], last[1], int(self.quiet.total_seconds()), "stalled"))
+                tell(last, self.quiet_seconds, "stalled")
                 last = (*last[:3], True)
             end = last[2] + (self.quiet if done else self.keep)
             if _passed(end, mark):
                 last = None
         waiting = waiting[due:]
         moments = [e[2] for e in waiting[:1]]
-        if last is None:
-            self.last.clear()
-        else:
-            self.last.update(last)
+        if last is not None:
             moments.append(end if done or last[3] else last[2] + self.quiet)
-        if waiting:
+        if waiting and (fresh or due):
             self.waiting.put(waiting)
-        else:
+        elif waited and not waiting:
             self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if moments:
-            # The first watermark that has passed the moment.
-            self.handle.registerTimer(max(_millis(min(moments)) + 1, mark + 1))
-        return pd.DataFrame(out, columns=["analysis_id", "event_id", "status", "seconds", "kind"]).astype({"event_id": "Int64", "seconds": "Int64"})
-
-
-def _millis(ts: datetime) -> int:
-    return pd.Timestamp(ts).value // 1_000_000
+        # The first watermark that has passed the moment.
+        moment = max(min(moments) // 1000 + 1, mark + 1) if moments else None
+        if timer != moment:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if moment is not None:
+                self.handle.registerTimer(moment)
+        if moment is None:
+            self.last.clear()
+        else:
+            self.last.update((*(last or (None, None, None, None)), moment, bool(waiting)))
+        return out
 
 
-def _passed(ts: datetime, mark: int) -> bool:
-    """Whether a watermark in milliseconds has passed a time; what is exactly at it may still have company."""
-    return pd.Timestamp(ts).value < mark * 1_000_000
+def _passed(at: int, mark: int) -> bool:
+    """Whether a watermark in milliseconds has passed a time in microseconds; what is exactly at it may still have company."""
+    return at < mark * 1000
 
 
 def stage_events_stream(
@@ -176,9 +183,10 @@ def stage_events_stream(
         conf.set(name, ROCKS_DB)
     # The copy of the time carries no watermark, so that late events reach the processor instead of being dropped.
     rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
-        "analysis_id", "event_id", "status", (F.col("ts") + F.expr("INTERVAL 0 SECONDS")).alias("at")
+        "analysis_id", "event_id", "status", F.unix_micros("ts").alias("at")
     )
-    return rows.groupBy("analysis_id").transformWithStateInPandas(
+    # Rows, not frames: an analysis has few events in a micro-batch, and a frame costs more than they do.
+    return rows.groupBy("analysis_id").transformWithState(
         StageClock(ended, quiet_seconds, keep_seconds), STAGE, outputMode="Append", timeMode="EventTime"
     )
 
