@@ -35,6 +35,8 @@ SAMPLE_PER_LIST, ROUNDS = 64, 8
 PROBES = 32
 #: Chunks of a file of the index.
 FILE_ROWS = 200_000
+#: Chunks of the lists that a question that searches all of them meets at a time; with a last list, mostly within a block of ``retrieve_chunks``.
+CELL_ROWS = 16_000
 OTHER = -1
 
 
@@ -183,15 +185,31 @@ def choose_lists(questions: DataFrame, index: VectorIndex, probes: int | None =
     return chosen.select("question_id", "repo_id", "embedding", F.explode_outer("_near").alias("list")).where("list IS NOT NULL")
 
 
+def gathered_lists(index: VectorIndex, spark: SparkSession, rows: int = CELL_ROWS) -> DataFrame:
+    """(repo_id, list, cell): the lists of a repository gathered in their order, a cell with about ``rows`` chunks."""
+    listed = index.sizes(spark).select("repo_id", F.explode("lists").alias("_l")).select("repo_id", "_l.list", "_l.n")
+    # At most ``MOST_LISTS`` rows for a repository.
+    ahead = Window.partitionBy("repo_id").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    return listed.select("repo_id", "list", F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / F.lit(rows)).cast("int").alias("cell"))
+
+
 def search_vectors(questions: DataFrame, index: VectorIndex, k: int = 6, probes: int | None = PROBES) -> DataFrame:
     """The k nearest chunks (L2) of every question among the probed lists of its repository: question_id, repo_id, chunk_id,
     distance, rank. ``probes=None`` searches all lists and is exact."""
     spark = questions.sparkSession
-    chosen = choose_lists(questions, index, probes)
     chunks = index.chunks(spark).select("repo_id", "chunk_id", "embedding", "list")
-    few = [r[0] for r in chosen.select("list").distinct().collect()]  # at most MOST_LISTS + 1 numbers
-    if few:
-        chunks = chunks.where(F.col("list").isin(few))
+    if probes is None:
+        # A question that searches all lists meets them gathered, once for each cell and not once for each list.
+        cells = gathered_lists(index, spark)
+        asked = questions.where(searchable()).select("question_id", "repo_id", "embedding")
+        asked = join_small(asked, cells.groupBy("repo_id").agg(F.collect_set("cell").alias("_cells")), "repo_id", "inner")
+        chosen = asked.select("question_id", "repo_id", "embedding", F.explode("_cells").alias("list"))
+        chunks = join_small(chunks, cells, ["repo_id", "list"], "inner").select("repo_id", "chunk_id", "embedding", F.col("cell").alias("list"))
+    else:
+        chosen = choose_lists(questions, index, probes)
+        few = [r[0] for r in chosen.select("list").distinct().collect()]  # at most MOST_LISTS + 1 numbers
+        if few:
+            chunks = chunks.where(F.col("list").isin(few))
     # Each list of a repository is searched as a repository of its own, in blocks if it is large.
     cell = F.struct("repo_id", "list").alias("repo_id")
     found = retrieve_chunks(chosen.select("question_id", cell, "embedding"), chunks.select(cell, "chunk_id", "embedding"), k)

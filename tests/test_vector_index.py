@@ -102,3 +102,17 @@ def test_centroids_against_plain_rounds():
     vectors, centroids = rng.normal(size=(500, 6)), rng.normal(size=(9, 6))
     want = np.argmin(((vectors[:, None] - centroids) ** 2).sum(axis=2), axis=1)
     assert np.array_equal(vi.assign(vectors, centroids, 64), want) and len(vi.assign(vectors[:0], centroids)) == 0
+
+
+def test_all_lists_are_met_gathered(spark, tmp_path):
+    """A question that searches all lists is one row for each cell of lists, not one for each list."""
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else "b", i, rng.normal(size=8).tolist()) for i in range(600)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    index = vi.build_vector_index(chunks, str(tmp_path / "index"), lists=24)
+    for size, most in ((vi.CELL_ROWS, 1), (100, 5)):
+        cells = vi.gathered_lists(index, spark, size).collect()
+        assert len({(r.repo_id, r.list) for r in cells}) == len(cells) > 24
+        assert all(len({r.cell for r in cells if r.repo_id == repo}) <= most for repo in "ab")
+    questions = spark.createDataFrame([(f"q{i}", "ab"[i % 2], rng.normal(size=8).tolist()) for i in range(20)], QUESTION)
+    assert key(vi.search_vectors(questions, index, probes=None).collect()) == key(retrieve_chunks(questions, chunks).collect())
