@@ -14,6 +14,8 @@ from corpuslens.catalogue import CSS_RULES, SEQ
 from corpuslens.functions.text import count_char, lines_array, strip, unix_newlines
 from corpuslens.operators.files import with_language
 
+#: Bytes of stylesheets whose lines one task sorts.
+BYTES_PER_TASK = 8 << 20
 # Fixed value: a property name before the first colon of a stripped line.
 PROPERTY = r"(?U)^(--[a-zA-Z0-9_-]+|[a-zA-Z-]+)[\s\x1c-\x1f]*:"
 
@@ -76,13 +78,20 @@ def css_line_facts(lines: DataFrame) -> DataFrame:
     )
 
 
+def tasks_for(files: DataFrame) -> int:
+    """Tasks that the lines are dealt to: their number grows with the bytes of the stylesheets, so that a task's memory does not."""
+    sheets = with_language(files).where(F.col("language").isin(*cat.CSS_LANGUAGES))
+    total = sheets.agg(F.sum(F.col("size_bytes").cast("bigint"))).first()[0] or 0
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_PER_TASK))
+
+
 def css_checks(files: DataFrame) -> DataFrame:
     """RC1-RC3 findings. The window partition is one file, which is one row of the input table."""
     per_file = Window.partitionBy("repo_id", "path").orderBy("line_no")
     running = per_file.rowsBetween(Window.unboundedPreceding, 0)
     before = per_file.rowsBetween(Window.unboundedPreceding, -1)
     per_rule = Window.partitionBy("repo_id", "path", "_group", "property").orderBy("line_no")
-    facts = css_line_facts(css_lines(files))
+    facts = css_line_facts(css_lines(files)).repartition(tasks_for(files), "repo_id", "path")
     state = (
         facts.withColumn("_sum", F.sum(F.col("n_open") - F.col("n_close")).over(running))
         .withColumn("_low", F.min("_sum").over(running))

@@ -117,3 +117,15 @@ def test_chunk_golden(make_files):
     files = make_files(("r", "a.py", "import x\n\n# y\n\ndef f():\n  1\n  2\n  3\n"), ("r", "b.py", "a\n" * 130))
     got = {(r.file_path, r.start_line, r.end_line) for r in chunk_files(files).collect()}
     assert got == {("a.py", 5, 8), ("b.py", 1, 60), ("b.py", 61, 120), ("b.py", 121, 130)}
+
+
+def test_stylesheet_tasks_grow_with_the_bytes(spark):
+    from corpuslens.operators import css
+    from corpuslens.schemas import FILES
+
+    rows = [("r", f"{i}.css", 1 << 20, False, "a{\ncolor:red;\ncolor:blue;\n}\n", True) for i in range(400)]
+    files = spark.createDataFrame(rows, FILES)
+    assert css.tasks_for(files) == 50 and css.tasks_for(files.limit(1)) < 50
+    found = css.css_checks(files)
+    assert found.rdd.getNumPartitions() == 50
+    assert found.count() == 400
