@@ -378,3 +378,15 @@ def test_a_request_keeps_the_branch_of_the_one_before(spark):
     got = {r.request_id: (r.action, r.default_branch) for r in upsert_repositories(known, spark.createDataFrame(rows, "request_id string, owner_id string, clone_url string, is_private boolean, default_branch string")).collect()}
     assert [got[str(i)] for i in range(1, 7)] == [("insert", "main"), ("update", "rel"), ("update", "rel"), ("update", "rel"), ("update", "next"), ("update", "next")]
     assert [got[str(i)][1] for i in range(7, 10)] == ["dev", "x", "x"]
+
+
+def test_numbering_exchanges_rows_once_and_broadcasts_by_tasks(spark):
+    """Many groups, more than may be broadcast: no second exchange of the rows, and rows without a group are left out."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 1000 != 7, F.concat(F.lit("g"), F.col("id") % 250_000)).alias("g"), "id", (F.col("id") % 3).alias("w"))
+    numbered = number_within(df, ["g"], ["id"], "n")
+    assert "SortMergeJoin" not in numbered._jdf.queryExecution().toString()
+    got = numbered.join(offsets_within(df.withColumn("w", F.when(F.col("w") > 0, F.col("w"))), ["g"], ["id"], "w", "o").select("id", "o"), "id")
+    first = got.where("id < 250000").agg(F.count("*"), F.max("n"), F.max("o")).first()
+    again = got.where("id >= 250000").agg(F.count("*"), F.min("n"), F.max("n")).first()
+    assert tuple(first) == (249_750, 1, 0) and tuple(again) == (49_950, 2, 2)
+    assert got.where("id >= 250000 AND o <> (id - 250000) % 3").isEmpty()
