@@ -146,3 +146,47 @@ def test_a_restarted_stream_goes_on_where_it_was(spark, tmp_path):
         run.awaitTermination()
     got = sorted((r.kind, r.analysis_id, r.event_id, r.seconds) for r in spark.read.schema(stream.schema).parquet(str(out)).collect())
     assert got == [("stage", "A", 0, 450), ("stage", "A", 4, 50), ("stage", "B", 2, 8700), ("stalled", "A", 1, 3600), ("stalled", "B", 2, 3600)]
+
+
+def test_a_stage_asks_little_of_its_state():
+    """Each call of state or timers is a message to the JVM; a steady analysis needs six at most, and gives rows."""
+    from corpuslens.streaming.progress import StageClock
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("update", "put"):
+                    self.held = given[0]
+                elif name == "clear":
+                    self.held = None
+                elif name in ("registerTimer", "deleteTimer"):
+                    return None
+                return self.held if name == "get" else None
+            return call
+
+    class Handle(State):
+        def getListState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return State()
+
+    class Times:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    clock = StageClock(("complete",), 3600, 7200)
+    clock.init(Handle())
+    given = [Row(event_id=k, status="s", at=k * 60_000_000) for k in (2, 1)]
+    assert list(clock.handleInputRows(("a",), iter(given), Times(0))) == [] and len(calls) <= 6
+    calls.clear()
+    told = list(clock.handleExpiredTimer(("a",), Times(120_001), None))
+    assert [tuple(r) for r in told] == [("a", 1, "s", 60, "stage")] and len(calls) <= 6
+    late = list(clock.handleInputRows(("a",), iter(given[:1]), Times(120_001)))
+    assert [r.kind for r in late] == ["late"]
