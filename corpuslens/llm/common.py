@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +16,41 @@ from corpuslens.session import scratch_path
 SPACES = r"[\x20\x09-\x0D]"
 #: Bytes of text that a Python task turns into arrays at a time; a longer document is one piece of its own.
 SLAB_BYTES = 2 << 20
+#: Bytes of a batch of rows on its way between Spark and a Python task. Spark's own bound, 10000 rows or 64 MB, is held by the
+#: executor and its Python worker at once, for each core, and is kept by their allocators afterwards.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """What runs inside passes rows to Python tasks in batches of about ``size`` bytes; a session with a smaller bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    number = before.rstrip("b")
+    if size is None or (number.isdigit() and 0 < int(number) <= size):
+        yield
+        return
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def save(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Writes a frame below the shared folder and reads it back: it is computed once, its lineage ends there, and
-    a lost executor loses nothing of it.
+    a lost executor loses nothing of it. ``batch_bytes`` bounds the batches that its Python tasks receive.
 
     zstd keeps its buffers only while a file is open. The default codec leaves direct buffers behind for each file,
     which pile up outside the heap over the many small files of iterative jobs.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(df.sparkSession, batch_bytes):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corpuslens.llm.common import save, slabs, utf8
+from corpuslens.llm.common import BATCH_BYTES, save, slabs, utf8
 from corpuslens.llm.components import components
 
 #: Words of a shingle, and the least similarity of linked sets in hundredths.
@@ -298,7 +298,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int = N, percent: in
                 at += len(slab)
 
     rows = docs.select(F.col(key).cast("bigint"), F.col(text))
-    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, s bigint, v binary, o binary, grp bigint, data binary"), "signatures")
+    return save(rows.mapInArrow(sign, "id bigint, n bigint, s1 bigint, s2 bigint, s bigint, v binary, o binary, grp bigint, data binary"), "signatures", BATCH_BYTES)
 
 
 def index_members(signed: DataFrame, classes: DataFrame, ranges: int) -> DataFrame:
@@ -322,7 +322,7 @@ def index_members(signed: DataFrame, classes: DataFrame, ranges: int) -> DataFra
     dealt = signed.where("data IS NOT NULL").select("grp", "data").repartition("grp").sortWithinPartitions("grp")
     found = dealt.mapInArrow(share, "entry bigint, s bigint")
     # A set's hash tells its representative; two sets of one hash would only make more candidates.
-    members = save(found.join(classes.select("s", F.col("rep").alias("id")), "s").select("entry", "id").distinct(), "members")
+    members = save(found.join(classes.select("s", F.col("rep").alias("id")), "s").select("entry", "id").distinct(), "members", BATCH_BYTES)
     first = members.groupBy("entry").agg(F.min("id").alias("b"))
     return members.join(first, "entry")
 
@@ -366,7 +366,7 @@ def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) ->
         left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(vector).alias("va"))
         right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(vector).alias("vb"))
         pairs = pairs.join(left, "a").join(right, "b").where(test("va", "vb", "na", "nb")).select("a", "b").distinct()
-        pairs = save(pairs, f"bound-{vector}") if vector == "v" else pairs
+        pairs = save(pairs, f"bound-{vector}", BATCH_BYTES) if vector == "v" else pairs
     return pairs
 
 
@@ -547,8 +547,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     members = save(index_members(everything, classes, ranges), "index")
     star = members.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    tested = save(within_bound(star, nodes, percent), "star")
-    links = save(verify(tested, docs, key, text, words, percent), "links")
+    tested = save(within_bound(star, nodes, percent), "star", BATCH_BYTES)
+    links = save(verify(tested, docs, key, text, words, percent), "links", BATCH_BYTES)
 
     placed = signed.select("id", "n", "s1", "s2").join(classes.drop("s"), ["n", "s1", "s2"], "left")
     placed = save(placed.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))).select("id", "n", "rep"), "placed")
@@ -559,10 +559,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = links.unionByName(same_key)
     roots, searched = components(links), members.select("entry", "id")
     for whole in (False, True):
-        hidden = save(hidden_pairs(searched, roots, nodes, percent, whole), "hidden")
+        hidden = save(hidden_pairs(searched, roots, nodes, percent, whole), "hidden", BATCH_BYTES)
         pairs = save(hidden.where("more IS NULL").select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested")
         if not pairs.isEmpty():
-            links = save(links.unionByName(verify(pairs, docs, key, text, words, percent)), "links")
+            links = save(links.unionByName(verify(pairs, docs, key, text, words, percent)), "links", BATCH_BYTES)
             roots, tested = components(links), tested.unionByName(pairs)
         left = hidden.where("more IS NOT NULL").select(F.col("more").alias("entry")).distinct()
         if whole or left.isEmpty():

@@ -27,10 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import save, slabs
+from corpuslens.llm.common import BATCH_BYTES, save, slabs
 from corpuslens.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
+#: Distinct pieces of text that a Python worker remembers with their ids: a fourth of the other users', as a
+#: worker that keeps 800000 takes some 100 MB more.
+CACHE_PIECES = 200_000
 #: Bounds the enumeration of patterns and the rounds of the fit; neither depends on the corpus.
 MAX_PATTERNS = 30_000
 ROUNDS = 60
@@ -175,7 +178,7 @@ def cut(docs: DataFrame, key: str, text: str, capacity: int, separator: int, tok
     kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        coder, part, seen = encoder(path, CACHE_PIECES), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             at = 0
             for slab in slabs(batch.column(1)):
@@ -198,7 +201,7 @@ def cut(docs: DataFrame, key: str, text: str, capacity: int, separator: int, tok
 
     kind = docs.select(key).dtypes[0][1]
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, number bigint"
-    return save(docs.select(key, text).mapInArrow(pieces, schema), "pieces")
+    return save(docs.select(key, text).mapInArrow(pieces, schema), "pieces", BATCH_BYTES)
 
 
 def pack_documents(

@@ -60,13 +60,14 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """``encode`` gives the ids of all texts in one array and the number of ids of each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.cache_pieces = cache_pieces
         self.letters = _byte_letters()
 
     def _learn(self, pieces: list[bytes]) -> None:
@@ -85,7 +86,7 @@ class Encoder:
 
     def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
+        if len(self.known) + len(new) > self.cache_pieces:
             self.known, new = {}, pieces
         self._learn(new)
         return [self.known[p] for p in pieces]
@@ -126,11 +127,11 @@ class Encoder:
         return ids, np.diff(before)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder, with its cache, for each Python worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
+    """One encoder, with its cache of so many pieces, for each Python worker process."""
+    if (path, cache_pieces) not in _ENCODERS:
+        _ENCODERS[path, cache_pieces] = Encoder(path, cache_pieces)
+    return _ENCODERS[path, cache_pieces]

@@ -9,8 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuslens.llm import packing, token_files
-from corpuslens.llm.tokens import default_tokenizer, encoder
+from corpuslens.llm import jaccard_join, packing, token_files
+from corpuslens.llm.common import BATCH_BYTES, save
+from corpuslens.llm.tokens import Encoder, default_tokenizer, encoder
 
 
 def plain(text):
@@ -151,3 +152,50 @@ def test_patterns_place_nearly_all_pieces():
     assert sum(n for _, n in whole) <= max(alone, -(-int(lengths.sum()) // 2048) + 1)
     assert packing.plan_packing(np.zeros(2049, int)) == []
     assert packing.fit_patterns(np.bincount([2000, 2001], minlength=2049), 2048) == []
+
+
+def test_batches_of_long_rows_are_bounded_by_bytes(spark):
+    """12 MB in one partition used to be one batch of 3000 rows, held by the executor and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(cast(id % 10 as string), 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    rows = save(docs.mapInArrow(sizes, "n bigint, size bigint"), "sizes", BATCH_BYTES).collect()
+    assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) <= 1.1 * BATCH_BYTES
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "1000000")
+    try:
+        rows = save(docs.mapInArrow(sizes, "n bigint, size bigint"), "sizes", BATCH_BYTES).collect()
+        assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) <= 1_100_000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_python_tasks_on_texts_receive_bounded_batches(spark, monkeypatch):
+    given_, texts = {}, [" ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(199)), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def noted(df, label, batch_bytes=None):
+        given_[label] = batch_bytes
+        return save(df, label, batch_bytes)
+
+    monkeypatch.setattr(packing, "save", noted)
+    monkeypatch.setattr(jaccard_join, "save", noted)
+    assert packing.pack_documents(docs).count() == 4
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    python = {"pieces", "signatures", "members", "bound-v", "star", "links", "hidden"}
+    assert {label for label, size in given_.items() if size == BATCH_BYTES} == python
+
+
+def test_an_encoder_keeps_the_pieces_it_is_told_to():
+    texts = pa.array([" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i % 6]}" for i in range(a, a + 40)) for a in range(0, 400, 40)])
+    small, want = Encoder(default_tokenizer(), 100), encoder(default_tokenizer()).encode(texts)
+    got = []
+    for k in range(len(texts)):
+        got.append(small.encode(texts.slice(k, 1))[0])
+        assert len(small.known) <= 100
+    assert np.concatenate(got).tolist() == want[0].tolist()
